@@ -12,12 +12,12 @@ def _c(c) -> Column:
 
 def ym(c) -> Column:
     """'yyyy-MM' -> first day of month; bad input -> NULL."""
-    return F.try_to_date(_c(c), F.lit("yyyy-MM"))
+    return F.try_to_date(_c(c), "yyyy-MM")
 
 
 def my(c) -> Column:
     """'MMyyyy' -> first day of month; bad input -> NULL."""
-    return F.try_to_date(_c(c), F.lit("MMyyyy"))
+    return F.try_to_date(_c(c), "MMyyyy")
 
 
 def months_open(start, cutoff: str = "2022-11") -> Column:

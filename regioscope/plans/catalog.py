@@ -4,6 +4,8 @@ import importlib
 
 MODULES = [
     "regioscope.plans.neighbourhood",
+    "regioscope.plans.establishments",
+    "regioscope.plans.tables",
 ]
 
 

@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 def R6(expr: str) -> str:
     """SQL twin of ``bindings.r6``: round to 6 places, -0.0 folded to 0.0."""
-    return f"(round({expr}, 6) + 0.0)"
+    return f"(round(CAST({expr} AS DOUBLE), 6) + 0.0)"
