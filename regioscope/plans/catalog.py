@@ -6,6 +6,7 @@ MODULES = [
     "regioscope.plans.neighbourhood",
     "regioscope.plans.establishments",
     "regioscope.plans.tables",
+    "regioscope.plans.complexity",
 ]
 
 

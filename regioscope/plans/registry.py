@@ -22,6 +22,12 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-def R6(expr: str) -> str:
-    """SQL twin of ``bindings.r6``: round to 6 places, -0.0 folded to 0.0."""
-    return f"(round(CAST({expr} AS DOUBLE), 6) + 0.0)"
+def R6(expr: str, digits: int = 6) -> str:
+    """SQL twin of ``bindings.r6``: canonicalise to 9 places as a DECIMAL,
+    round half away from zero to ``digits``, back to DOUBLE (no -0.0)."""
+    return (f"CAST(round(CAST(CAST({expr} AS DOUBLE) AS DECIMAL(38, 9)), {digits})"
+            " AS DOUBLE)")
+
+
+def R2(expr: str) -> str:
+    return R6(expr, 2)

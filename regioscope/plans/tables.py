@@ -201,10 +201,12 @@ def u2_union_by_name(spark, sf_dir):
 # -- region x product sums, distinct -------------------------------------------
 
 RP_SQL = """
-rp AS (SELECT n_name AS country, p_name AS product, sum(l_extendedprice) AS value
+rp AS (SELECT n_name || ', ' || r_name AS country, p_name AS product,
+              sum(l_extendedprice) AS value
        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
                      JOIN part ON l_partkey = p_partkey
                      JOIN nation ON s_nationkey = n_nationkey
+                     JOIN region ON n_regionkey = r_regionkey
        GROUP BY 1, 2)
 """
 
