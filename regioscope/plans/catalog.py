@@ -7,6 +7,8 @@ MODULES = [
     "regioscope.plans.establishments",
     "regioscope.plans.tables",
     "regioscope.plans.complexity",
+    "regioscope.plans.composite",
+    "regioscope.plans.model",
 ]
 
 
