@@ -9,6 +9,7 @@ MODULES = [
     "regioscope.plans.complexity",
     "regioscope.plans.composite",
     "regioscope.plans.model",
+    "regioscope.plans.geo",
 ]
 
 
