@@ -25,13 +25,16 @@ def months_open(start, cutoff: str = "2022-11") -> Column:
     return F.datediff(F.to_date(F.lit(cutoff), "yyyy-MM"), _c(start)) / 30.0
 
 
-def period_from_path(path_col="_metadata.file_path") -> Column:
-    """Snapshot key from a file name: first 4 digits ``MMYY`` -> date
-    ``MM/20YY``.  Only the base name is searched."""
+def period_from_path(path_col="_metadata.file_path", digits: int = 4,
+                     century: str = "20") -> Column:
+    """Snapshot key from a file name: the first ``MMYY`` digits become the
+    date ``MM/<century>YY`` (``digits=6`` reads ``MMYYYY`` directly).  Only
+    the base name is searched."""
     base = F.element_at(F.split(_c(path_col), "/"), -1)
-    digits = F.regexp_substr(base, F.lit(r"\d{4}"))
-    mmyyyy = F.concat(F.substring(digits, 1, 2), F.lit("20"),
-                      F.substring(digits, 3, 2))
+    found = F.regexp_substr(base, F.lit(r"\d{%d}" % digits))
+    if digits == 6:
+        return my(found)
+    mmyyyy = F.concat(F.substring(found, 1, 2), F.lit(century), F.substring(found, 3, 2))
     return my(mmyyyy)
 
 

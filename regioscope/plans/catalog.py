@@ -10,6 +10,7 @@ MODULES = [
     "regioscope.plans.composite",
     "regioscope.plans.model",
     "regioscope.plans.geo",
+    "regioscope.plans.io_plans",
 ]
 
 
