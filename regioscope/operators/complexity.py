@@ -43,6 +43,8 @@ def rca(df: DataFrame, region: str = "country", product: str = "product",
              .groupBy(F.col(region).alias("region"), F.col(product).alias("product"))
              .agg(F.sum(value).alias("value"))
              .where(F.col("value") > 0))
+    # read four times below (two margins, the total, the cells): written once
+    cells = cut_lineage(cells)
     rt = cells.groupBy("region").agg(F.sum("value").alias("_rt"))
     pt = cells.groupBy("product").agg(F.sum("value").alias("_pt"))
     total = cells.select(F.sum("value")).scalar()
@@ -114,7 +116,7 @@ def relatedness(m: DataFrame, phi: DataFrame, include_self: bool = False) -> Dat
     behind a size check; otherwise the join runs as a shuffle join that AQE
     splits when one product key is hot.
     """
-    sym = symmetric(phi)
+    sym = symmetric(cut_lineage(phi))
     if include_self:
         items = m.select(F.col("product").alias("a")).distinct()
         sym = sym.unionByName(items.select("a", F.col("a").alias("b"), F.lit(1.0).alias("phi")))
@@ -201,8 +203,9 @@ def complexity_index(m: DataFrame, iterations: int = 20,
         x2 = cut_lineage(x2)
         wmean = x2.select(F.sum(F.col("kc") * F.col("x")) / F.sum("kc")).scalar()
         x3 = x2.withColumn("x", F.col("x") - wmean)
-        x = cut_lineage(x3.withColumn("x", safe_div(F.col("x"), x3.select(F.stddev_samp("x")).scalar()))
-                        .select("region", "x"))
+        # normalised lazily over the checkpointed x2: the plan stays flat
+        x = x3.withColumn("x", safe_div(F.col("x"), x3.select(F.stddev_samp("x")).scalar())) \
+            .select("region", "x")
     z = x.withColumn("x", safe_div(F.col("x") - x.select(F.avg("x")).scalar(),
                                    x.select(F.stddev_samp("x")).scalar()))
     cor = safe_div(F.covar_samp("x", "kc"), F.stddev_samp("x") * F.stddev_samp("kc"))

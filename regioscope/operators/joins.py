@@ -23,16 +23,18 @@ def join_keys(left: DataFrame, right: DataFrame, keys, how: str = "inner",
               null_safe: bool = False) -> DataFrame:
     """Join on key pairs; ``keys`` is a list of names or ``(left, right)``
     pairs.  The right-hand key columns are dropped (dplyr ``by=``).
-    ``null_safe`` makes NA match NA, as dplyr does."""
+    ``null_safe`` makes NA match NA, as dplyr does.
+
+    Right-hand keys are renamed before the join, so joining a table back
+    onto its own lineage (an aggregate of itself, a checkpoint) is never
+    ambiguous."""
     pairs = [(k, k) if isinstance(k, str) else tuple(k) for k in keys]
-    if not null_safe and all(a == b for a, b in pairs):
-        return left.join(right, [a for a, _ in pairs], how)
-    cond = [left[a].eqNullSafe(right[b]) if null_safe else left[a] == right[b]
+    tmp = {b: f"__r_{i}" for i, (_, b) in enumerate(pairs)}
+    r = right.withColumnsRenamed(tmp)
+    cond = [F.col(a).eqNullSafe(F.col(tmp[b])) if null_safe else F.col(a) == F.col(tmp[b])
             for a, b in pairs]
-    out = left.join(right, cond, how)
-    for a, b in pairs:
-        out = out.drop(right[b])
-    return out
+    out = left.join(r, cond, how)
+    return out.drop(*tmp.values())
 
 
 def natural_join(left: DataFrame, right: DataFrame, how: str = "left",

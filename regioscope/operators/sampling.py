@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regioscope.operators.joins import broadcast_if_small
+from regioscope.session import cut_lineage
 
 _HASH = "_h"
 
@@ -35,11 +35,8 @@ def _ns_join(left: DataFrame, right: DataFrame, by: Sequence[str], how="inner"):
         if how == "inner":
             out = out.where(F.col(cols[0]).isNotNull())
         return out
-    cond = [left[k].eqNullSafe(right[k]) for k in by]
-    out = left.join(right, cond, how)
-    for k in by:
-        out = out.drop(right[k])
-    return out
+    from regioscope.operators.joins import join_keys
+    return join_keys(left, right, by, how, null_safe=True)
 
 
 def _boundary(rows: DataFrame, by: list[str], start: int, need: str) -> DataFrame:
@@ -58,40 +55,58 @@ def _boundary(rows: DataFrame, by: list[str], start: int, need: str) -> DataFram
 
 
 def sample_first_k(df: DataFrame, size, key_cols: Sequence[str], seed=0,
-                   by: Sequence[str] = ()) -> DataFrame:
+                   by: Sequence[str] = (), max_groups: int = 1_000_000) -> DataFrame:
     """The ``size`` rows of each ``by`` group that come first in hash order.
 
     ``size`` is an int (same for every group) or a DataFrame
     ``(by..., quota)``; groups without a quota are dropped.  Exact: never
     fewer or more rows than asked (unless the group is smaller).
+
+    Every helper table (totals, boundary buckets, thresholds) has one row
+    per group, so a single count of the groups decides whether they are
+    broadcast; the first histogram has at most 65,536 rows per group.
     """
     by = list(by)
     d = df.withColumn(_HASH, hash_key(key_cols, seed))
+    hist = d.groupBy(*by, F.substring(_HASH, 1, 4).alias("_b")).agg(
+        F.count(F.lit(1)).alias("_c"))
+    hist = cut_lineage(hist)
+    totals = hist.groupBy(*by).agg(F.sum("_c").alias("_n"))
     if isinstance(size, int):
-        d = d.withColumn("_q", F.lit(size).cast("long"))
+        totals = totals.withColumn("_q", F.lit(size).cast("long"))
     else:
         q = size.select(*by, F.col("quota").cast("long").alias("_q"))
-        d = _ns_join(d, broadcast_if_small(q), by)
-    d = d.where(F.col("_q") > 0)
-    totals = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"),
-                                F.first("_q").alias("_q"))
+        totals = _ns_join(totals, q, by)
+    totals = cut_lineage(totals.where(F.col("_q") > 0))
+    small = totals.count() <= max_groups
+
+    def bc(x):
+        return F.broadcast(x) if small else x
+
     short = totals.where(F.col("_n") > F.col("_q")).select(*by, "_q")
-    cand = _ns_join(d.drop("_q"), broadcast_if_small(short), by)
-    # level 1: 16-bit prefix; level 2: next 16 bits inside that bucket
-    b1 = _boundary(cand, by, 1, "_q")
-    c2 = _ns_join(cand.drop("_q"), broadcast_if_small(b1), by) \
+    # level 1: 16-bit prefix bucket holding the quota-th row
+    w = Window.partitionBy(*by).orderBy("_b") \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    h1 = _ns_join(hist, bc(short), by).withColumn("_cum", F.sum("_c").over(w))
+    b1 = (h1.where((F.col("_cum") - F.col("_c") < F.col("_q")) & (F.col("_cum") >= F.col("_q")))
+          .select(*by, F.col("_b").alias("_b1"),
+                  (F.col("_q") - (F.col("_cum") - F.col("_c"))).alias("_q")))
+    b1 = cut_lineage(b1)
+    # level 2: next 16 bits inside that bucket
+    c2 = _ns_join(d.select(*by, _HASH), bc(b1), by) \
         .where(F.substring(_HASH, 1, 4) == F.col("_b1"))
     b2 = _boundary(c2, by, 5, "_q")
-    c3 = _ns_join(c2.drop("_q", "_b1"), broadcast_if_small(b2), by) \
+    b2 = cut_lineage(b2)
+    c3 = _ns_join(c2.drop("_q", "_b1"), bc(b2), by) \
         .where(F.substring(_HASH, 5, 4) == F.col("_b5"))
     # what remains is ~ rows / 2^32 per group: rank it directly
-    w = Window.partitionBy(*by).orderBy(_HASH)
-    thr = (c3.withColumn("_r", F.row_number().over(w))
+    wr = Window.partitionBy(*by).orderBy(_HASH)
+    thr = (c3.withColumn("_r", F.row_number().over(wr))
            .where(F.col("_r") == F.col("_q"))
            .select(*by, F.col(_HASH).alias("_t")))
-    thr = broadcast_if_small(thr)
-    full = _ns_join(d, broadcast_if_small(totals.select(*by, "_n")), by)
-    out = _ns_join(full, thr, by, "left") \
+    keep = _ns_join(totals.select(*by, "_n", "_q"), thr, by, "left")
+    keep = cut_lineage(keep)
+    out = _ns_join(d, bc(keep), by) \
         .where((F.col("_n") <= F.col("_q")) | (F.col(_HASH) <= F.col("_t")))
     return out.drop(_HASH, "_q", "_n", "_t")
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regioscope.functions.rsem import safe_div
+from regioscope.session import cut_lineage
 
 
 def _det3(a, b, c, d, e, f, g, h, i) -> Column:
@@ -33,7 +34,8 @@ def poly_trend(df: DataFrame, x: str, y: str, by: Sequence[str] = (),
     by = list(by)
     xv = F.datediff(F.col(x), F.lit("1970-01-01").cast("date")).cast("double") \
         if x_is_date else F.col(x).cast("double")
-    d = df.withColumn("_x", xv).withColumn("_y", F.col(y).cast("double"))
+    # the input is read by three aggregates and the final join: written once
+    d = cut_lineage(df.withColumn("_x", xv).withColumn("_y", F.col(y).cast("double")))
     obs = d.where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
     st = obs.groupBy(*by).agg(F.avg("_x").alias("_mx"), F.stddev_samp("_x").alias("_sx"))
     z = safe_div(F.col("_x") - F.col("_mx"), F.col("_sx"))

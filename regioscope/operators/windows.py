@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regioscope.functions.rsem import safe_div
+from regioscope.operators.joins import join_keys
 
 
 def base_index(df: DataFrame, value: str, by: Sequence[str], order: str,
@@ -24,10 +25,7 @@ def base_index(df: DataFrame, value: str, by: Sequence[str], order: str,
     joined back on the group key (null-safe, as dplyr groups NA together).
     """
     base = df.groupBy(*by).agg(F.min_by(value, order).alias("_base"))
-    cond = [df[k].eqNullSafe(base[k]) for k in by]
-    joined = df.join(base, cond, "left")
-    for k in by:
-        joined = joined.drop(base[k])
+    joined = join_keys(df, base, by, "left", null_safe=True)
     return joined.withColumn(out, scale * safe_div(F.col(value), F.col("_base"))) \
         .drop("_base")
 
@@ -36,10 +34,7 @@ def share_within(df: DataFrame, value: str, by: Sequence[str],
                  out: str = "percentage") -> DataFrame:
     """``x / sum(x)`` within each group."""
     tot = df.groupBy(*by).agg(F.sum(value).alias("_tot"))
-    cond = [df[k].eqNullSafe(tot[k]) for k in by]
-    joined = df.join(tot, cond, "left")
-    for k in by:
-        joined = joined.drop(tot[k])
+    joined = join_keys(df, tot, by, "left", null_safe=True)
     return joined.withColumn(out, safe_div(F.col(value), F.col("_tot"))).drop("_tot")
 
 
