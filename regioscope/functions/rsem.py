@@ -123,8 +123,33 @@ def logical_to_double(df: DataFrame) -> DataFrame:
 
 
 def round_numeric(df: DataFrame, digits: int = 2) -> DataFrame:
-    """``mutate_if(is.numeric, round, digits)`` on the fractional columns."""
+    """``mutate_if(is.numeric, round, digits)`` on the fractional columns.
+
+    Values are first canonicalised to 9 places so that float noise from
+    summation order cannot flip a half-way case."""
     frac = [f.name for f in df.schema.fields
             if isinstance(f.dataType, (T.DoubleType, T.FloatType,
                                        T.DecimalType))]
-    return df.withColumns({c: F.round(F.col(c), digits) for c in frac})
+    return df.withColumns({c: F.round(F.round(F.col(c), 9), digits) for c in frac})
+
+
+def cap(c, hi) -> Column:
+    """``ifelse(x > hi, hi, x)`` (NULL stays NULL)."""
+    x = _c(c)
+    return F.when(x > hi, F.lit(hi)).otherwise(x)
+
+
+def value_map(c, mapping: dict, default=None) -> Column:
+    """``case_when(x == k1 ~ v1, ...,  TRUE ~ x)``: recode listed values,
+    keep the rest (or use ``default``)."""
+    x = _c(c)
+    out = None
+    for k, v in mapping.items():
+        out = F.when(x == k, F.lit(v)) if out is None else out.when(x == k, F.lit(v))
+    rest = x if default is None else F.lit(default)
+    return rest if out is None else out.otherwise(rest)
+
+
+def with_na_level(c, label: str = "<NA>") -> Column:
+    """Factor with NA as its own level (``addNA``), as a string column."""
+    return F.coalesce(_c(c).cast("string"), F.lit(label))

@@ -61,10 +61,19 @@ def numeric_doubles(df: DataFrame, numeric: Sequence[str] = NUMERIC) -> DataFram
 
 
 def logistic_pipeline(reg_param: float = 0.0, elastic_net: float = 0.0,
-                      label: str = "y", **kw) -> Pipeline:
+                      label: str = "y", formula: bool = False, **kw) -> Pipeline:
+    """Feature stages + logistic regression.  ``formula=True`` assembles
+    the design with ``RFormula('<label> ~ numericas + one_hot')`` instead
+    of the last assembler (the reference's ``ft_r_formula``)."""
+    stages = feature_stages(**kw)
+    if formula:
+        from pyspark.ml.feature import RFormula
+        stages = stages[:-1] + [RFormula(formula=f"{label} ~ numericas + one_hot",
+                                         featuresCol="features", labelCol="_label")]
+        label = "_label"
     lr = LogisticRegression(featuresCol="features", labelCol=label,
                             regParam=reg_param, elasticNetParam=elastic_net)
-    return Pipeline(stages=feature_stages(**kw) + [lr])
+    return Pipeline(stages=stages + [lr])
 
 
 def tune(train: DataFrame, reg_params: Sequence[float] | None = None,

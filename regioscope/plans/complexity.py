@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from regioscope.functions import text as X
+from regioscope.functions.rsem import cols_between, round_numeric
 from regioscope.operators import aggregates as A
 from regioscope.operators import complexity as C
 from regioscope.operators import joins as J
@@ -334,6 +335,11 @@ def x12_advantage_table(spark, sf_dir):
                      F.col("rca").alias("relative_comparative_advantage")))
     adv = J.join_keys(pci_t, rel_r, ["national_industry_id", "national_industry"], "inner")
     adv = J.join_keys(adv, _census(spark, sf_dir), ["national_industry_id", "state_id"], "left")
+    # positional ranges, resolved once against the column order
+    census_cols = cols_between(adv, "gross_production", "total_income") + \
+        cols_between(adv, "worked_hours", "productivity")
     adv = adv.select("state_id", "national_industry_id", "national_industry",
-                     *[r2(c).alias(c) for c in _ADV_NUM])
+                     "employees_number", "activities_complexity_index", "affinity",
+                     "relative_comparative_advantage", *census_cols)
+    adv = round_numeric(adv, 2)
     return adv.orderBy(F.col("relative_comparative_advantage").desc_nulls_last())

@@ -53,8 +53,11 @@ def s4_snapshot_csv_roundtrip(spark, sf_dir):
                  encoding="ISO-8859-1")
     df = IO.read_csv(spark, path, _SNAP_SCHEMA, encoding="ISO-8859-1", with_path=True)
     df = IO.with_period_from_path(df, component=-2, digits=6)
-    g = df.groupBy("period", "cve_mun", "region_label").agg(
-        F.avg("q").alias("mean_value"), F.count(F.lit(1)).alias("n"))
+    # a named table queried through SQL (S6); Catalyst plans it the same way
+    IO.register(df, "snapshot_lines", cache=False)
+    g = spark.sql("""
+        SELECT period, cve_mun, region_label, avg(q) AS mean_value, count(*) AS n
+        FROM snapshot_lines GROUP BY period, cve_mun, region_label""")
     return g.withColumn("mean_value", r6("mean_value"))
 
 

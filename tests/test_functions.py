@@ -87,3 +87,14 @@ def test_ids_stay_strings(spark, tmp_path):
     from regioscope.sources import io as IO
     df = IO.read_csv(spark, str(p), "cve_ent string, v double")
     assert sorted(r[0] for r in df.collect()) == ["01", "09"]
+
+
+def test_value_map_cap_na_level(spark):
+    df = spark.createDataFrame([("Coahuila de Zaragoza", 0.7), ("Jalisco", 0.2), (None, None)],
+                               "state string, q double")
+    m = {"Coahuila de Zaragoza": "Coahuila", "Michoacán de Ocampo": "Michoacán"}
+    r = df.select(R.value_map("state", m).alias("s"), R.cap("q", 0.5).alias("c"),
+                  R.with_na_level("state").alias("f")).collect()
+    assert [x["s"] for x in r] == ["Coahuila", "Jalisco", None]
+    assert [x["c"] for x in r] == [0.5, 0.2, None]
+    assert r[2]["f"] == "<NA>"

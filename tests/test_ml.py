@@ -41,3 +41,10 @@ def test_pipeline_fit_score_coefficients(spark, tmp_path):
     IO.save_model(model, str(tmp_path / "m"))
     again = PipelineModel.load(str(tmp_path / "m"))
     assert again.transform(data).count() == data.count()
+
+
+def test_rformula_variant_fits(spark):
+    from regioscope.plans import model as M
+    _, train, _ = M.train_test(spark, "/root/testdata/sf0.001")
+    model = ML.logistic_pipeline(formula=True).fit(train)
+    assert model.transform(train).select("probability").count() == train.count()
