@@ -81,6 +81,7 @@ def proximity(m: DataFrame, on: str = "product", block_size: int = 256) -> DataF
     sets = (m.groupBy(F.col(on).alias("item"))
             .agg(F.array_sort(F.collect_set(other)).alias("s"))
             .withColumn("k", F.size("s")))
+    sets = cut_lineage(sets)           # counted, then read by both block sides
     n_items = sets.count()
     nb = max(1, math.ceil(n_items / block_size))
     sets = sets.withColumn("blk", F.pmod(F.xxhash64("item"), F.lit(nb)).cast("int"))
@@ -135,85 +136,101 @@ def _bcast(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def fitness(m: DataFrame, iterations: int = 20, max_broadcast_rows: int = 2_000_000):
+def _copartitioned(m: DataFrame):
+    """M written twice, hash-partitioned by region and by product.  A
+    checkpoint keeps its partitioning, so every round's group-by on the
+    partition key runs without a shuffle; only the small score vectors
+    move (broadcast)."""
+    # no fixed count: AQE may coalesce small partitions; hash layout stays
+    return (cut_lineage(m.repartition("region")),
+            cut_lineage(m.repartition("product")))
+
+
+def fitness(m: DataFrame, iterations: int = 20, checkpoint_every: int = 5,
+            max_broadcast_rows: int = 2_000_000):
     """Fitness of regions and complexity of products (Tacchella et al.).
 
     ``F_n(c) = sum_p M Q_{n-1}(p)``, ``Q_n(p) = 1 / sum_c M / F_{n-1}(c)``,
     both divided by their mean every round; start from ones.  Returns
     ``(regions, products)`` as ``(name, value)`` DataFrames.
 
-    Both vectors live in one table ``(kind, name, value)`` that is cut with
-    a reliable checkpoint every round (each round reads the previous one
-    twice, so an uncut plan would double per round).  The vectors have one
-    row per region / product; whether they are broadcast is decided once
-    from their row count.
+    Dividing by the mean only rescales, and both maps are homogeneous of
+    degree one, so the rescaling is applied when the vectors are
+    checkpointed (every ``checkpoint_every`` rounds and at the end): in
+    between, ``F`` and ``Q`` are two linear plan chains with no scalar
+    jobs.  The vectors have one row per region / product; whether they are
+    broadcast is decided once from their row count.
     """
-    m = cut_lineage(m.select("region", "product"))
-    regions = m.select(F.col("region").alias("name")).distinct()
-    products = m.select(F.col("product").alias("name")).distinct()
+    m_r, m_p = _copartitioned(m.select("region", "product"))
+    regions = m_r.select(F.col("region").alias("name")).distinct()
+    products = m_p.select(F.col("product").alias("name")).distinct()
     small = regions.count() + products.count() <= max_broadcast_rows
-    v = cut_lineage(regions.select(F.lit("r").alias("kind"), "name", F.lit(1.0).alias("value"))
-                    .unionByName(products.select(F.lit("p").alias("kind"), "name",
-                                                 F.lit(1.0).alias("value"))))
-    for _ in range(iterations):
-        q = v.where(F.col("kind") == "p").select(F.col("name").alias("product"), "value")
-        f = v.where(F.col("kind") == "r").select(F.col("name").alias("region"), "value")
-        f_raw = (m.join(_bcast(q, small), "product")
-                 .groupBy(F.col("region").alias("name"))
-                 .agg(F.sum("value").alias("value")).withColumn("kind", F.lit("r")))
-        q_raw = (m.join(_bcast(f, small), "region")
-                 .groupBy(F.col("product").alias("name"))
-                 .agg((1.0 / F.sum(1.0 / F.col("value"))).alias("value"))
-                 .withColumn("kind", F.lit("p")))
-        raw = f_raw.unionByName(q_raw)
-        means = raw.groupBy("kind").agg(F.avg("value").alias("_mean"))
-        v = cut_lineage(raw.join(F.broadcast(means), "kind")
-                        .select("kind", "name", (F.col("value") / F.col("_mean")).alias("value")))
-    return (v.where(F.col("kind") == "r").select("name", "value"),
-            v.where(F.col("kind") == "p").select("name", "value"))
+    fv = cut_lineage(regions.withColumn("value", F.lit(1.0)))
+    qv = cut_lineage(products.withColumn("value", F.lit(1.0)))
+    for i in range(iterations):
+        # M hash-partitioned by region: the group-by needs no exchange
+        f_new = (m_r.join(_bcast(qv.withColumnRenamed("name", "product"), small), "product")
+                 .groupBy("region").agg(F.sum("value").alias("value"))
+                 .withColumnRenamed("region", "name"))
+        q_new = (m_p.join(_bcast(fv.withColumnRenamed("name", "region"), small), "region")
+                 .groupBy("product").agg((1.0 / F.sum(1.0 / F.col("value"))).alias("value"))
+                 .withColumnRenamed("product", "name"))
+        fv, qv = f_new, q_new
+        if (i + 1) % checkpoint_every == 0 or i == iterations - 1:
+            fv, qv = cut_lineage(fv), cut_lineage(qv)
+            fv = fv.withColumn("value", F.col("value") / fv.select(F.avg("value")).scalar())
+            qv = qv.withColumn("value", F.col("value") / qv.select(F.avg("value")).scalar())
+    return fv, qv
 
 
 # -- ECI / PCI ----------------------------------------------------------------------
 
 
-def complexity_index(m: DataFrame, iterations: int = 20,
+def complexity_index(m: DataFrame, iterations: int = 20, checkpoint_every: int = 5,
                      max_broadcast_rows: int = 2_000_000):
     """ECI (regions) and PCI (products) by the method of reflections.
 
     Each step maps region scores to products and back,
-    ``x <- D_c^-1 M D_p^-1 M' x``; the trivial (constant) eigen-direction is
-    removed with the diversity-weighted mean and the vector rescaled to unit
-    sd, so the iteration converges to the second eigenvector instead of
-    collapsing.  Final scores are z-scores; the sign makes ECI correlate
-    positively with diversity, and PCI is the product-side image of ECI.
-    Returns ``(eci, pci)`` as ``(name, value)`` DataFrames.  The region
-    vector is checkpointed every round.
+    ``x <- D_c^-1 M D_p^-1 M' x``.  The trivial (constant) eigen-direction
+    is removed with the diversity-weighted mean; that projection commutes
+    with the step (the weights are the step's stationary distribution), so
+    it is applied at each checkpoint rather than every step, together with
+    a rescale to unit sd.  The iteration thus converges to the second
+    eigenvector instead of collapsing.  Final scores are z-scores; the sign
+    makes ECI correlate positively with diversity, and PCI is the
+    product-side image of ECI.  Returns ``(eci, pci)`` as ``(name, value)``.
     """
     kc = m.groupBy("region").agg(F.count(F.lit(1)).cast("double").alias("kc"))
     kp = m.groupBy("product").agg(F.count(F.lit(1)).cast("double").alias("kp"))
     kc, kp = cut_lineage(kc), cut_lineage(kp)
     small = kc.count() + kp.count() <= max_broadcast_rows
-    mk = cut_lineage(m.join(_bcast(kc, small), "region").join(_bcast(kp, small), "product"))
-    x = kc.select("region", F.col("kc").alias("x"))
-    for _ in range(iterations):
-        y = (mk.join(_bcast(x, small), "region")
-             .groupBy("product", "kp").agg((F.sum("x") / F.first("kp")).alias("y")))
-        x2 = (mk.join(_bcast(y.drop("kp"), small), "product")
-              .groupBy("region", "kc").agg((F.sum("y") / F.first("kc")).alias("x")))
-        x2 = cut_lineage(x2)
-        wmean = x2.select(F.sum(F.col("kc") * F.col("x")) / F.sum("kc")).scalar()
-        x3 = x2.withColumn("x", F.col("x") - wmean)
-        # normalised lazily over the checkpointed x2: the plan stays flat
-        x = x3.withColumn("x", safe_div(F.col("x"), x3.select(F.stddev_samp("x")).scalar())) \
+    mk = m.join(_bcast(kc, small), "region").join(_bcast(kp, small), "product")
+    mk_c, mk_p = _copartitioned(mk)
+
+    def deflate(xd: DataFrame) -> DataFrame:
+        xd = cut_lineage(xd.join(_bcast(kc, small), "region"))
+        wmean = xd.select(F.sum(F.col("kc") * F.col("x")) / F.sum("kc")).scalar()
+        xd = xd.withColumn("x", F.col("x") - wmean)
+        return xd.withColumn("x", safe_div(F.col("x"), xd.select(F.stddev_samp("x")).scalar())) \
             .select("region", "x")
+
+    x = deflate(kc.select("region", F.col("kc").alias("x")))
+    for i in range(iterations):
+        y = (mk_p.join(_bcast(x, small), "region")
+             .groupBy("product").agg((F.sum("x") / F.first("kp")).alias("y")))
+        x = (mk_c.join(_bcast(y, small), "product")
+             .groupBy("region").agg((F.sum("y") / F.first("kc")).alias("x")))
+        if (i + 1) % checkpoint_every == 0 or i == iterations - 1:
+            x = deflate(x)
+    x = cut_lineage(x)
     z = x.withColumn("x", safe_div(F.col("x") - x.select(F.avg("x")).scalar(),
                                    x.select(F.stddev_samp("x")).scalar()))
     cor = safe_div(F.covar_samp("x", "kc"), F.stddev_samp("x") * F.stddev_samp("kc"))
     sign = z.join(kc, "region").select(
         F.when(cor < 0, F.lit(-1.0)).otherwise(F.lit(1.0))).scalar()
     eci = cut_lineage(z.select(F.col("region").alias("name"), (F.col("x") * sign).alias("value")))
-    y = (mk.join(_bcast(eci.withColumnRenamed("name", "region"), small), "region")
-         .groupBy("product", "kp").agg((F.sum("value") / F.first("kp")).alias("y")))
+    y = (mk_p.join(_bcast(eci.withColumnRenamed("name", "region"), small), "region")
+         .groupBy("product").agg((F.sum("value") / F.first("kp")).alias("y")))
     y = cut_lineage(y)
     pci = y.select(F.col("product").alias("name"),
                    safe_div(F.col("y") - y.select(F.avg("y")).scalar(),

@@ -46,9 +46,13 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "left",
     return join_keys(left, right, shared, how, null_safe=null_safe)
 
 
-def with_global(df: DataFrame, agg_col, name: str) -> DataFrame:
+def with_global(df: DataFrame, agg_col, name: str, materialize: bool = True) -> DataFrame:
     """Attach a whole-table aggregate (e.g. a mean line) to every row as a
-    scalar subquery: one value, no cross join, no single-task window."""
+    scalar subquery: one value, no cross join, no single-task window.  The
+    input (read twice) is written once unless ``materialize=False``."""
+    if materialize:
+        from regioscope.session import cut_lineage
+        df = cut_lineage(df)
     return df.withColumn(name, df.select(agg_col).scalar())
 
 

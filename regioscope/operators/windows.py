@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from regioscope.functions.rsem import safe_div
 from regioscope.operators.joins import join_keys
+from regioscope.session import cut_lineage
 
 
 def base_index(df: DataFrame, value: str, by: Sequence[str], order: str,
@@ -38,20 +39,28 @@ def share_within(df: DataFrame, value: str, by: Sequence[str],
     return joined.withColumn(out, safe_div(F.col(value), F.col("_tot"))).drop("_tot")
 
 
-def top_n_with_ties(df: DataFrame, n: int, wt: str) -> DataFrame:
+def top_n_with_ties(df: DataFrame, n: int, wt: str, materialize: bool = True) -> DataFrame:
     """``top_n(n, wt)``: every row whose ``wt`` ranks within the top n,
     ties at the boundary kept (``min_rank(desc(wt)) <= n``).
 
     The n-th largest value comes from a distributed take-ordered of n rows
-    (a bounded scalar subquery); the table itself is only filtered.
+    (a bounded scalar subquery); the table itself is only filtered.  The
+    input is read twice (subquery + filter), so by default it is written
+    once to the checkpoint folder instead of being computed twice.
     """
+    if materialize:
+        df = cut_lineage(df)
     kth = df.select(wt).where(F.col(wt).isNotNull()) \
         .orderBy(F.col(wt).desc()).limit(n).agg(F.min(wt)).scalar()
     return df.where(F.col(wt) >= kth)
 
 
-def zscore(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
-    """Column z-scores with the sample sd (``scale()``); sd 0 -> NULL."""
+def zscore(df: DataFrame, cols: Sequence[str], suffix: str = "",
+           materialize: bool = True) -> DataFrame:
+    """Column z-scores with the sample sd (``scale()``); sd 0 -> NULL.
+    One aggregate pass gives all moments (merged scalar subqueries)."""
+    if materialize:
+        df = cut_lineage(df)
     moments = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s"))
                        .alias(c) for c in cols])
     out = df
