@@ -19,6 +19,32 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     return F.broadcast(df) if n <= max_rows else df
 
 
+def salted_join(big: DataFrame, other: DataFrame, on, how: str = "inner",
+                salt_buckets: int = 32, salt_from=None) -> DataFrame:
+    """Equi-join that spreads every key of ``big`` over ``salt_buckets``
+    tasks: ``big`` rows get a salt from a hash of their own columns, and
+    ``other`` is replicated once per salt.  A key holding a third of
+    ``big`` is then joined by ``salt_buckets`` tasks instead of one; the
+    price is ``salt_buckets`` copies of the (smaller) other side.
+    ``how`` may be ``inner`` or ``left`` (``big`` preserved)."""
+    cols = salt_from or big.columns
+    b = big.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(salt_buckets)).cast("int"))
+    o = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
+    keys = [on] if isinstance(on, str) else list(on)
+    return b.join(o, keys + ["_salt"], how).drop("_salt")
+
+
+def broadcast_or_salted(big: DataFrame, other: DataFrame, on, how: str = "inner",
+                        max_rows: int = DEFAULT_BROADCAST_ROWS,
+                        salt_buckets: int = 32) -> DataFrame:
+    """Broadcast ``other`` when a count proves it small; otherwise a salted
+    shuffle join so that hot keys of ``big`` do not land in one task."""
+    n = other.limit(max_rows + 1).count()
+    if n <= max_rows:
+        return big.join(F.broadcast(other), on, how)
+    return salted_join(big, other, on, how, salt_buckets)
+
+
 def join_keys(left: DataFrame, right: DataFrame, keys, how: str = "inner",
               null_safe: bool = False) -> DataFrame:
     """Join on key pairs; ``keys`` is a list of names or ``(left, right)``

@@ -10,8 +10,9 @@ grid cells followed by an exact ray-casting test:
   only on the candidates of the point's cell.
 
 The polygon-cell table is broadcast only when a count shows it under the
-bound; beyond that the join is a shuffle join on the cell key, and AQE's
-skew handling splits a hot cell (a dense downtown) across tasks.  Pick
+bound; beyond that the join is a shuffle join on (cell, salt): points get
+a salt from a hash of their columns and polygon cells are replicated per
+salt, so a dense cell (a downtown) is spread over many tasks.  Pick
 ``cell`` so a cell holds few polygons; the point side is never collected.
 """
 
@@ -21,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regioscope.functions import geo as G
-from regioscope.operators.joins import broadcast_if_small
 
 
 def polygon_cells(polygons: DataFrame, cell: float, rings: str = "rings") -> DataFrame:
@@ -37,7 +37,8 @@ def polygon_cells(polygons: DataFrame, cell: float, rings: str = "rings") -> Dat
 
 def spatial_join(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat: str = "lat",
                  rings: str = "rings", poly_id: str = "poly_id", preserve: str = "points",
-                 cell: float = 0.02, max_broadcast_rows: int = 2_000_000) -> DataFrame:
+                 cell: float = 0.02, max_broadcast_rows: int = 2_000_000,
+                 salt_buckets: int = 16) -> DataFrame:
     """Attach to each point the polygons that contain it (``st_join``).
 
     ``preserve='points'``: every point kept; unmatched points (or NULL
@@ -47,10 +48,20 @@ def spatial_join(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat:
     not carried into the output.
     """
     cells = polygon_cells(polygons, cell, rings)
-    cells = broadcast_if_small(cells, max_broadcast_rows)
+    n_cells = cells.limit(max_broadcast_rows + 1).count()
     pts = points.withColumn("_gx", G.grid_cell(lon, cell)).withColumn("_gy", G.grid_cell(lat, cell))
+    if n_cells <= max_broadcast_rows:
+        cells = F.broadcast(cells)
+        cond = [pts["_gx"] == cells["_gx"], pts["_gy"] == cells["_gy"]]
+    else:
+        # a dense cell would be one task: salt the points, replicate cells
+        pts = pts.withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.lit(salt_buckets))
+                             .cast("int"))
+        cells = cells.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
+        cond = [pts["_gx"] == cells["_gx"], pts["_gy"] == cells["_gy"],
+                pts["_salt"] == cells["_salt"]]
     inside = G.point_in_polygon(cells[rings], pts[lon], pts[lat])
-    cond = [pts["_gx"] == cells["_gx"], pts["_gy"] == cells["_gy"], inside]
+    cond = cond + [inside]
     poly_cols = [c for c in polygons.columns if c != rings]
     if preserve == "points":
         out = pts.join(cells, cond, "left")

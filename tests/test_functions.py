@@ -98,3 +98,14 @@ def test_value_map_cap_na_level(spark):
     assert [x["s"] for x in r] == ["Coahuila", "Jalisco", None]
     assert [x["c"] for x in r] == [0.5, 0.2, None]
     assert r[2]["f"] == "<NA>"
+
+
+def test_json_cube_reader(spark, tmp_path):
+    from regioscope.sources import io as IO
+    p = tmp_path / "cube.json"
+    p.write_text('{"data": [{"State": "Coahuila de Zaragoza", "ECI Ranking": 3, "ECI": 1.5},\n'
+                 '          {"State": "Jalisco", "ECI Ranking": 5, "ECI": 0.7}]}')
+    df = IO.read_json_cube(spark, str(p), "State string, `ECI Ranking` long, ECI double")
+    df = R.clean_names(df)
+    assert df.columns == ["state", "eci_ranking", "eci"]
+    assert sorted(r["eci_ranking"] for r in df.collect()) == [3, 5]

@@ -48,3 +48,12 @@ def test_rformula_variant_fits(spark):
     _, train, _ = M.train_test(spark, "/root/testdata/sf0.001")
     model = ML.logistic_pipeline(formula=True).fit(train)
     assert model.transform(train).select("probability").count() == train.count()
+
+
+def test_tune_by_f1_reports_every_grid_point(spark):
+    from regioscope.plans import model as M
+    _, train, _ = M.train_test(spark, "/root/testdata/sf0.001")
+    cvm, metrics = ML.tune(train, reg_params=[0.0, 0.5], folds=2, parallelism=2, metric="f1")
+    rows = metrics.collect()
+    assert len(rows) == 2 and all(0 <= r["f1"] <= 1 for r in rows)
+    assert ML.best_reg_param(cvm) in (0.0, 0.5)

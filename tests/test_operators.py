@@ -72,3 +72,25 @@ def test_profile_quartiles_type7(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,), (None,)], "x double")
     p = A.profile(df, ["x"]).first()
     assert p["q1"] == 1.75 and p["median"] == 2.5 and p["q3"] == 3.25 and p["n_missing"] == 1
+
+
+def test_salted_join_equals_plain_join(spark):
+    big = spark.range(0, 3000).select((F.when(F.col("id") < 1000, 0).otherwise(F.col("id") % 7))
+                                      .alias("k"), "id")
+    small = spark.createDataFrame([(k, f"v{k}") for k in range(7)], "k long, v string")
+    a = sorted(tuple(r) for r in J.salted_join(big, small, "k", salt_buckets=5).collect())
+    b = sorted(tuple(r) for r in big.join(small, "k").collect())
+    assert a == b
+
+
+def test_spatial_join_salted_path(spark):
+    from regioscope.functions import geo as G
+    from regioscope.operators import spatial as SP
+    ring = [[{"x": 0.0, "y": 0.0}, {"x": 2.0, "y": 0.0}, {"x": 2.0, "y": 2.0},
+             {"x": 0.0, "y": 2.0}, {"x": 0.0, "y": 0.0}]]
+    polys = spark.createDataFrame([(1, ring)], "poly_id int, rings " + G.RINGS_TYPE.simpleString())
+    pts = spark.range(0, 200).select("id", (F.col("id") % 30 / 10.0).alias("lon"),
+                                     F.lit(1.0).alias("lat"))
+    a = SP.spatial_join(pts, polys, cell=0.5, max_broadcast_rows=1)
+    b = SP.spatial_join(pts, polys, cell=0.5)
+    assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
