@@ -33,16 +33,25 @@ from regioscope.session import cut_lineage
 
 
 def rca(df: DataFrame, region: str = "country", product: str = "product",
-        value: str = "value", cutoff: float = 1.0) -> DataFrame:
+        value: str = "value", cutoff: float = 1.0, min_region_total: float | None = None,
+        min_product_total: float | None = None) -> DataFrame:
     """Balassa RCA: ``(x_cp / x_c.) / (x_.p / x_..)`` and ``m = rca >= cutoff``.
 
     Cells are pre-aggregated; non-positive and missing values are dropped
-    (zero cells stay implicit).  Output ``(region, product, value, rca, m)``.
+    (zero cells stay implicit).  ``min_region_total`` / ``min_product_total``
+    keep only regions / products whose total value reaches the threshold
+    (the ``threshold=...:900`` of a complexity service) before any index is
+    computed.  Output ``(region, product, value, rca, m)``.
     """
     cells = (df.where(F.col(value).isNotNull())
              .groupBy(F.col(region).alias("region"), F.col(product).alias("product"))
              .agg(F.sum(value).alias("value"))
              .where(F.col("value") > 0))
+    for key, bound in (("region", min_region_total), ("product", min_product_total)):
+        if bound is not None:
+            keep = cells.groupBy(key).agg(F.sum("value").alias("_t")) \
+                .where(F.col("_t") >= bound).select(key)
+            cells = cells.join(keep, key, "left_semi")
     # read four times below (two margins, the total, the cells): written once
     cells = cut_lineage(cells)
     rt = cells.groupBy("region").agg(F.sum("value").alias("_rt"))

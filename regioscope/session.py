@@ -16,6 +16,8 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # checkpoint files of DataFrames that are gone are deleted
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -94,3 +94,17 @@ def test_spatial_join_salted_path(spark):
     a = SP.spatial_join(pts, polys, cell=0.5, max_broadcast_rows=1)
     b = SP.spatial_join(pts, polys, cell=0.5)
     assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
+
+
+def test_base_index_null_first_value(spark):
+    df = spark.createDataFrame([("a", 1, None), ("a", 2, 3.0)], "k string, t int, x double")
+    r = {x["t"]: x["index"] for x in W.base_index(df, "x", ["k"], "t").collect()}
+    assert r == {1: None, 2: None}
+
+
+def test_rca_thresholds(spark):
+    from regioscope.operators import complexity as C
+    rows = [("r1", "p1", 10.0), ("r1", "p2", 30.0), ("r2", "p1", 30.0), ("r2", "p2", 1.0)]
+    df = spark.createDataFrame(rows, "country string, product string, value double")
+    kept = C.rca(df, min_product_total=35.0).select("product").distinct().collect()
+    assert [r[0] for r in kept] == ["p1"]
