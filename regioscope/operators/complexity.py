@@ -255,23 +255,26 @@ def _edge_order(w, a, b):
     return F.struct(w.alias("w"), (-F.xxhash64(a)).alias("_"), a.alias("a"), b.alias("b"))
 
 
-def spanning_tree(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def spanning_tree(edges: DataFrame, max_rounds: int = 64,
+                  max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """Maximum spanning forest of an undirected weighted graph
     ``(a, b, phi)`` by Boruvka rounds.
 
     Each round every component picks its heaviest outgoing edge (ties by a
     fixed total order, so no cycles form), the picked edges join the
-    forest, and components merge by pointer jumping.  All steps are
-    group-bys and joins on the node/component tables; the number of rounds
-    is logarithmic in the number of nodes.
+    forest, and components merge by pointer jumping until no pointer
+    moves (at most ceil(log2 c) + 1 jumps for c components).  All steps are group-bys
+    and joins on the node / component tables; the number of rounds is
+    logarithmic in the number of nodes.
     """
     e = edges.select("a", "b", F.col("phi").cast("double").alias("w")).where(F.col("a") != F.col("b"))
     e = cut_lineage(e)
     nodes = e.select(F.col("a").alias("node")).union(e.select(F.col("b").alias("node"))).distinct()
     comp = cut_lineage(nodes.withColumn("comp", F.col("node")))
+    small = comp.count() <= max_broadcast_rows
     tree = None
     for _ in range(max_rounds):
-        cb = broadcast_if_small(comp)
+        cb = _bcast(comp, small)
         ce = (e.join(cb.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a")
               .join(cb.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
               .where(F.col("ca") != F.col("cb")))
@@ -281,7 +284,8 @@ def spanning_tree(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
                                               _edge_order(F.col("w"), F.col("a"), F.col("b")))
                                      .alias("e"))
         best = cut_lineage(best.select("c", "e.o", "e.a", "e.b", "e.w"))
-        if best.limit(1).count() == 0:
+        n_comp = best.count()
+        if n_comp == 0:
             break
         picked = best.select("a", "b", "w").distinct()
         tree = picked if tree is None else tree.unionByName(picked)
@@ -293,17 +297,17 @@ def spanning_tree(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
                .select("c", F.when(F.col("_mutual") & (F.col("c") < F.col("p")), F.col("c"))
                        .otherwise(F.col("p")).alias("p")))
         par = cut_lineage(par)
-        while True:
-            pb = broadcast_if_small(par.select(F.col("c").alias("p"), F.col("p").alias("pp")))
+        for _ in range(math.ceil(math.log2(max(2, n_comp))) + 1):
+            pb = _bcast(par.select(F.col("c").alias("p"), F.col("p").alias("pp")), small)
             nxt = cut_lineage(par.join(pb, "p", "left")
                               .select("c", F.coalesce("pp", "p").alias("p")))
-            changed = nxt.join(par.withColumnRenamed("p", "p0"), "c") \
+            moved = nxt.join(par.withColumnRenamed("p", "p0"), "c") \
                 .where(F.col("p") != F.col("p0")).limit(1).count()
             par = nxt
-            if changed == 0:
+            if moved == 0:
                 break
         comp = cut_lineage(
-            comp.join(broadcast_if_small(par.select(F.col("c").alias("comp"), F.col("p").alias("root"))),
+            comp.join(_bcast(par.select(F.col("c").alias("comp"), F.col("p").alias("root")), small),
                       "comp", "left")
             .select("node", F.coalesce("root", "comp").alias("comp")))
     if tree is None:
@@ -327,7 +331,7 @@ def project_network(phi: DataFrame, avg_links: float = 4.0) -> DataFrame:
         kth = rest.orderBy(F.col("weight").desc()).limit(want).agg(F.min("weight")).scalar()
         extra = rest.where(F.col("weight") >= kth).withColumn("in_tree", F.lit(False))
         net = net.unionByName(extra)
-    return net
+    return cut_lineage(net)
 
 
 def degree(net: DataFrame) -> DataFrame:
