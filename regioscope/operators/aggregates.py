@@ -118,15 +118,18 @@ def correlation_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return wide.select(F.inline(F.array(*pairs)))
 
 
-def profile(df: DataFrame, cols: Sequence[str], exact: bool = True,
-            accuracy: int = 10000) -> DataFrame:
+def profile(df: DataFrame, cols: Sequence[str], exact: bool | None = None,
+            accuracy: int = 10000, max_exact_rows: int = 1_000_000) -> DataFrame:
     """Column profile (``summary``): n, NA count, mean, sd, min, quartiles
-    (R's type-7 interpolation when ``exact``) and max, one row per column.
+    (R's type-7 interpolation when exact) and max, one row per column.
 
-    ``exact=True`` uses ``percentile`` which keeps every distinct value of
-    a column in the final aggregate; use it on bounded tables (indicator
-    matrices).  ``exact=False`` uses the bounded-memory ``percentile_approx``.
+    Exact quartiles (``percentile``) keep every distinct value of a column
+    in the final aggregate, so by default they are used only when a count
+    shows at most ``max_exact_rows`` rows (indicator matrices); larger
+    tables get the bounded-memory ``percentile_approx``.
     """
+    if exact is None:
+        exact = df.limit(max_exact_rows + 1).count() <= max_exact_rows
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
