@@ -50,7 +50,7 @@ def test_dates_and_safe_ops(spark):
 
 
 def test_period_from_path(spark):
-    df = spark.createDataFrame([("/data/raw/denue/0519_denue.csv",), ("/x/no_digits.csv",)], "p string")
+    df = spark.createDataFrame([("/data/raw/registry/0519_registry.csv",), ("/x/no_digits.csv",)], "p string")
     r = df.select(D.period_from_path("p").alias("d")).collect()
     assert str(r[0]["d"]) == "2019-05-01" and r[1]["d"] is None
 
