@@ -177,3 +177,26 @@ def m20_model_per_group(spark, sf_dir):
         out = s if out is None else out.unionByName(s)
     return out.select("id", "cve_ent", "prediction",
                       r6("probability_1").alias("probability_1"))
+
+
+@query("m11_tuned_refit")
+def m11_tuned_refit(spark, sf_dir):
+    """Tune (lasso grid, AUROC), take the best regularisation, refit it
+    with the default mixing (ridge) as the reference does, save the model
+    to the shared folder (S12), reload it, and report the 13 metrics on
+    train / test / full."""
+    from pyspark.ml import PipelineModel
+    from regioscope.sources import io as IO
+    data, train, test = train_test(spark, sf_dir)
+    train = train.persist()
+    cvm, _ = ML.tune(train, reg_params=[i / 9 for i in range(10)], folds=3, parallelism=8)
+    best = ML.best_reg_param(cvm)
+    model = ML.logistic_pipeline(reg_param=best, elastic_net=0.0).fit(train)
+    path = IO.scratch_path(spark, "model")
+    IO.save_model(model, path)
+    model = PipelineModel.load(path)
+    parts = [ML.score(model, d, keep=("id", "y")).withColumn("set", F.lit(name))
+             for name, d in (("train", train), ("test", test), ("full", data))]
+    scored = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return ML.binary_metrics(scored, by=["set"]).withColumn("estimate", r6("estimate")) \
+        .withColumn("reg_param", F.lit(best))
