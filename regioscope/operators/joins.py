@@ -20,29 +20,48 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
 
 
 def salted_join(big: DataFrame, other: DataFrame, on, how: str = "inner",
-                salt_buckets: int = 32, salt_from=None) -> DataFrame:
-    """Equi-join that spreads every key of ``big`` over ``salt_buckets``
-    tasks: ``big`` rows get a salt from a hash of their own columns, and
-    ``other`` is replicated once per salt.  A key holding a third of
-    ``big`` is then joined by ``salt_buckets`` tasks instead of one; the
-    price is ``salt_buckets`` copies of the (smaller) other side.
-    ``how`` may be ``inner`` or ``left`` (``big`` preserved)."""
-    cols = salt_from or big.columns
-    b = big.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(salt_buckets)).cast("int"))
-    o = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
+                salt_buckets: int = 32, hot_rows: int | None = 1_000_000,
+                salt_from=None) -> DataFrame:
+    """Equi-join that spreads hot keys of ``big`` over ``salt_buckets``
+    tasks.
+
+    A partial-aggregate pass counts ``big`` per key; keys with more than
+    ``hot_rows`` rows are hot (at most rows / hot_rows of them, so the hot
+    list is small and broadcast).  Rows of hot keys get a salt from a hash
+    of their own columns and the matching rows of ``other`` are replicated
+    once per salt; every other key joins as usual (salt 0, no copies).  A
+    key holding a third of ``big`` is then joined by ``salt_buckets``
+    tasks.  ``hot_rows=None`` salts every key.  ``how``: ``inner`` or
+    ``left`` (``big`` preserved).
+    """
     keys = [on] if isinstance(on, str) else list(on)
+    cols = salt_from or big.columns
+    salt = F.pmod(F.xxhash64(*cols), F.lit(salt_buckets)).cast("int")
+    copies = F.sequence(F.lit(0), F.lit(salt_buckets - 1))
+    if hot_rows is None:
+        b = big.withColumn("_salt", salt)
+        o = other.withColumn("_salt", F.explode(copies))
+    else:
+        hot = (big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+               .where(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot")))
+        hot = F.broadcast(hot)
+        b = big.join(hot, keys, "left") \
+            .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot")
+        o = other.join(hot, keys, "left") \
+            .withColumn("_salt", F.explode(F.when(F.col("_hot"), copies)
+                                           .otherwise(F.array(F.lit(0))))).drop("_hot")
     return b.join(o, keys + ["_salt"], how).drop("_salt")
 
 
 def broadcast_or_salted(big: DataFrame, other: DataFrame, on, how: str = "inner",
-                        max_rows: int = DEFAULT_BROADCAST_ROWS,
-                        salt_buckets: int = 32) -> DataFrame:
-    """Broadcast ``other`` when a count proves it small; otherwise a salted
-    shuffle join so that hot keys of ``big`` do not land in one task."""
+                        max_rows: int = DEFAULT_BROADCAST_ROWS, salt_buckets: int = 32,
+                        hot_rows: int | None = 1_000_000) -> DataFrame:
+    """Broadcast ``other`` when a count proves it small; otherwise a
+    shuffle join with hot keys salted (see ``salted_join``)."""
     n = other.limit(max_rows + 1).count()
     if n <= max_rows:
         return big.join(F.broadcast(other), on, how)
-    return salted_join(big, other, on, how, salt_buckets)
+    return salted_join(big, other, on, how, salt_buckets, hot_rows)
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys, how: str = "inner",

@@ -10,9 +10,11 @@ grid cells followed by an exact ray-casting test:
   only on the candidates of the point's cell.
 
 The polygon-cell table is broadcast only when a count shows it under the
-bound; beyond that the join is a shuffle join on (cell, salt): points get
-a salt from a hash of their columns and polygon cells are replicated per
-salt, so a dense cell (a downtown) is spread over many tasks.  Pick
+bound; beyond that the join is a shuffle join on (cell, salt): points of
+hot cells (more than ``hot_cell_rows`` points, found by a partial count)
+get a salt from a hash of their columns and those cells' polygon rows are
+replicated per salt, so a dense cell (a downtown) is spread over many
+tasks while ordinary cells join unsalted.  Pick
 ``cell`` so a cell holds few polygons; the point side is never collected.
 """
 
@@ -38,7 +40,7 @@ def polygon_cells(polygons: DataFrame, cell: float, rings: str = "rings") -> Dat
 def spatial_join(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat: str = "lat",
                  rings: str = "rings", poly_id: str = "poly_id", preserve: str = "points",
                  cell: float = 0.02, max_broadcast_rows: int = 2_000_000,
-                 salt_buckets: int = 16) -> DataFrame:
+                 salt_buckets: int = 16, hot_cell_rows: int = 1_000_000) -> DataFrame:
     """Attach to each point the polygons that contain it (``st_join``).
 
     ``preserve='points'``: every point kept; unmatched points (or NULL
@@ -54,10 +56,19 @@ def spatial_join(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat:
         cells = F.broadcast(cells)
         cond = [pts["_gx"] == cells["_gx"], pts["_gy"] == cells["_gy"]]
     else:
-        # a dense cell would be one task: salt the points, replicate cells
-        pts = pts.withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.lit(salt_buckets))
-                             .cast("int"))
-        cells = cells.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
+        # a dense cell would be one task: salt the points of hot cells and
+        # replicate those cells' polygon rows once per salt
+        hot = (pts.groupBy("_gx", "_gy").agg(F.count(F.lit(1)).alias("_n"))
+               .where(F.col("_n") > hot_cell_rows)
+               .select("_gx", "_gy", F.lit(True).alias("_hot")))
+        hot = F.broadcast(hot)
+        salt = F.pmod(F.xxhash64(*points.columns), F.lit(salt_buckets)).cast("int")
+        pts = pts.join(hot, ["_gx", "_gy"], "left") \
+            .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot")
+        copies = F.sequence(F.lit(0), F.lit(salt_buckets - 1))
+        cells = cells.join(hot, ["_gx", "_gy"], "left") \
+            .withColumn("_salt", F.explode(F.when(F.col("_hot"), copies)
+                                           .otherwise(F.array(F.lit(0))))).drop("_hot")
         cond = [pts["_gx"] == cells["_gx"], pts["_gy"] == cells["_gy"],
                 pts["_salt"] == cells["_salt"]]
     inside = G.point_in_polygon(cells[rings], pts[lon], pts[lat])

@@ -78,9 +78,13 @@ def test_salted_join_equals_plain_join(spark):
     big = spark.range(0, 3000).select((F.when(F.col("id") < 1000, 0).otherwise(F.col("id") % 7))
                                       .alias("k"), "id")
     small = spark.createDataFrame([(k, f"v{k}") for k in range(7)], "k long, v string")
-    a = sorted(tuple(r) for r in J.salted_join(big, small, "k", salt_buckets=5).collect())
     b = sorted(tuple(r) for r in big.join(small, "k").collect())
-    assert a == b
+    for hot in (None, 500):            # all keys salted / only key 0 is hot
+        a = sorted(tuple(r) for r in J.salted_join(big, small, "k", salt_buckets=5,
+                                                   hot_rows=hot).collect())
+        assert a == b
+    left = J.salted_join(big, small.where("k > 0"), "k", "left", salt_buckets=5, hot_rows=500)
+    assert left.count() == 3000
 
 
 def test_spatial_join_salted_path(spark):
@@ -91,7 +95,7 @@ def test_spatial_join_salted_path(spark):
     polys = spark.createDataFrame([(1, ring)], "poly_id int, rings " + G.RINGS_TYPE.simpleString())
     pts = spark.range(0, 200).select("id", (F.col("id") % 30 / 10.0).alias("lon"),
                                      F.lit(1.0).alias("lat"))
-    a = SP.spatial_join(pts, polys, cell=0.5, max_broadcast_rows=1)
+    a = SP.spatial_join(pts, polys, cell=0.5, max_broadcast_rows=1, hot_cell_rows=5)
     b = SP.spatial_join(pts, polys, cell=0.5)
     assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
 
