@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regioscope.functions.rsem import safe_div
-from regioscope.operators.joins import broadcast_if_small
+from regioscope.operators.joins import broadcast_if_small, broadcast_or_salted
 from regioscope.session import cut_lineage
 
 # -- RCA ------------------------------------------------------------------------
@@ -123,15 +123,18 @@ def relatedness(m: DataFrame, phi: DataFrame, include_self: bool = False) -> Dat
 
     Output ``(region, product, density)`` for every pair with a positive
     numerator.  phi is dimension-sized (products^2) and is broadcast only
-    behind a size check; otherwise the join runs as a shuffle join that AQE
-    splits when one product key is hot.
+    behind a size check; otherwise the join is a shuffle join in which the
+    hot products of M are salted.
     """
     sym = symmetric(cut_lineage(phi))
     if include_self:
         items = m.select(F.col("product").alias("a")).distinct()
         sym = sym.unionByName(items.select("a", F.col("a").alias("b"), F.lit(1.0).alias("phi")))
     den = sym.groupBy(F.col("b").alias("product")).agg(F.sum("phi").alias("_den"))
-    num = (m.join(broadcast_if_small(sym), m.product == sym.a)
+    # phi is broadcast when a count bounds it; otherwise hot products of M
+    # (present in very many regions) are salted
+    num = (broadcast_or_salted(m.select("region", "product"),
+                               sym.select(F.col("a").alias("product"), "b", "phi"), "product")
            .groupBy("region", F.col("b").alias("product"))
            .agg(F.sum("phi").alias("_num")))
     return (num.join(broadcast_if_small(den), "product")
