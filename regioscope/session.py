@@ -52,6 +52,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or \
         sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all "
+                               "executors (e.g. on HDFS or an object store)")
+        # local mode only (tests, a laptop): a fresh temp folder
         conf_dir = tempfile.mkdtemp(prefix="regioscope-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

@@ -57,3 +57,10 @@ def test_tune_by_f1_reports_every_grid_point(spark):
     rows = metrics.collect()
     assert len(rows) == 2 and all(0 <= r["f1"] <= 1 for r in rows)
     assert ML.best_reg_param(cvm) in (0.0, 0.5)
+
+
+def test_confusion_counts_sum_to_rows(spark):
+    from regioscope.plans import model as M
+    model, data, _, test = M.fitted(spark, "/root/testdata/sf0.001")
+    c = ML.confusion(ML.score(model, test, keep=("id", "y")))
+    assert sum(r["n"] for r in c.collect()) == test.count()
