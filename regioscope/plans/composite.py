@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from regioscope.functions import text as X
+from regioscope.functions.rsem import cast_all
 from regioscope.operators import aggregates as A
 from regioscope.operators import complexity as C
 from regioscope.operators import composite as P
@@ -17,7 +18,8 @@ from regioscope.plans.tables import INDICATORS_SQL
 
 def _zmatrix(spark, sf_dir):
     """Indicator matrix, cast and z-scored (sample sd)."""
-    return W.zscore(indicators(spark, sf_dir), INDICATOR_COLS)
+    # mutate_all(as.numeric) then scale()
+    return W.zscore(cast_all(indicators(spark, sf_dir), INDICATOR_COLS), INDICATOR_COLS)
 
 
 _Z_SQL = "WITH " + INDICATORS_SQL + ", z AS (SELECT entidad, " + ", ".join(

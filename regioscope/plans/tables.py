@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from regioscope.functions.rsem import safe_div
+from regioscope.functions.rsem import numeric_columns, safe_div
 from regioscope.operators import aggregates as A
 from regioscope.operators import joins as J
 from regioscope.operators import sampling as S
@@ -279,7 +279,10 @@ def _profile_sql():
 @query("a12_profile", sql=_profile_sql())
 def a12_profile(spark, sf_dir):
     """Column profile with exact R-type-7 quartiles (bounded input)."""
-    p = A.profile(indicators(spark, sf_dir), INDICATOR_COLS, exact=True)
+    ind = indicators(spark, sf_dir)
+    # select_if(is.numeric): every numeric column but the key
+    cols = [c for c in numeric_columns(ind) if c != "n_nationkey"]
+    p = A.profile(ind, cols, exact=True)
     return p.select("column", F.col("n").cast("long"), F.col("n_missing").cast("long"),
                     *[r6(c).alias(c) for c in ["mean", "sd", "min", "q1", "median",
                                                 "q3", "max"]])
