@@ -159,7 +159,7 @@ def _copartitioned(m: DataFrame):
 
 
 def fitness(m: DataFrame, iterations: int = 20, checkpoint_every: int = 5,
-            max_broadcast_rows: int = 2_000_000):
+            hint_broadcast: bool = False, max_broadcast_rows: int = 2_000_000):
     """Fitness of regions and complexity of products (Tacchella et al.).
 
     ``F_n(c) = sum_p M Q_{n-1}(p)``, ``Q_n(p) = 1 / sum_c M / F_{n-1}(c)``,
@@ -170,13 +170,15 @@ def fitness(m: DataFrame, iterations: int = 20, checkpoint_every: int = 5,
     degree one, so the rescaling is applied when the vectors are
     checkpointed (every ``checkpoint_every`` rounds and at the end): in
     between, ``F`` and ``Q`` are two linear plan chains with no scalar
-    jobs.  The vectors have one row per region / product; whether they are
-    broadcast is decided once from their row count.
+    jobs.  The vectors have one row per region / product.  By default the
+    rounds use plain joins and AQE broadcasts a vector only after measuring
+    its materialised size; ``hint_broadcast`` adds explicit hints behind a
+    row count instead.
     """
     m_r, m_p = _copartitioned(m.select("region", "product"))
     regions = m_r.select(F.col("region").alias("name")).distinct()
     products = m_p.select(F.col("product").alias("name")).distinct()
-    small = regions.count() + products.count() <= max_broadcast_rows
+    small = hint_broadcast and regions.count() + products.count() <= max_broadcast_rows
     fv = cut_lineage(regions.withColumn("value", F.lit(1.0)))
     qv = cut_lineage(products.withColumn("value", F.lit(1.0)))
     for i in range(iterations):
@@ -190,8 +192,10 @@ def fitness(m: DataFrame, iterations: int = 20, checkpoint_every: int = 5,
         fv, qv = f_new, q_new
         if (i + 1) % checkpoint_every == 0 or i == iterations - 1:
             fv, qv = cut_lineage(fv), cut_lineage(qv)
-            fv = fv.withColumn("value", F.col("value") / fv.select(F.avg("value")).scalar())
-            qv = qv.withColumn("value", F.col("value") / qv.select(F.avg("value")).scalar())
+            # rescaled vectors written once, so later rounds do not re-run
+            # the mean subqueries in every job
+            fv = cut_lineage(fv.withColumn("value", F.col("value") / fv.select(F.avg("value")).scalar()))
+            qv = cut_lineage(qv.withColumn("value", F.col("value") / qv.select(F.avg("value")).scalar()))
     return fv, qv
 
 
@@ -199,7 +203,7 @@ def fitness(m: DataFrame, iterations: int = 20, checkpoint_every: int = 5,
 
 
 def complexity_index(m: DataFrame, iterations: int = 20, checkpoint_every: int = 5,
-                     max_broadcast_rows: int = 2_000_000):
+                     hint_broadcast: bool = False, max_broadcast_rows: int = 2_000_000):
     """ECI (regions) and PCI (products) by the method of reflections.
 
     Each step maps region scores to products and back,
@@ -211,11 +215,13 @@ def complexity_index(m: DataFrame, iterations: int = 20, checkpoint_every: int =
     eigenvector instead of collapsing.  Final scores are z-scores; the sign
     makes ECI correlate positively with diversity, and PCI is the
     product-side image of ECI.  Returns ``(eci, pci)`` as ``(name, value)``.
+    Joins in the rounds are plain (AQE broadcasts measured-small sides)
+    unless ``hint_broadcast``.
     """
     kc = m.groupBy("region").agg(F.count(F.lit(1)).cast("double").alias("kc"))
     kp = m.groupBy("product").agg(F.count(F.lit(1)).cast("double").alias("kp"))
     kc, kp = cut_lineage(kc), cut_lineage(kp)
-    small = kc.count() + kp.count() <= max_broadcast_rows
+    small = hint_broadcast and kc.count() + kp.count() <= max_broadcast_rows
     mk = m.join(_bcast(kc, small), "region").join(_bcast(kp, small), "product")
     mk_c, mk_p = _copartitioned(mk)
 
@@ -223,8 +229,10 @@ def complexity_index(m: DataFrame, iterations: int = 20, checkpoint_every: int =
         xd = cut_lineage(xd.join(_bcast(kc, small), "region"))
         wmean = xd.select(F.sum(F.col("kc") * F.col("x")) / F.sum("kc")).scalar()
         xd = xd.withColumn("x", F.col("x") - wmean)
-        return xd.withColumn("x", safe_div(F.col("x"), xd.select(F.stddev_samp("x")).scalar())) \
-            .select("region", "x")
+        # written once: later rounds must not re-run the scalar subqueries
+        return cut_lineage(xd.withColumn("x", safe_div(F.col("x"),
+                                                       xd.select(F.stddev_samp("x")).scalar()))
+                           .select("region", "x"))
 
     x = deflate(kc.select("region", F.col("kc").alias("x")))
     for i in range(iterations):
@@ -258,7 +266,7 @@ def _edge_order(w, a, b):
     return F.struct(w.alias("w"), (-F.xxhash64(a)).alias("_"), a.alias("a"), b.alias("b"))
 
 
-def spanning_tree(edges: DataFrame, max_rounds: int = 64,
+def spanning_tree(edges: DataFrame, max_rounds: int = 64, hint_broadcast: bool = False,
                   max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """Maximum spanning forest of an undirected weighted graph
     ``(a, b, phi)`` by Boruvka rounds.
@@ -274,7 +282,7 @@ def spanning_tree(edges: DataFrame, max_rounds: int = 64,
     e = cut_lineage(e)
     nodes = e.select(F.col("a").alias("node")).union(e.select(F.col("b").alias("node"))).distinct()
     comp = cut_lineage(nodes.withColumn("comp", F.col("node")))
-    small = comp.count() <= max_broadcast_rows
+    small = hint_broadcast and comp.count() <= max_broadcast_rows
     tree = None
     for _ in range(max_rounds):
         cb = _bcast(comp, small)
