@@ -169,10 +169,17 @@ def m20_model_per_group(spark, sf_dir):
     train, _ = S.hash_split(bal, [0.75, 0.25], ["id"], seed=SEED)
     train = train.persist()
     states = [r[0] for r in train.select("cve_ent").distinct().orderBy("cve_ent").collect()]
+
+    def fit_one(st):
+        # each fit is itself distributed; a few run concurrently as
+        # separate Spark jobs (like CrossValidator's parallelism)
+        return ML.logistic_pipeline().fit(train.where(F.col("cve_ent") == st))
+
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max(1, min(8, len(states)))) as pool:
+        models = list(pool.map(fit_one, states))
     out = None
-    for st in states:
-        part = train.where(F.col("cve_ent") == st)
-        model = ML.logistic_pipeline().fit(part)
+    for st, model in zip(states, models):
         s = ML.score(model, data.where(F.col("cve_ent") == st), keep=("id", "cve_ent"))
         out = s if out is None else out.unionByName(s)
     return out.select("id", "cve_ent", "prediction",
