@@ -125,12 +125,13 @@ def logical_to_double(df: DataFrame) -> DataFrame:
 def round_numeric(df: DataFrame, digits: int = 2) -> DataFrame:
     """``mutate_if(is.numeric, round, digits)`` on the fractional columns.
 
-    Values are first canonicalised to 9 places so that float noise from
-    summation order cannot flip a half-way case."""
+    Values are first canonicalised to ``digits + 4`` places (at most 9) so
+    that float noise from summation order cannot flip a half-way case."""
     frac = [f.name for f in df.schema.fields
             if isinstance(f.dataType, (T.DoubleType, T.FloatType,
                                        T.DecimalType))]
-    return df.withColumns({c: F.round(F.round(F.col(c), 9), digits) for c in frac})
+    canon = min(9, digits + 4)
+    return df.withColumns({c: F.round(F.round(F.col(c), canon), digits) for c in frac})
 
 
 def cap(c, hi) -> Column:

@@ -32,10 +32,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def r6(c, digits: int = 6) -> Column:
-    """Round a computed double for value comparison: canonicalise to 9
-    places first, so that summation-order noise cannot flip a half-way
-    case, then round half-up to ``digits``."""
-    return F.round(F.round(F.col(c) if isinstance(c, str) else c, 9), digits)
+    """Round a computed double for value comparison: canonicalise to
+    ``min(9, digits + 4)`` places first, so that summation-order noise
+    cannot flip a half-way case, then round half-up to ``digits``."""
+    return F.round(F.round(F.col(c) if isinstance(c, str) else c, min(9, digits + 4)), digits)
 
 
 def r2(c) -> Column:

@@ -242,11 +242,13 @@ def x11_products_in_region(spark, sf_dir):
 
 # -- industry advantage table (X12) --------------------------------------------
 
-ADV_REGION = "NATION_9"
+# The reference reports one state; the registered plan covers every region
+# (pass a nation name to ``advantage_table`` for the one-region report).
+ADV_REGION = None
 _HOURS_ZERO = "ring"
 
 
-def _census(spark, sf_dir):
+def _census(spark, sf_dir, region=None):
     """City census per activity for one region: production, value added,
     expenses, income, staff, hours (zero for one activity family)."""
     li = load(spark, sf_dir, "lineitem")
@@ -254,9 +256,10 @@ def _census(spark, sf_dir):
     n = F.broadcast(load(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
     r = F.broadcast(load(spark, sf_dir, "region").select("r_regionkey", "r_name"))
     p = load(spark, sf_dir, "part").select("p_partkey", "p_name")
-    sn = (s.join(n, s.s_nationkey == n.n_nationkey).join(r, F.col("n_regionkey") == r.r_regionkey)
-          .where(F.col("n_name") == ADV_REGION)
-          .select("s_suppkey", F.concat_ws(", ", "n_name", "r_name").alias("state_id")))
+    sn = s.join(n, s.s_nationkey == n.n_nationkey).join(r, F.col("n_regionkey") == r.r_regionkey)
+    if region is not None:
+        sn = sn.where(F.col("n_name") == region)
+    sn = sn.select("s_suppkey", F.concat_ws(", ", "n_name", "r_name").alias("state_id"))
     j = li.join(J.broadcast_if_small(sn), li.l_suppkey == sn.s_suppkey) \
         .join(p, li.l_partkey == p.p_partkey)
     hours = F.when(F.col("p_name").contains(_HOURS_ZERO), F.lit(0.0)).otherwise(F.col("l_quantity"))
@@ -283,8 +286,7 @@ _ADV_NUM = ["employees_number", "activities_complexity_index", "affinity",
 , rel_r AS (SELECT c.region AS state_id, c.product AS national_industry_id,
                    upper(c.product) AS national_industry, c.value AS employees_number,
                    rel.density AS affinity, c.rca AS relative_comparative_advantage
-            FROM rcat c LEFT JOIN rel ON rel.region = c.region AND rel.product = c.product
-            WHERE c.region LIKE '{ADV_REGION},%'),
+            FROM rcat c LEFT JOIN rel ON rel.region = c.region AND rel.product = c.product),
 pci_t AS (SELECT name AS national_industry_id, upper(name) AS national_industry,
                  value AS activities_complexity_index FROM pci),
 census AS (
@@ -298,7 +300,7 @@ census AS (
          sum(CASE WHEN contains(p_name, '{_HOURS_ZERO}') THEN 0.0 ELSE l_quantity END) AS worked_hours
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
        JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey
-  WHERE n_name = '{ADV_REGION}' GROUP BY 1, 2),
+  GROUP BY 1, 2),
 adv AS (
   SELECT r.state_id, r.national_industry_id, r.national_industry, r.employees_number,
          p.activities_complexity_index, r.affinity, r.relative_comparative_advantage,
@@ -314,10 +316,15 @@ SELECT state_id, national_industry_id, national_industry,
 FROM adv
 """)
 def x12_advantage_table(spark, sf_dir):
-    """Industry advantage table for one region: activity complexity (PCI)
+    """Industry advantage table for every region: activity complexity (PCI)
     inner-joined to affinity and RCA on a composite key, left-joined to
     the census on a composite key, ratio metrics, rounded to 2 places,
     sorted by RCA."""
+    return advantage_table(spark, sf_dir, ADV_REGION)
+
+
+def advantage_table(spark, sf_dir, region=None):
+    """The advantage table, for all regions or one nation (``region``)."""
     m_all = C.rca(region_product(spark, sf_dir))
     m = C.incidence(m_all)
     _, pci = C.complexity_index(m, iterations=ECI_ROUNDS)
@@ -325,8 +332,8 @@ def x12_advantage_table(spark, sf_dir):
     pci_t = pci.select(F.col("name").alias("national_industry_id"),
                        F.upper("name").alias("national_industry"),
                        F.col("value").alias("activities_complexity_index"))
-    rel_r = (m_all.where(F.col("region").startswith(ADV_REGION + ","))
-             .join(rel, ["region", "product"], "left")
+    rows = m_all if region is None else m_all.where(F.col("region").startswith(region + ","))
+    rel_r = (rows.join(rel, ["region", "product"], "left")
              .select(F.col("region").alias("state_id"),
                      F.col("product").alias("national_industry_id"),
                      F.upper("product").alias("national_industry"),
@@ -334,7 +341,8 @@ def x12_advantage_table(spark, sf_dir):
                      F.col("density").alias("affinity"),
                      F.col("rca").alias("relative_comparative_advantage")))
     adv = J.join_keys(pci_t, rel_r, ["national_industry_id", "national_industry"], "inner")
-    adv = J.join_keys(adv, _census(spark, sf_dir), ["national_industry_id", "state_id"], "left")
+    adv = J.join_keys(adv, _census(spark, sf_dir, region), ["national_industry_id", "state_id"],
+                      "left")
     # positional ranges, resolved once against the column order
     census_cols = cols_between(adv, "gross_production", "total_income") + \
         cols_between(adv, "worked_hours", "productivity")

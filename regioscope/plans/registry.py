@@ -23,9 +23,11 @@ def query(name: str, sql: str | None = None):
 
 
 def R6(expr: str, digits: int = 6) -> str:
-    """SQL twin of ``bindings.r6``: canonicalise to 9 places as a DECIMAL,
-    round half away from zero to ``digits``, back to DOUBLE (no -0.0)."""
-    return (f"CAST(round(CAST(CAST({expr} AS DOUBLE) AS DECIMAL(38, 9)), {digits})"
+    """SQL twin of ``bindings.r6``: canonicalise to ``min(9, digits + 4)``
+    places as a DECIMAL, round half away from zero to ``digits``, back to
+    DOUBLE (no -0.0)."""
+    canon = min(9, digits + 4)
+    return (f"CAST(round(CAST(CAST({expr} AS DOUBLE) AS DECIMAL(38, {canon})), {digits})"
             " AS DOUBLE)")
 
 
