@@ -133,6 +133,19 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     w.parquet(path)
 
 
+def read_parquet(spark: SparkSession, path, infer_partition_types: bool = False) -> DataFrame:
+    """Parquet scan whose partition folder values stay strings (``09``
+    is not 9); partition discovery happens when the DataFrame is made, so
+    inference is switched off only for that call."""
+    key = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    old = spark.conf.get(key, "true")
+    spark.conf.set(key, str(infer_partition_types).lower())
+    try:
+        return spark.read.parquet(*(path if isinstance(path, (list, tuple)) else [path]))
+    finally:
+        spark.conf.set(key, old)
+
+
 def save_model(model, path: str) -> None:
     """Model sink (S12); reload with ``PipelineModel.load``."""
     model.write().overwrite().save(path)
