@@ -109,3 +109,12 @@ def test_json_cube_reader(spark, tmp_path):
     df = R.clean_names(df)
     assert df.columns == ["state", "eci_ranking", "eci"]
     assert sorted(r["eci_ranking"] for r in df.collect()) == [3, 5]
+
+
+def test_bulk_casts_and_rounding(spark):
+    df = spark.createDataFrame([("1.5", True, 0.125), ("x", False, 2.675)], "a string, b boolean, c double")
+    out = R.round_numeric(R.logical_to_double(R.cast_all(df, ["a"])), 2).collect()
+    assert out[0]["a"] == 1.5 and out[1]["a"] is None          # bad text -> NULL, no error
+    assert out[0]["b"] == 1.0 and out[1]["b"] == 0.0
+    assert out[0]["c"] == 0.13 and out[1]["c"] == 2.68         # half-up on the decimal value
+    assert R.numeric_columns(df) == ["c"]
