@@ -34,3 +34,9 @@ def vocabulary() -> str:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regioscope.llm import bpe_boundaries
     return bpe_boundaries.digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@register("op5_odd_sketch")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regioscope.llm import odd_sketch
+    return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"))
