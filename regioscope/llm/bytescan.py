@@ -17,7 +17,7 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes that one vectorised step looks at; bounds the memory of a task.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

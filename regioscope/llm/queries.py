@@ -40,3 +40,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regioscope.llm import odd_sketch
     return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op10_suffix_radix")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regioscope.llm import suffix_radix
+    return suffix_radix.digests(table(spark, sf_dir, "documents"))

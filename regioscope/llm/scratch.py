@@ -27,9 +27,13 @@ def folder(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: the
     lineage ends there and later uses read it column by column."""
-    path = folder(df.sparkSession, name)
+    spark = df.sparkSession
+    path = folder(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # Spark deletes the shuffle files of finished jobs when the driver's
+    # garbage is collected; ask for that now, not when memory runs short
+    spark._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @atexit.register
