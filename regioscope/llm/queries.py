@@ -46,3 +46,27 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regioscope.llm import suffix_radix
     return suffix_radix.digests(table(spark, sf_dir, "documents"))
+
+
+_BASE32 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+
+OP7_SQL = f"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT html, min(page_id) AS first_id FROM p GROUP BY html),
+d AS (
+  SELECT h, string_agg(substr({_BASE32}, 1 + CAST(
+      (CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1),
+      '' ORDER BY i) AS digest
+  FROM (SELECT DISTINCT h FROM p), range(32) t(i) GROUP BY h)
+SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM p JOIN f USING (html) JOIN d USING (h)
+"""
+
+
+@register("op7_warc_index", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regioscope.llm import warc
+    return warc.round_trip(table(spark, sf_dir, "pages"))
