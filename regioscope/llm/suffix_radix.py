@@ -102,6 +102,13 @@ def runs(docs: DataFrame, length: int) -> DataFrame:
                                 "anchor long, body long")
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches, so that what a task makes of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"),
@@ -114,7 +121,7 @@ def _contents(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         F.collect_list(F.struct("start", "n", "lead", "anchor", "body", "copies")).alias("of"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches, 500):
             raw, off = text_buffers(batch.column(2))
             lists = batch.column(3)
             items = lists.flatten()
@@ -122,13 +129,13 @@ def _contents(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             start = np.asarray(items.field("start"))
             first = (off[row] + start).tolist()
             last = (off[row] + start + np.asarray(items.field("n")) - 1 + length).tolist()
-            data = raw.tobytes()
+            data = memoryview(raw)
             keys = pa.array(row)
             names = ["start", "n", "lead", "anchor", "body", "copies"]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(keys), batch.column(1).take(keys),
                  *(items.field(c) for c in names),
-                 pa.array([data[s:e] for s, e in zip(first, last)], pa.binary())],
+                 pa.array([bytes(data[s:e]) for s, e in zip(first, last)], pa.binary())],
                 ["id", "fp", *names, "piece"])
 
     return (docs.select("id", "fp", "text").dropDuplicates(["id", "fp"]).join(lists, ["id", "fp"])
@@ -152,12 +159,6 @@ def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _small(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _blocks(pieces: DataFrame, length: int) -> DataFrame:
     """(run columns, block, low, high, core, whole): blocks of window
     offsets before the anchor; ``whole`` is null where the run does not own
@@ -268,9 +269,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches, 500):
             raw, off = text_buffers(batch.column(1))
-            data, at = raw.tobytes(), off.tolist()
+            data, at = raw[off[0]:off[-1]].tobytes(), (off - off[0]).tolist()
             spans, kept = [], []
             for i, (firsts, lasts) in enumerate(zip(batch.column(2).to_pylist(),
                                                     batch.column(3).to_pylist())):
