@@ -70,3 +70,12 @@ FROM p JOIN f USING (html) JOIN d USING (h)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regioscope.llm import warc
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@register("op4_site_style_tree")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from regioscope.llm import site_style_tree
+    out = site_style_tree.extract(table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
