@@ -79,3 +79,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regioscope.llm import site_style_tree
     out = site_style_tree.extract(table(spark, sf_dir, "pages"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@register("op9_winnowing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regioscope.llm import winnowing
+    return winnowing.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
