@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regioscope.llm.scratch import materialize
@@ -44,32 +44,41 @@ def connected_components(links: DataFrame) -> DataFrame:
         labels = materialize(step.join(on, "c").select("id", "component"), "labels")
 
 
-def bucket_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def bucket_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame],
+                 near: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Confirmed links (a, b), a < b, that connect the rows sharing buckets
     as all confirmed links would.
 
     ``members`` has (bucket, id); ``confirm`` takes distinct pairs (a, b) and
     returns those that hold.  Every pair of a bucket is compared, but for
-    those that earlier links have put into one group already.
+    those that earlier links have put into one group already.  With ``near``
+    the members also have a column ``sig``, and pairs whose two values fail
+    ``near`` are left out inside the joins, before ``confirm``.
     """
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("lead")) \
+    sig = ["sig"] if near else []
+    ok = near(F.col("sig"), F.col("other")) if near else F.lit(True)
+    lead = F.min(F.struct("id", *sig)) if near else F.struct(F.min("id").alias("id"))
+    crowded = members.groupBy("bucket").agg(F.count("*").alias("n"), lead.alias("lead")) \
         .where("n > 1").select("bucket", "lead")
     members = materialize(members.join(crowded, "bucket"), "members")
-    tried = materialize(members.where("lead != id")
-                        .select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(),
+    led = members.where("lead.id != id")
+    if near:
+        led = led.withColumn("other", F.col("lead.sig")).where(ok)
+    tried = materialize(led.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct(),
                         "tried")
     first = materialize(confirm(tried), "confirmed")
     groups = connected_components(first).withColumnRenamed("id", "node")
     placed = (members.join(groups, members.id == groups.node, "left")
-              .select("bucket", "id", F.coalesce("component", "id").alias("grp")))
+              .select("bucket", "id", *sig, F.coalesce("component", "id").alias("grp")))
     placed = materialize(placed, "placed")
     sizes = placed.groupBy("bucket", "grp").agg(F.count("*").alias("n"))
     mixed = (sizes.groupBy("bucket").agg(F.max_by("grp", F.struct("n", "grp")).alias("main"),
                                          F.count("*").alias("groups"))
              .where("groups > 1").select("bucket", "main"))
     open_ = placed.join(mixed, "bucket")
-    few = open_.where("grp != main").select("bucket", F.col("id").alias("x"), F.col("grp").alias("gx"))
-    rest = (few.join(open_, "bucket").where("grp != gx")
+    few = open_.where("grp != main").select("bucket", F.col("id").alias("x"), F.col("grp").alias("gx"),
+                                            *(F.col(c).alias("other") for c in sig))
+    rest = (few.join(open_, "bucket").where((F.col("grp") != F.col("gx")) & ok)
             .select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
             .join(tried, ["a", "b"], "left_anti"))
     second = materialize(confirm(materialize(rest, "rest")), "confirmed")
