@@ -95,3 +95,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.char_length("text").cast("long").alias("n_chars_kept"),
                       F.sha2("text", 256).alias("text_sha256"))
+
+
+@register("op8_co_training")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regioscope.llm import co_training
+    out = co_training.add_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "text_score", "meta_score", "score", "kept")
