@@ -102,3 +102,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regioscope.llm import co_training
     out = co_training.add_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "text_score", "meta_score", "score", "kept")
+
+
+@register("op1_context_tree")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regioscope.llm import context_tree
+    return context_tree.score(table(spark, sf_dir, "documents"))
