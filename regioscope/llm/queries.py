@@ -108,3 +108,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regioscope.llm import context_tree
     return context_tree.score(table(spark, sf_dir, "documents"))
+
+
+@register("op3_pivot_permutation")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regioscope.llm import pivot_permutation
+    return pivot_permutation.near_duplicates(table(spark, sf_dir, "embeddings"))
