@@ -39,6 +39,9 @@ from regioscope.llm.scratch import materialize
 
 LABELLED, POOL, VOCABULARY, FEWEST = 20_000, 10_000, 1 << 15, 20
 ROUNDS, CONFIDENT, PSEUDO_WEIGHT = 2, 0.98, 0.5
+#: Documents below this score are rejected; less than half, as a text of a few
+#: words says little and should not go for that.
+CUT = 0.4
 MEASURES = ("chars", "words", "lines", "distinct", "capitals", "digits", "marks", "long", "end")
 
 
@@ -109,7 +112,7 @@ class QualityModel:
         return df.select(*docs.columns, sigmoid(F.col("_q_t")).alias("text_score"),
                          sigmoid(F.col("_q_m")).alias("meta_score"),
                          sigmoid(F.col("_q_t") + F.col("_q_m") - self.prior).alias("score")) \
-            .withColumn("kept", F.col("score") >= 0.5)
+            .withColumn("kept", F.col("score") >= CUT)
 
 
 def _calibrate(odds: DataFrame, col: str) -> tuple[float, float]:
