@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from regioscope.llm.bytescan import text_buffers
 
 #: Fragments that a task remembers, and the longest one that it remembers.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 
 # Fixed values of byte-level BPE: white space, and the pre-tokeniser's pattern.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -72,10 +72,14 @@ class BoundaryBPE:
         for t, i in vocab.items():
             if len(raw[t]) == 1:
                 self.byte_id[raw[t][0]] = i
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
+        # the pair of ids that each merge joins, packed, and by rank its result
+        self.rank: dict[int, int] = {}
+        self.pair, self.joined = [], []
         for rank, m in enumerate(spec["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
-            self.merge[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.pair.append(vocab[a] << 32 | vocab[b])
+            self.joined.append(vocab[a + b])
+            self.rank[self.pair[-1]] = rank
         self.split_special = regex.compile(
             "(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") \
             if self.special else None
@@ -111,25 +115,30 @@ class BoundaryBPE:
 
     def _merge_word(self, word: bytes) -> list[int]:
         """Merges of one pre-token, lowest rank first, leftmost on ties."""
+        rank, pair = self.rank, self.pair
         ids = [self.byte_id[b] for b in word]
         n = len(ids)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(*self.merge[p], i, *p) for i in range(n - 1) if (p := (ids[i], ids[i + 1])) in self.merge]
-        heap = [(r, i, new, a, b) for r, new, i, a, b in heap]
+        # a heap entry is one integer: the rank, then the place
+        heap = [r << 32 | i for i, (a, b) in enumerate(zip(ids, ids[1:]))
+                if (r := rank.get(a << 32 | b)) is not None]
         heapq.heapify(heap)
-        alive = [True] * n
         while heap:
-            _, i, new, a, b = heapq.heappop(heap)
-            j = right[i] if alive[i] else -1
-            if j < 0 or ids[i] != a or ids[j] != b:
+            top = heapq.heappop(heap)
+            i, r = top & 0xFFFFFFFF, top >> 32
+            j = right[i]
+            if j < 0 or ids[i] << 32 | ids[j] != pair[r]:
                 continue
-            ids[i], alive[j], right[i] = new, False, right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            for s, t in ((left[i], i), (i, right[i])):
-                if s >= 0 and t >= 0 and (m := self.merge.get((ids[s], ids[t]))):
-                    heapq.heappush(heap, (m[0], s, m[1], ids[s], ids[t]))
-        return [x for x, ok in zip(ids, alive) if ok]
+            ids[i], after = self.joined[r], right[j]
+            ids[j], right[j], right[i] = -1, -1, after
+            if after >= 0:
+                left[after] = i
+                if (r := rank.get(ids[i] << 32 | ids[after])) is not None:
+                    heapq.heappush(heap, r << 32 | i)
+            before = left[i]
+            if before >= 0 and (r := rank.get(ids[before] << 32 | ids[i])) is not None:
+                heapq.heappush(heap, r << 32 | before)
+        return [x for x in ids if x >= 0]
 
     def _fragment_ids(self, piece: bytes) -> bytes:
         ids: list[int] = []
