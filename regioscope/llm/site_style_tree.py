@@ -9,9 +9,10 @@ how much a node varies over the host's m pages:
   found on c of m pages has the entropy log c / log m: 0 where it is unique,
   1 where it stands on every page.
 
-A branch is as important as the larger of its presentation and of the mean
-content below it, weighted by characters.  Menus, adverts and notices that a
-site repeats come out low, and the branch is cut from every page of the host.
+A branch is as important as the larger of its presentation and of the most
+important content below it, so only a branch without any important part is
+low.  Menus, adverts and notices that a site repeats come out low, and the
+branch is cut from every page of the host.
 
 A host with few pages says little, so its figures are shrunk towards those
 of the same path over all hosts, and those towards a value for the role of
@@ -29,7 +30,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -67,6 +67,7 @@ CLUTTER_WORDS = frozenset(
     "notice notices overlay popup promo promoted related replies share sharing sidebar signup social "
     "sponsor sponsored subscribe toolbar widget".split())
 CONTENT_TAGS = frozenset(("article", "main"))
+INSIDE = r"(^|/)(article|main)(\.|/|$)"
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -168,15 +169,15 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def style_rows(page: str) -> tuple[dict[str, int], Counter]:
+def style_rows(page: str) -> tuple[dict[str, int], set[tuple[str, int]]]:
     """Of one page: the presentation of each node (a hash of the children of
-    all its instances), and characters by (node, text)."""
+    all its instances), and its distinct (node, text)."""
     children: dict[str, list[str]] = {}
-    texts: Counter = Counter()
+    texts: set[tuple[str, int]] = set()
     for path, text in blocks(page):
         node = "/".join(path)
         if text:
-            texts[node, _hash(text)] += len(text)
+            texts.add((node, _hash(text)))
             children.setdefault(node, []).append("#")
         else:
             children.setdefault(node, [])
@@ -185,45 +186,45 @@ def style_rows(page: str) -> tuple[dict[str, int], Counter]:
 
 
 def _observations(pages: DataFrame) -> DataFrame:
-    """(host, node, kind, feature, chars): a row per page and node with its
+    """(host, node, kind, feature): a row per page and node with its
     presentation (kind 0) and per page, node and text (kind 1)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["host", "node", "kind", "feature", "chars"]
+        names = ["host", "node", "kind", "feature"]
         for batch in batches:
             rows: list[tuple] = []
             for i, (url, page) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), 1):
                 host = host_of(url)
                 seen, texts = style_rows(page or "")
-                rows += [(host, n, 0, f, 0) for n, f in seen.items()]
-                rows += [(host, n, 1, f, c) for (n, f), c in texts.items()]
+                rows += [(host, n, 0, f) for n, f in seen.items()]
+                rows += [(host, n, 1, f) for n, f in texts]
                 if len(rows) > 20_000 or i == batch.num_rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows],
                                                      schema=pa.schema([("host", pa.string()), ("node", pa.string()),
-                                                                       ("kind", pa.int32()), ("feature", pa.int64()),
-                                                                       ("chars", pa.int64())]))
+                                                                       ("kind", pa.int32()), ("feature", pa.int64())]))
                     rows = []
 
     return (pages.select(F.col("url").cast("string"), F.col("html").cast("string"))
-            .mapInArrow(run, "host string, node string, kind int, feature long, chars long"))
+            .mapInArrow(run, "host string, node string, kind int, feature long"))
 
 
 def _importance(counts: DataFrame, by: list[str]) -> DataFrame:
-    """(by, node, m, importance) from (by, node, kind, feature, n, chars)."""
+    """(by, node, m, importance) from (by, node, kind, feature, n)."""
     # HTML seen on one page only says nothing about repetition: importance 1
     own = (counts.where("kind = 0").groupBy(*by, "node")
            .agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
            .select(*by, "node", "m", F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m"))
                    .otherwise(1.0).alias("style")))
     texts = (counts.where("kind = 1").groupBy(*by, "node")
-             .agg(F.sum(F.log("n")).alias("logs"), F.count("*").alias("kinds"), F.sum("chars").alias("chars")))
+             .agg(F.sum(F.log("n")).alias("logs"), F.count("*").alias("kinds")))
     leaf = (own.join(texts, [*by, "node"]).select(
-        *by, "node", "chars",
-        (1 - F.when(F.col("m") > 1, F.col("logs") / F.col("kinds") / F.log("m")).otherwise(0.0)).alias("content")))
+        *by, "node",
+        F.when(F.col("node").rlike(INSIDE), 1.0).when(F.col("m") > 1, 1 - F.col("logs") / F.col("kinds") / F.log("m"))
+        .otherwise(1.0).alias("content")))
     parts = F.split("node", "/")
     branch = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)),
                                    lambda i: F.array_join(F.slice(parts, 1, i), "/")))
     below = (leaf.withColumn("node", branch).groupBy(*by, "node")
-             .agg((F.sum(F.col("content") * F.col("chars")) / F.sum("chars")).alias("content")))
+             .agg(F.max("content").alias("content")))
     return own.join(below, [*by, "node"], "left").select(
         *by, "node", "m", F.greatest("style", F.coalesce("content", F.lit(0.0))).alias("importance"))
 
@@ -237,16 +238,16 @@ def _role(last: Column) -> Column:
 def low_branches(pages: DataFrame) -> DataFrame:
     """(host, node) of the branches to cut."""
     counts = materialize(_observations(pages).groupBy("host", "node", "kind", "feature")
-                         .agg(F.count("*").alias("n"), F.sum("chars").alias("chars")), "style-counts")
+                         .agg(F.count("*").alias("n")), "style-counts")
     site = _importance(counts, ["host"])
     wide = _importance(counts.groupBy("node", "kind", "feature")
-                       .agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")), [])
+                       .agg(F.sum("n").alias("n")), [])
     wide = wide.select("node", F.col("m").alias("mw"), F.col("importance").alias("iw"))
     clutter = _role(F.element_at(F.split("node", "/"), -1))
     prior = F.when(clutter, 0.0).otherwise(1.0)
     general = (F.col("mw") * F.col("iw") + SHRINK * prior) / (F.col("mw") + SHRINK)
     score = (F.col("m") * F.col("importance") + SHRINK * general) / (F.col("m") + SHRINK)
-    inside = F.col("node").rlike(r"(^|/)(article|main)(\.|/|$)")
+    inside = F.col("node").rlike(INSIDE)
     return (site.join(wide, "node")
             .withColumn("score", F.when(clutter, score * 0.25).when(inside, F.lit(1.0)).otherwise(score))
             .where(F.col("score") < LEAST).select("host", "node"))
