@@ -20,8 +20,8 @@ all.  Their number grows with the cube root of the number of vectors (up to
 from growing.  Every row is indexed.
 
 Vectors that are null, empty or zero, or hold null or non-finite
-components, link with nothing and are components of their own.  Vectors of different length
-are not compared.  Rows that repeat an id count as vectors of their own.
+components, link with nothing and are components of their own, as are rows
+without an id.  Vectors of different length are not compared.  Rows that repeat an id count as vectors of their own.
 """
 
 from __future__ import annotations
@@ -188,14 +188,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     """(id, n_links, component_id, kept) of every row."""
     vec = F.col(vec_col)
     usable = F.coalesce((F.size(vec) > 0) & F.forall(vec, lambda x: F.coalesce(
-        ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(vec, lambda x: x != 0), F.lit(False))
+        ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(vec, lambda x: x != 0) & F.col(id_col).isNotNull(), F.lit(False))
     rows = materialize(vectors.select(F.col(id_col).alias("id"), F.when(usable, vec).alias("vec"))
                        .withColumns({"h1": F.when(F.col("vec").isNotNull(), F.xxhash64("vec")),
                                      "h2": F.when(F.col("vec").isNotNull(), F.xxhash64(F.lit(1), "vec"))}), "vectors")
-    classes = materialize(rows.where("vec is not null and id is not null").groupBy("h1", "h2")
+    classes = materialize(rows.where("vec is not null").groupBy("h1", "h2")
                           .agg(F.min("id").cast("long").alias("rep"), F.count("*").alias("n"),
                                F.first("vec").alias("vec")).withColumn("dim", F.size("vec")), "vector-classes")
-    # one id in several classes (a repeated id) would join them: number the rest by hash
     pivots = {}
     for dim, count in [tuple(r) for r in classes.groupBy("dim").count().collect()]:  # the lengths in use
         wanted = min(MOST_PIVOTS, max(32, round(6 * count ** (1 / 3))))
