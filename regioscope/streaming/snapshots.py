@@ -3,12 +3,14 @@
 The reference loops over one registry file per period and writes one
 aggregate per file.  Here that loop is a file-source stream: every new
 snapshot file that lands in the folder is read with the declared schema,
-its period is taken from the file name, and the batch's per-(period, key)
-partial aggregates are appended to a parquet table.  ``availableNow``
+its period is taken from the file name, and each micro-batch's per-(period, key)
+partial aggregates are written to a folder of their own, ``batch_id=n``.
+The aggregate is made of the batch's own rows (no state is carried on), so
+several files of one period in several runs add up, and a batch that is
+retried overwrites its own folder instead of counting again.  ``availableNow``
 processes whatever is present and stops, so the same job serves a backfill
 and a scheduled run; the checkpoint (in the shared checkpoint folder)
-records which files were done, so a rerun or a lost executor never counts
-a file twice.  The final roll-up reads the partial table and merges the
+records which files were done.  The final roll-up reads the partial table and merges the
 partials (sums), which is exact for means and counts.
 """
 
@@ -35,14 +37,14 @@ def ingest_snapshots(spark: SparkSession, source_dir: str, schema: T.StructType
     part_of_path = F.element_at(F.split(F.col("_metadata.file_path"), "/"), component)
     rows = r.csv(source_dir).withColumn(
         "period", D.period_from_path(F.concat(F.lit("/"), part_of_path), digits, century))
-    part = (rows.groupBy("period", *keys)
-            .agg(F.sum(value).alias("sum_value"), F.count(value).alias("n_value"),
-                 F.count(F.lit(1)).alias("n_rows")))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_dir)
+        part = (batch.groupBy("period", *keys)
+                .agg(F.sum(value).alias("sum_value"), F.count(value).alias("n_value"),
+                     F.count(F.lit(1)).alias("n_rows")))
+        part.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
 
-    q = (part.writeStream.outputMode("update").foreachBatch(write_batch)
+    q = (rows.writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
