@@ -66,13 +66,13 @@ def bbox(rings) -> Column:
 
 
 def haversine_m(lon1, lat1, lon2, lat2) -> Column:
-    """Great-circle distance in metres."""
+    """Great-circle distance in metres; NULL if any coordinate is."""
     r = math.pi / 180.0
     la1, la2 = _c(lat1) * r, _c(lat2) * r
     dla = (_c(lat2) - _c(lat1)) * r
     dlo = (_c(lon2) - _c(lon1)) * r
     h = F.pow(F.sin(dla / 2), 2) + F.cos(la1) * F.cos(la2) * F.pow(F.sin(dlo / 2), 2)
-    return 2 * EARTH_RADIUS_M * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return F.when(h.isNotNull(), 2 * EARTH_RADIUS_M * F.asin(F.least(F.lit(1.0), F.sqrt(h))))
 
 
 def local_xy(lon, lat, lon0: float, lat0: float):

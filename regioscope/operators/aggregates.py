@@ -94,57 +94,69 @@ def minority_size(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFra
     return counts.agg(F.min("_n").alias("minority"))
 
 
-def correlation_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pairwise Pearson correlation of ``cols`` as ``(var1, var2, corr)``.
+def correlation_long(df: DataFrame, cols: Sequence[str], n: str | None = None) -> DataFrame:
+    """Pairwise Pearson correlation of ``cols`` as ``(var1, var2, corr)``,
+    with the number of rows as column ``n`` if named.
 
-    One aggregation pass computes all k(k+1)/2 moments; constant columns give
-    NULL instead of a division error.  Output has k*k rows.
+    One aggregation pass computes all k(k+1)/2 moments.  As in R a missing
+    value in either column makes the correlation missing; constant columns
+    give NULL instead of a division error.  Output has k*k rows.
     """
     cols = list(cols)
     aggs = []
     for i, a in enumerate(cols):
         for b in cols[i:]:
             x, y = F.col(a).cast("double"), F.col(b).cast("double")
-            aggs.append(safe_div(F.covar_samp(x, y),
-                                 F.stddev_samp(x) * F.stddev_samp(y))
+            whole = F.count_if(nan_to_null(x).isNull() | nan_to_null(y).isNull()) == 0
+            aggs.append(F.when(whole, safe_div(F.covar_samp(x, y),
+                                               F.stddev_samp(x) * F.stddev_samp(y)))
                         .alias(f"{i}_{cols.index(b)}"))
-    wide = df.agg(*aggs)
+    wide = df.agg(*aggs, F.count(F.lit(1)).alias("_rows"))
     pairs = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
             key = f"{min(i, j)}_{max(i, j)}"
+            size = [F.col("_rows").alias(n)] if n else []
             pairs.append(F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
-                                  F.col(key).alias("corr")))
+                                  F.col(key).alias("corr"), *size))
     return wide.select(F.inline(F.array(*pairs)))
 
 
-def profile(df: DataFrame, cols: Sequence[str], exact: bool | None = None,
-            accuracy: int = 10000, max_exact_rows: int = 1_000_000) -> DataFrame:
+def profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Column profile (``summary``): n, NA count, mean, sd, min, quartiles
-    (R's type-7 interpolation when exact) and max, one row per column.
+    (R's type 7, exact at every size) and max, one row per column.
 
-    Exact quartiles (``percentile``) keep every distinct value of a column
-    in the final aggregate, so by default they are used only when a count
-    shows at most ``max_exact_rows`` rows (indicator matrices); larger
-    tables get the bounded-memory ``percentile_approx``.
+    Quartiles come from the positions of the distinct values in a
+    distributed sort; no task or aggregate holds a whole column.
     """
-    if exact is None:
-        exact = df.limit(max_exact_rows + 1).count() <= max_exact_rows
+    from regioscope.operators.composite import value_positions
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        if exact:
-            qs = [F.percentile(x, p) for p in (0.25, 0.5, 0.75)]
-        else:
-            qs = [F.percentile_approx(x, p, accuracy) for p in (0.25, 0.5, 0.75)]
         aggs.append(F.struct(
             F.lit(c).alias("column"),
             F.count(F.lit(1)).alias("n"),
             F.count_if(x.isNull()).alias("n_missing"),
             F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"),
-            F.min(x).alias("min"), qs[0].alias("q1"), qs[1].alias("median"),
-            qs[2].alias("q3"), F.max(x).alias("max")).alias(c))
-    return df.agg(*aggs).select(F.inline(F.array(*[F.col(c) for c in cols])))
+            F.min(x).alias("min"), F.max(x).alias("max")).alias(c))
+    base = df.agg(*aggs).select(F.inline(F.array(*[F.col(c) for c in cols])))
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"))
+        for c in cols]))).where("x is not null")
+    sizes = base.select("column", (F.col("n") - F.col("n_missing")).alias("m"))
+    at = value_positions(long, "column", "x").join(F.broadcast(sizes), "column")  # one row per column
+    parts = []
+    for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        h = (F.col("m") - 1) * p
+        for end, rank in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            inside = (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
+            parts.append(F.max(F.when(inside, F.col("x"))).alias(f"{name}_{end}"))
+        parts.append(F.first(h - F.floor(h)).alias(f"{name}_part"))
+    found = at.groupBy("column").agg(*parts)
+    quart = [(F.col(f"{q}_lo") + F.col(f"{q}_part") * (F.col(f"{q}_hi") - F.col(f"{q}_lo"))).alias(q)
+             for q in ("q1", "median", "q3")]
+    return base.join(found, "column", "left").select("column", "n", "n_missing", "mean", "sd", "min",
+                                                     *quart, "max")
 
 
 def dissolve(df: DataFrame, by: Sequence[str], rings: str = "rings",

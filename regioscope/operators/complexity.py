@@ -34,19 +34,21 @@ from regioscope.session import cut_lineage
 
 def rca(df: DataFrame, region: str = "country", product: str = "product",
         value: str = "value", cutoff: float = 1.0, min_region_total: float | None = None,
-        min_product_total: float | None = None) -> DataFrame:
+        min_product_total: float | None = None, drop_nonpositive: bool = False) -> DataFrame:
     """Balassa RCA: ``(x_cp / x_c.) / (x_.p / x_..)`` and ``m = rca >= cutoff``.
 
-    Cells are pre-aggregated; non-positive and missing values are dropped
-    (zero cells stay implicit).  ``min_region_total`` / ``min_product_total``
+    Cells are pre-aggregated; missing values are dropped.  Negative and zero
+    cells count in the margins (value added can be negative);
+    ``drop_nonpositive`` leaves them out.  ``min_region_total`` / ``min_product_total``
     keep only regions / products whose total value reaches the threshold
     (the ``threshold=...:900`` of a complexity service) before any index is
     computed.  Output ``(region, product, value, rca, m)``.
     """
     cells = (df.where(F.col(value).isNotNull())
              .groupBy(F.col(region).alias("region"), F.col(product).alias("product"))
-             .agg(F.sum(value).alias("value"))
-             .where(F.col("value") > 0))
+             .agg(F.sum(value).alias("value")))
+    if drop_nonpositive:
+        cells = cells.where(F.col("value") > 0)
     for key, bound in (("region", min_region_total), ("product", min_product_total)):
         if bound is not None:
             keep = cells.groupBy(key).agg(F.sum("value").alias("_t")) \
@@ -262,8 +264,8 @@ def complexity_index(m: DataFrame, iterations: int = 20, checkpoint_every: int =
 
 
 def _edge_order(w, a, b):
-    """Total order on edges: heavier first, then by endpoints."""
-    return F.struct(w.alias("w"), (-F.xxhash64(a)).alias("_"), a.alias("a"), b.alias("b"))
+    """Total order on edges: heavier first, ties to the larger endpoints."""
+    return F.struct(w.alias("w"), a.alias("a"), b.alias("b"))
 
 
 def spanning_tree(edges: DataFrame, max_rounds: int = 64, hint_broadcast: bool = False,
@@ -284,7 +286,9 @@ def spanning_tree(edges: DataFrame, max_rounds: int = 64, hint_broadcast: bool =
     comp = cut_lineage(nodes.withColumn("comp", F.col("node")))
     small = hint_broadcast and comp.count() <= max_broadcast_rows
     tree = None
-    for _ in range(max_rounds):
+    for rounds in range(max_rounds + 1):
+        if rounds == max_rounds:
+            raise RuntimeError(f"spanning tree not finished after {max_rounds} rounds")
         cb = _bcast(comp, small)
         ce = (e.join(cb.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a")
               .join(cb.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
@@ -382,7 +386,9 @@ def betweenness(net: DataFrame, weighted: bool = True, weight: str = "weight",
     start = nodes.select(F.col("v").alias("s"), "v", F.lit(0.0).alias("dist"),
                          F.lit(1.0).alias("sigma"))
     d = cut_lineage(start)
-    for _ in range(max_rounds):
+    for rounds in range(max_rounds + 1):
+        if rounds == max_rounds:
+            raise RuntimeError(f"shortest paths not settled after {max_rounds} rounds")
         cand = (d.join(e, d.v == e.u)
                 .select("s", F.col("x").alias("v"), (F.col("dist") + F.col("len")).alias("dist"),
                         "sigma")
@@ -405,7 +411,9 @@ def betweenness(net: DataFrame, weighted: bool = True, weight: str = "weight",
            .select("s", "u", "x", (F.col("su") / F.col("sx")).alias("ratio")))
     dag = cut_lineage(dag)
     delta = cut_lineage(d.select("s", "v", F.lit(0.0).alias("delta")))
-    for _ in range(max_rounds):
+    for rounds in range(max_rounds + 1):
+        if rounds == max_rounds:
+            raise RuntimeError(f"dependencies not settled after {max_rounds} rounds")
         nxt = (dag.join(delta.select("s", F.col("v").alias("x"), "delta"), ["s", "x"])
                .groupBy("s", F.col("u").alias("v"))
                .agg(F.sum(F.col("ratio") * (1.0 + F.col("delta"))).alias("delta")))

@@ -17,31 +17,26 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regioscope.functions.rsem import safe_div
+from regioscope.functions.rsem import nan_to_null, safe_div
 from regioscope.session import cut_lineage
 
 
-def _moments(df: DataFrame, cols: Sequence[str], extra: Sequence[str] = ()):
-    """Count, means and the full cross-product matrix in one aggregate."""
-    allc = list(cols) + list(extra)
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.sum(c).alias(f"s{i}") for i, c in enumerate(allc)]
-    for i, a in enumerate(allc):
-        for j in range(i, len(allc)):
-            aggs.append(F.sum(F.col(a) * F.col(allc[j])).alias(f"p{i}_{j}"))
-    row = df.agg(*aggs).first()
-    k = len(allc)
-    n = row["n"]
-    s = np.array([row[f"s{i}"] for i in range(k)], dtype=float)
-    p = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            p[i, j] = p[j, i] = row[f"p{i}_{j}"]
-    cov = (p - np.outer(s, s) / n) / (n - 1)
+def _covariance(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
+    """Sample covariance matrix in one pass; Spark merges centred moments,
+    so nothing cancels however many rows there are."""
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    row = df.agg(*(F.covar_samp(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs)).first()
+    cov = np.zeros((len(cols), len(cols)))
+    for i, j in pairs:
+        value = row[f"c{i}_{j}"]
+        cov[i, j] = cov[j, i] = np.nan if value is None else value
+    return cov
+
+
+def _correlation(cov: np.ndarray) -> np.ndarray:
     sd = np.sqrt(np.clip(np.diag(cov), 0, None))
     with np.errstate(divide="ignore", invalid="ignore"):
-        corr = cov / np.outer(sd, sd)
-    return n, s / n, sd, corr
+        return cov / np.outer(sd, sd)
 
 
 def _r2_weights(corr: np.ndarray, order: list[int]) -> np.ndarray:
@@ -79,21 +74,21 @@ def p2_index(df: DataFrame, id_col: str, cols: Sequence[str],
     ref = df.agg(*[reference(F.col(c)).alias(c) for c in cols]).first()
     dist = df.select(id_col, *[F.abs(F.col(c) - F.lit(ref[c])).alias(c) for c in cols])
     dist = cut_lineage(dist)
-    _, _, sd, corr = _moments(dist, cols)
+    cov = _covariance(dist, cols)
+    sd, corr = np.sqrt(np.clip(np.diag(cov), 0, None)), _correlation(cov)
     sd = np.where(sd > 0, sd, np.nan)
+    some = np.isfinite(sd)
     weights = np.ones(len(cols))
     rows, seen = [], set()
     order = list(range(len(cols)))
-    idx = None
+    a = None
     for it in range(max_iter + 1):
-        terms = [F.col(c) * float(weights[j] / sd[j]) for j, c in enumerate(cols)
-                 if np.isfinite(sd[j])]
-        idx_col = terms[0]
-        for t in terms[1:]:
-            idx_col = idx_col + t
-        idx = dist.select(id_col, *cols, idx_col.alias(out))
-        _, _, _, c_all = _moments(idx, cols, extra=[out])
-        r_idx = np.nan_to_num(c_all[-1, :-1], nan=0.0)
+        # the index is linear in the columns: its correlations follow from
+        # their covariances, without another pass over the data
+        a = np.where(some, weights / np.where(some, sd, 1.0), 0.0)
+        along = np.nan_to_num(cov) @ a
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r_idx = np.nan_to_num(along / (sd * np.sqrt(max(a @ along, 0.0))), nan=0.0, posinf=0.0, neginf=0.0)
         for pos, j in enumerate(order):
             rows.append((it, cols[j], pos + 1, float(weights[j]), float(r_idx[j])))
         new_order = sorted(range(len(cols)), key=lambda j: (-abs(r_idx[j]), j))
@@ -106,72 +101,75 @@ def p2_index(df: DataFrame, id_col: str, cols: Sequence[str],
     spark = df.sparkSession
     wdf = spark.createDataFrame(rows, "iteration int, indicator string, position int, "
                                       "weight double, corr double")
-    return idx.select(id_col, out), wdf
+    index = sum((F.col(c) * float(a[j]) for j, c in enumerate(cols) if some[j]), F.lit(0.0))
+    return dist.select(id_col, index.alias(out)), wdf
 
 
-def ordered_position(df: DataFrame, by: str, order: str, partitions: int | None = None,
-                     out: str = "pos") -> DataFrame:
-    """Exact 1-based position of each row within its ``by`` group when
-    sorted by ``order``, without sorting a whole group in one task.
+def value_positions(df: DataFrame, by: str, order: str, partitions: int | None = None) -> DataFrame:
+    """``(by, order, n, before)``: every distinct value of each group, how
+    often it occurs, and how many rows of the group are smaller.
 
-    Rows are range-partitioned on ``(by, order)`` and sorted inside each
-    task; a tiny table of (task, group) counts gives every slice its
-    offset.  Rows of one group spread over as many tasks as the range
-    partitioner assigns them.
+    Equal values are counted before anything is sorted, so a value that a
+    third of all rows share is one row.  The distinct values are
+    range-partitioned; a table of (task, group) counts (at most tasks x
+    groups rows, joined without a hint) gives every slice its offset.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = (df.repartitionByRange(n, by, order).sortWithinPartitions(by, order)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id()))
-    d = cut_lineage(d)
-    slices = d.groupBy("_pid", by).agg(F.min("_mid").alias("_first"),
-                                      F.count(F.lit(1)).alias("_cnt"))
+    counts = df.groupBy(by, order).agg(F.count(F.lit(1)).alias("n"))
+    d = cut_lineage(counts.repartitionByRange(n, by, order).withColumn("_pid", F.spark_partition_id()))
+    slices = d.groupBy("_pid", by).agg(F.sum("n").alias("_cnt"))
     w = Window.partitionBy(by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-    return (d.join(F.broadcast(slices.select("_pid", by, "_first", "_off")), ["_pid", by])
-            .withColumn(out, F.col("_off") + F.col("_mid") - F.col("_first") + 1)
-            .drop("_pid", "_mid", "_first", "_off"))
+    own = Window.partitionBy("_pid", by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return (d.withColumn("_own", F.coalesce(F.sum("n").over(own), F.lit(0)))
+            .join(slices.select("_pid", by, "_off"), ["_pid", by])
+            .select(by, order, "n", (F.col("_off") + F.col("_own")).alias("before")))
 
 
 def discrimination(df: DataFrame, cols: Sequence[str], tol: float = 1e-9) -> DataFrame:
     """Ivanovic discrimination coefficient per indicator:
     ``2 / (m (m-1)) * sum_{i<l} |x_i - x_l| / |mean|``.
 
-    The pair sum equals ``sum_r (2r - m - 1) x_(r)`` over sorted values, so
-    only exact positions are needed (no self-join).  A mean within ``tol``
+    The pair sum equals ``sum_v n_v (2 before_v + n_v - m) v`` over the distinct
+    values v, so only their positions are needed (no self-join).  A mean within ``tol``
     of zero (e.g. z-scores) gives NULL.
     """
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("indicator"), F.col(c).cast("double").alias("x"))
         for c in cols])).alias("r")).select("r.*").where(F.col("x").isNotNull())
-    pos = ordered_position(long, "indicator", "x")
-    g = pos.groupBy("indicator").agg(F.count(F.lit(1)).alias("m"), F.avg("x").alias("mean"))
-    pair = (pos.join(F.broadcast(g), "indicator")
+    pos = value_positions(long, "indicator", "x")
+    g = pos.groupBy("indicator").agg(F.sum("n").alias("m"),
+                                     (F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("mean"))
+    pair = (pos.join(F.broadcast(g), "indicator")  # one row per indicator
             .groupBy("indicator", "m", "mean")
-            .agg(F.sum((2 * F.col("pos") - F.col("m") - 1) * F.col("x")).alias("_pairs")))
+            .agg(F.sum(F.col("n") * (2 * F.col("before") + F.col("n") - F.col("m")) * F.col("x"))
+                 .alias("_pairs")))
     dc = F.when(F.abs("mean") > tol,
                 safe_div(2 * F.col("_pairs"), F.col("m") * (F.col("m") - 1) * F.abs("mean")))
     return pair.select("indicator", dc.alias("discrimination"))
 
 
-def cum_root_f(df: DataFrame, x: str, strata: int = 5, bins: int | None = None,
+def cum_root_f(df: DataFrame, x: str, strata: int, bins: int | str,
                out: str = "stratum") -> DataFrame:
     """Dalenius-Hodges strata: ``bins`` equal-width classes over
     [min, max], cumulative sqrt of class frequencies, boundaries at the
     classes whose cumulative value is nearest to k/L of the total.
-    ``bins`` defaults to ``min(10 * strata, n)``.  Constant input -> one
-    stratum.  The class table has ``bins`` rows; units are joined back
-    to it."""
-    st = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n")).first()
+    ``bins`` is a number, the same for every table size, or ``"by_rows"``
+    for ``min(10 * strata, n)``.  Missing values (NULL, NaN) are not
+    counted and get a NULL stratum.  Constant input -> one stratum.  The
+    class table has ``bins`` rows; units are joined back to it."""
+    value = nan_to_null(F.col(x).cast("double"))
+    st = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n")).first()
     lo, hi, n = st["lo"], st["hi"], st["n"]
-    if bins is None:
+    if bins == "by_rows":
         bins = max(1, min(10 * strata, n))
     if lo is None or hi == lo:
-        return df.withColumn(out, F.lit(1))
-    b = F.least(F.floor((F.col(x) - F.lit(lo)) / F.lit(hi - lo) * bins) + 1, F.lit(bins))
+        return df.withColumn(out, F.when(value.isNotNull(), 1))
+    b = F.when(value.isNotNull(),
+               F.least(F.floor((value - F.lit(lo)) / F.lit(hi - lo) * bins) + 1, F.lit(bins)))
     d = df.withColumn("_bin", b.cast("int"))
-    counts = d.groupBy("_bin").agg(F.count(F.lit(1)).alias("_f"))
+    counts = d.where("_bin is not null").groupBy("_bin").agg(F.count(F.lit(1)).alias("_f"))
     spark = df.sparkSession
     all_bins = spark.range(1, bins + 1).select(F.col("id").cast("int").alias("_bin"))
     # bins table: bounded by the number of classes
@@ -186,7 +184,7 @@ def cum_root_f(df: DataFrame, x: str, strata: int = 5, bins: int | None = None,
         cut_k = cls.orderBy(F.abs(F.col("_cum") - target), "_bin").limit(1).select("_bin").scalar()
         stratum = stratum + (F.col("_bin") > cut_k).cast("int")
     strat = cls.select("_bin", stratum.alias(out))
-    return d.join(F.broadcast(strat), "_bin").drop("_bin")
+    return d.join(F.broadcast(strat), "_bin", "left").drop("_bin")
 
 
 # The five strata labels, highest stratum first.

@@ -60,7 +60,8 @@ def sample_first_k(df: DataFrame, size, key_cols: Sequence[str], seed=0,
 
     ``size`` is an int (same for every group) or a DataFrame
     ``(by..., quota)``; groups without a quota are dropped.  Exact: never
-    fewer or more rows than asked (unless the group is smaller).
+    fewer or more rows than asked (unless the group is smaller); a key that
+    repeats at the boundary is an error.
 
     Every helper table (totals, boundary buckets, thresholds) has one row
     per group, so a single count of the groups decides whether they are
@@ -99,7 +100,12 @@ def sample_first_k(df: DataFrame, size, key_cols: Sequence[str], seed=0,
     b2 = cut_lineage(b2)
     c3 = _ns_join(c2.drop("_q", "_b1"), bc(b2), by) \
         .where(F.substring(_HASH, 5, 4) == F.col("_b5"))
-    # what remains is ~ rows / 2^32 per group: rank it directly
+    # what remains is ~ rows / 2^32 per group: rank it directly.  A key that
+    # repeats there would make the sample larger than asked
+    c3 = cut_lineage(c3)
+    if c3.groupBy(*by, _HASH).agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").limit(1).count():
+        raise ValueError(f"{list(key_cols)} does not identify the rows of a group: "
+                         "give key columns that do")
     wr = Window.partitionBy(*by).orderBy(_HASH)
     thr = (c3.withColumn("_r", F.row_number().over(wr))
            .where(F.col("_r") == F.col("_q"))

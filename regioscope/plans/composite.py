@@ -47,10 +47,9 @@ def icap(spark, sf_dir):
 @query("c3_p2_index")
 def c3_p2_index(spark, sf_dir):
     """Innovation-capacity index per nation with its stratum and label
-    (P2 distance, C3 + C6 + C7).  No SQL twin (k x k solves); checked
-    against a numpy re-derivation in tests."""
+    (P2 distance, C3 + C6 + C7).  No SQL twin (k x k solves)."""
     idx, _ = icap(spark, sf_dir)
-    st = P.cum_root_f(idx, "icap_index", strata=5)
+    st = P.cum_root_f(idx, "icap_index", strata=5, bins=50)
     return st.select("entidad", r6("icap_index").alias("icap_index"),
                      F.col("stratum").cast("int").alias("stratum"),
                      P.stratum_labels("stratum").alias("icap_strata"))
@@ -93,9 +92,9 @@ def _strata_sql(bins: int = 50, strata: int = 5) -> str:
     return f"""
 WITH st AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer),
 d AS (SELECT c_custkey,
-             CAST(least(floor((c_acctbal - lo) / (hi - lo) * {bins}) + 1, {bins}) AS INTEGER) AS bin
+             CASE WHEN c_acctbal IS NOT NULL THEN CAST(least(floor((c_acctbal - lo) / (hi - lo) * {bins}) + 1, {bins}) AS INTEGER) END AS bin
       FROM customer, st),
-cnt AS (SELECT bin, count(*) AS f FROM d GROUP BY bin),
+cnt AS (SELECT bin, count(*) AS f FROM d WHERE bin IS NOT NULL GROUP BY bin),
 cls AS (SELECT r.bin, sum(sqrt(coalesce(f, 0))) OVER (ORDER BY r.bin
                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
         FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(1, {bins + 1})) r
@@ -127,6 +126,5 @@ def c8_validation(spark, sf_dir):
     eci = eci.select(X.remove_first("name", ", .+").alias("state"),
                      F.col("value").alias("eci"))
     v = J.join_keys(idx, eci, [("entidad", "state")], "inner")
-    c = A.correlation_long(v, ["icap_index", "eci"]).where(F.col("var1") < F.col("var2"))
-    return c.withColumn("corr", r6("corr")).withColumn(
-        "n", F.lit(v.count()).cast("long"))
+    c = A.correlation_long(v, ["icap_index", "eci"], n="n").where(F.col("var1") < F.col("var2"))
+    return c.withColumn("corr", r6("corr"))

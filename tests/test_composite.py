@@ -42,18 +42,52 @@ def test_discrimination_brute_force(spark):
     assert abs(got["x4"] - want) < 1e-9
 
 
-def test_ordered_position_exact(spark):
-    df = spark.range(0, 2000).select((F.col("id") % 3).alias("g"), (F.rand(5) * 100).alias("x"))
-    pos = P.ordered_position(df, "g", "x", partitions=7)
-    rows = pos.collect()
+def test_value_positions_exact(spark):
+    df = spark.range(0, 2000).select((F.col("id") % 3).alias("g"), F.round(F.rand(5) * 40).alias("x"))
+    rows = P.value_positions(df, "g", "x", partitions=7).collect()
+    data = df.collect()
     for g in range(3):
-        xs = sorted((r["x"], r["pos"]) for r in rows if r["g"] == g)
-        assert [p for _, p in xs] == list(range(1, len(xs) + 1))
+        xs = sorted(r["x"] for r in data if r["g"] == g)
+        got = {r["x"]: (r["n"], r["before"]) for r in rows if r["g"] == g}
+        assert got == {x: (xs.count(x), xs.index(x)) for x in set(xs)}
+
+
+def test_strata_of_missing_values(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(20)] + [(None,), (float("nan"),)], "x double")
+    rows = P.cum_root_f(df, "x", strata=5, bins=10).collect()
+    assert len(rows) == 22
+    assert all((r["stratum"] is None) == (r["x"] is None or r["x"] != r["x"]) for r in rows)
+    alone = spark.createDataFrame([(3.0,), (None,)], "x double")
+    assert {r["x"]: r["stratum"] for r in P.cum_root_f(alone, "x", 5, 10).collect()} == {3.0: 1, None: None}
+
+
+def test_p2_matches_a_plain_derivation(spark):
+    """Order, weights and index from numpy on the collected matrix."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(40, 4)) @ rng.normal(size=(4, 4))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, a double, b double, c double, d double")
+    idx, w = P.p2_index(df, "id", ["a", "b", "c", "d"])
+    dist = np.abs(x - x.min(axis=0))
+    sd, corr = dist.std(axis=0, ddof=1), np.corrcoef(dist.T)
+    weights, order, seen = np.ones(4), [0, 1, 2, 3], set()
+    for it in range(21):
+        index = dist @ (weights / sd)
+        r = [np.corrcoef(dist[:, j], index)[0, 1] for j in range(4)]
+        new = sorted(range(4), key=lambda j: (-abs(r[j]), j))
+        if it and (new == order or tuple(new) in seen):
+            break
+        seen.add(tuple(new))
+        order, weights = new, np.ones(4)
+        for k in range(1, 4):
+            j, prev = order[k], order[:k]
+            weights[j] = 1 - corr[prev, j] @ np.linalg.pinv(corr[np.ix_(prev, prev)]) @ corr[prev, j]
+    got = {r["id"]: r["index"] for r in idx.collect()}
+    assert all(abs(got[i] - index[i]) < 1e-8 for i in range(40))
 
 
 def test_cum_root_f(spark):
     const = spark.createDataFrame([(1.0,)] * 5, "x double")
-    assert {r["stratum"] for r in P.cum_root_f(const, "x").collect()} == {1}
+    assert {r["stratum"] for r in P.cum_root_f(const, "x", strata=5, bins="by_rows").collect()} == {1}
     df = spark.range(0, 500).select((F.col("id") ** 2).cast("double").alias("x"))
     s = P.cum_root_f(df, "x", strata=5, bins=20).collect()
     strata = {r["stratum"] for r in s}

@@ -112,3 +112,44 @@ def test_rca_thresholds(spark):
     df = spark.createDataFrame(rows, "country string, product string, value double")
     kept = C.rca(df, min_product_total=35.0).select("product").distinct().collect()
     assert [r[0] for r in kept] == ["p1"]
+
+
+def test_correlation_with_a_missing_value_is_missing(spark):
+    rows = [(float(i), 2.0 * i, 1.0) for i in range(9)] + [(9.0, None, 1.0)]
+    c = {(r["var1"], r["var2"]): r["corr"] for r in A.correlation_long(
+        spark.createDataFrame(rows, "x double, y double, z double"), ["x", "y", "z"]).collect()}
+    assert c["x", "y"] is None and c["x", "z"] is None and abs(c["x", "x"] - 1) < 1e-12
+
+
+def test_profile_quartiles_are_exact(spark):
+    import numpy as np
+    xs = [float(x) for x in np.random.default_rng(0).integers(0, 30, 501)]
+    df = spark.createDataFrame([(x, None) for x in xs] + [(None, None)], "x double, y double")
+    rows = {r["column"]: r for r in A.profile(df, ["x", "y"]).collect()}
+    assert [rows["x"][q] for q in ("q1", "median", "q3")] == [float(v) for v in np.quantile(xs, [.25, .5, .75])]
+    assert rows["x"]["n_missing"] == 1 and rows["y"]["n_missing"] == 502 and rows["y"]["q1"] is None
+
+
+def test_sample_rejects_a_repeated_boundary_key(spark):
+    import pytest
+    from regioscope.operators import sampling as S
+    df = spark.range(20).select(F.lit("same").alias("k"))
+    with pytest.raises(ValueError):
+        S.sample_first_k(df, 7, ["k"]).count()
+
+
+def test_rca_counts_negative_cells_in_the_margins(spark):
+    from regioscope.operators import complexity as C
+    df = spark.createDataFrame([("a", "p", 3.0), ("a", "q", -1.0), ("b", "p", 2.0), ("b", "q", 4.0), ("b", "r", None)],
+                               "country string, product string, value double")
+    got = {(r["region"], r["product"]): r["rca"] for r in C.rca(df).collect()}
+    assert set(got) == {("a", "p"), ("a", "q"), ("b", "p"), ("b", "q")}
+    assert abs(got["a", "p"] - (3 / 2) / (5 / 8)) < 1e-12
+    assert ("a", "q") not in {(r["region"], r["product"]) for r in C.rca(df, drop_nonpositive=True).collect()}
+
+
+def test_distance_to_a_missing_point_is_missing(spark):
+    from regioscope.functions import geo as G
+    df = spark.createDataFrame([(None, 1.0), (2.0, 1.0)], "lon double, lat double")
+    got = [r[0] for r in df.select(G.haversine_m("lon", "lat", F.lit(2.0), F.lit(1.0))).collect()]
+    assert got == [None, 0.0]
