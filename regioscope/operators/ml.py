@@ -24,20 +24,35 @@ from pyspark.sql import functions as F
 
 from regioscope.functions.rsem import safe_div
 
+# The feature names of the reference's three models.  State
+# models use neither municipality nor months open, period models no
+# municipality.
 CATEGORICAL = ["tipo_vial", "tipo_asent", "municipio", "tipoUniEco", "codigo_act"]
 NUMERIC = ["length_name", "edificio", "telefono", "correo_electronico", "year_alta",
            "month_alta", "month_open", "razon_cv", "razon_rl", "razon_ac", "razon_sapi",
            "razon_sab", "razon_pr", "razon_sofom", "razon_sfp", "razon_scl", "razon_spr",
            "razon_sc", "razon_inc", "razon_sas", "razon_sofi"]
 
+FEATURE_SETS = {
+    "city": (CATEGORICAL, NUMERIC),
+    "state": ([c for c in CATEGORICAL if c != "municipio"], [c for c in NUMERIC if c != "month_open"]),
+    "period": ([c for c in CATEGORICAL if c != "municipio"], NUMERIC),
+}
+
 
 def feature_stages(categorical: Sequence[str] = CATEGORICAL,
-                   numeric: Sequence[str] = NUMERIC, handle_invalid: str = "keep",
+                   numeric: Sequence[str] = NUMERIC, handle_invalid: str = "error",
                    scale: bool = False) -> list:
-    """Indexers -> one-hot (last level dropped) -> two assemblers
-    (``one_hot`` block, ``numericas`` block) -> ``features``.  Missing
-    numeric values (e.g. an unparsable start month) are imputed with the
-    training mean; numeric inputs must be doubles (see ``numeric_doubles``)."""
+    """Indexers -> one-hot -> two assemblers (``one_hot`` block,
+    ``numericas`` block) -> ``features``.
+
+    A category of k levels gives k - 1 dummies: its rarest level is
+    dropped.  The stages are therefore fitted on all rows that will be scored
+    (see ``fit_logistic``).  With ``handle_invalid='keep'`` levels that the
+    fit has not seen are scored, as rows without a dummy; every level then
+    keeps its dummy.  Missing numeric values (e.g. an unparsable start month)
+    are imputed with the mean; numeric inputs must be doubles (see
+    ``numeric_doubles``)."""
     idx = [f"{c}_index" for c in categorical]
     oh = [f"{c}_onehot" for c in categorical]
     imp = [f"{c}_imp" for c in numeric]
@@ -76,35 +91,51 @@ def logistic_pipeline(reg_param: float = 0.0, elastic_net: float = 0.0,
     return Pipeline(stages=stages + [lr])
 
 
+def fit_logistic(train: DataFrame, every: DataFrame | None = None, reg_param: float = 0.0,
+                 elastic_net: float = 0.0, label: str = "y", **kw) -> PipelineModel:
+    """Feature stages fitted on ``every`` row to be scored (default: the
+    training rows), the regression on ``train``; one model."""
+    features = Pipeline(stages=feature_stages(**kw)).fit(train if every is None else every)
+    lr = LogisticRegression(featuresCol="features", labelCol=label, regParam=reg_param,
+                            elasticNetParam=elastic_net)
+    return PipelineModel([*features.stages, lr.fit(features.transform(train))])
+
+
 def tune(train: DataFrame, reg_params: Sequence[float] | None = None,
-         elastic_net: float = 1.0, folds: int = 10, parallelism: int = 8,
+         elastic_net: float | Sequence[float] = 1.0, folds: int = 10, parallelism: int = 8,
          metric: str = "areaUnderROC", seed: int = 123, label: str = "y"):
     """Grid + k-fold CV.  Defaults are the reference's: 100 regularisation
-    values in [0, 1], lasso mixing, 10 folds, 8 parallel fits.  ``metric``
-    ``'f1'`` uses the multiclass evaluator.  Returns ``(cv_model,
-    metrics_df)`` with one row per grid point."""
+    values in [0, 1], lasso mixing, 10 folds, 8 parallel fits.  Several
+    ``elastic_net`` values make the grid two-dimensional.  ``metric``
+    ``'f1'`` uses the multiclass evaluator.  The features are fitted once and
+    kept for the time of the search; only the regression is fitted again
+    for each point and fold.  Returns ``(cv_model, metrics_df)`` with one row
+    per grid point."""
     if reg_params is None:
         reg_params = list(np.linspace(0.0, 1.0, 100))
-    pipe = logistic_pipeline(elastic_net=elastic_net, label=label)
-    lr = pipe.getStages()[-1]
+    mixes = [float(elastic_net)] if isinstance(elastic_net, (int, float)) else [float(v) for v in elastic_net]
+    features = Pipeline(stages=feature_stages()).fit(train)
+    rows = features.transform(train).select(label, "features").persist()
+    lr = LogisticRegression(featuresCol="features", labelCol=label)
     grid = (ParamGridBuilder().addGrid(lr.regParam, [float(v) for v in reg_params])
-            .addGrid(lr.elasticNetParam, [float(elastic_net)]).build())
+            .addGrid(lr.elasticNetParam, mixes).build())
     if metric == "f1":
         ev = MulticlassClassificationEvaluator(labelCol=label, metricName="f1")
     else:
         ev = BinaryClassificationEvaluator(labelCol=label, metricName=metric)
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev,
+    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=ev,
                         numFolds=folds, parallelism=parallelism, seed=seed)
-    model = cv.fit(train)
-    rows = [(float(pm[lr.regParam]), float(pm[lr.elasticNetParam]), float(m))
+    model = cv.fit(rows)
+    rows.unpersist()
+    points = [(float(pm[lr.regParam]), float(pm[lr.elasticNetParam]), float(m))
             for pm, m in zip(grid, model.avgMetrics)]
     spark = train.sparkSession
-    metrics = spark.createDataFrame(rows, f"reg_param double, elastic_net_param double, {metric} double")
+    metrics = spark.createDataFrame(points, f"reg_param double, elastic_net_param double, {metric} double")
     return model, metrics
 
 
 def best_reg_param(cv_model) -> float:
-    return float(cv_model.bestModel.stages[-1].getRegParam())
+    return float(cv_model.bestModel.getRegParam())
 
 
 def score(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ("id",)) -> DataFrame:
@@ -172,7 +203,8 @@ def coefficients(model: PipelineModel, featurized: DataFrame) -> DataFrame:
     names = {}
     for group in meta.values():
         for a in group:
-            names[a["idx"]] = a["name"]
+            # the imputed copy of a column stands for the column
+            names[a["idx"]] = a["name"].removesuffix("_imp")
     coef = lr.coefficients.toArray()
     rows = [("(Intercept)", float(lr.intercept))] + \
         [(names.get(i, f"f{i}"), float(v)) for i, v in enumerate(coef)]
@@ -192,8 +224,13 @@ def odds_table(coefs: DataFrame) -> DataFrame:
 def kmeans_clusters(df: DataFrame, cols: Sequence[str] = ("latitud", "longitud"),
                     k: int = 10, seed: int = 123, out: str = "cluster") -> DataFrame:
     """K-means on coordinates; the cluster id is returned as a string, ready
-    to be indexed and one-hot encoded like any other category."""
-    va = VectorAssembler(inputCols=list(cols), outputCol="_xy", handleInvalid="skip")
+    to be indexed and one-hot encoded like any other category.  Rows with a
+    missing coordinate are kept, with a NULL cluster, and not fitted on."""
+    va = VectorAssembler(inputCols=list(cols), outputCol="_xy", handleInvalid="keep")
     km = KMeans(k=k, seed=seed, featuresCol="_xy", predictionCol="_cl")
-    model = Pipeline(stages=[va, km]).fit(df)
-    return model.transform(df).withColumn(out, F.col("_cl").cast("string")).drop("_xy", "_cl")
+    model = Pipeline(stages=[va, km]).fit(df.dropna(subset=list(cols)))
+    known = F.lit(True)
+    for c in cols:
+        known &= F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    return (model.transform(df).withColumn(out, F.when(known, F.col("_cl").cast("string")))
+            .drop("_xy", "_cl"))

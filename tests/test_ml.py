@@ -64,3 +64,37 @@ def test_confusion_counts_sum_to_rows(spark):
     model, data, _, test = M.fitted(spark, "/root/testdata/sf0.001")
     c = ML.confusion(ML.score(model, test, keep=("id", "y")))
     assert sum(r["n"] for r in c.collect()) == test.count()
+
+
+def test_a_category_of_k_levels_has_k_minus_one_dummies(spark):
+    from regioscope.plans import model as M
+    model, data, _, _ = M.fitted(spark, "/root/testdata/sf0.001")
+    names = [r["features"] for r in ML.coefficients(model, model.transform(data.limit(1))).collect()]
+    for c in ML.CATEGORICAL:
+        k = data.select(c).distinct().count()
+        assert sum(f"_{c}_onehot_" in n for n in names) == k - 1, c
+    assert "numericas_razon_pr" in names and not any(n.endswith("_imp") for n in names)
+
+
+def test_kmeans_keeps_rows_without_coordinates(spark):
+    rows = [(float(i % 5), float(i % 3)) for i in range(20)] + [(None, 1.0)]
+    out = ML.kmeans_clusters(spark.createDataFrame(rows, "latitud double, longitud double"), k=3).collect()
+    assert len(out) == 21 and [r["cluster"] is None for r in out].count(True) == 1
+
+
+def test_models_by_group_keep_and_explain_every_row(spark):
+    from regioscope.plans import model as M
+    data = M.labelled(spark, "/root/testdata/sf0.001").withColumn(
+        "g", F.when(F.col("id") % 7 == 0, None).when(F.col("y") == 1, "mixed")
+        .when(F.col("id") % 2 == 0, "mixed").otherwise("only zeros"))
+    rows = M.models_by_group(data, "g", "state").collect()
+    assert len(rows) == data.count()
+    for r in rows:
+        assert (r["probability_1"] is None) == (r["g"] != "mixed") == (r["reason"] is not None)
+
+
+def test_two_dimensional_grid(spark):
+    from regioscope.plans import model as M
+    _, train, _ = M.train_test(spark, "/root/testdata/sf0.001")
+    _, metrics = ML.tune(train, reg_params=[0.0, 0.1], elastic_net=[0.0, 0.5, 1.0], folds=2, metric="f1")
+    assert metrics.count() == 6
