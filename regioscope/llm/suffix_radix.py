@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regioscope.llm.bytescan import SLICE, U, mix, prefix_hash, slices, span_hash, text_buffers
-from regioscope.llm.scratch import materialize
+from regioscope.llm.scratch import discard, materialize
 
 GRAM, BLOCK = 48, 16
 _PLACE = (1 << 21) - 1
@@ -212,6 +212,7 @@ def repeated_starts(keyed: DataFrame, length: int) -> DataFrame:
     every = materialize(runs(keyed.select("id", "fp", "text"), length), "runs")
     again = every.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
     kept = materialize(every.join(again, "anchor"), "repeated-anchors")
+    discard(every)
     contents = materialize(
         kept.groupBy("anchor", "body").agg(F.count("*").alias("copies"),
                                            F.min(F.struct("id", "fp", "start", "n", "lead")).alias("rep")),
@@ -228,6 +229,7 @@ def repeated_starts(keyed: DataFrame, length: int) -> DataFrame:
     cores = blocks.groupBy("core").agg(F.sum("copies").alias("times"), F.min("copies").alias("least")) \
         .where("times > 1 and least = 1").select("core")
     live = materialize(blocks.join(cores, "core"), "live")
+    discard(blocks)
     twice = live.where("whole is not null").groupBy("whole").agg(F.sum("copies").alias("times")) \
         .where("times > 1").select("whole", F.lit(True).alias("twice"))
     single = materialize(live.where("copies = 1").join(twice, "whole", "left"), "single")
@@ -238,6 +240,7 @@ def repeated_starts(keyed: DataFrame, length: int) -> DataFrame:
     parts = live.join(edges, "core", "left_semi").select("anchor", "body", "low", "high") \
         .join(pieces, ["anchor", "body"])
     windows = materialize(_windows(parts, length), "windows")
+    discard(live, pieces)
     equal = windows.groupBy("window").agg(F.sum("copies").alias("times")).where("times > 1").select("window")
     alone = windows.where("copies = 1").join(equal, "window").select(
         "id", "fp", F.col("at").alias("first"), F.col("at").alias("last"))
