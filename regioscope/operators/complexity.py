@@ -11,9 +11,9 @@
 
 Scale notes.  Region and product vectors (one row per region / product) are
 dimension-sized; the cell table M is at most regions x products.  Vectors
-are broadcast only behind a row-count check.  Proximity never self-joins on
-a region key: products are cut into blocks of bounded size and every block
-pair is evaluated once, so a region present everywhere costs nothing extra.
+are broadcast only behind a check of rows and bytes.  Proximity forms only
+pairs that occur together, and a region with very many products is cut into
+pairs of blocks.
 """
 
 from __future__ import annotations
@@ -76,39 +76,36 @@ def incidence(rca_df: DataFrame) -> DataFrame:
 # -- proximity ------------------------------------------------------------------
 
 
-def proximity(m: DataFrame, on: str = "product", block_size: int = 256) -> DataFrame:
+def proximity(m: DataFrame, on: str = "product", block_size: int = 1024) -> DataFrame:
     """Proximity between products (``on='product'``) or regions.
 
     phi(a, b) = |S_a & S_b| / max(|S_a|, |S_b|) where S_x is the set of
     the other side's ids present with x.  Output ``(a, b, phi)`` with
     ``a < b`` and phi > 0 (zero pairs stay implicit).
 
-    Every item's set is bounded by the size of the other dimension.  Items
-    are hashed into blocks of about ``block_size``; each unordered block
-    pair meets in one join key, so the work per key is bounded by
-    ``block_size**2`` whatever the skew of the underlying cells.
+    Only items that occur together meet: M is joined with itself on the
+    other side's id, and the pairs are counted with a partial aggregate.
+    An id with more than ``block_size`` items is cut into blocks, and each
+    unordered pair of its blocks is a join key of its own, so no key has
+    more than ``block_size**2`` pairs whatever the skew.
     """
     other = "region" if on == "product" else "product"
-    sets = (m.groupBy(F.col(on).alias("item"))
-            .agg(F.array_sort(F.collect_set(other)).alias("s"))
-            .withColumn("k", F.size("s")))
-    sets = cut_lineage(sets)           # counted, then read by both block sides
-    n_items = sets.count()
-    nb = max(1, math.ceil(n_items / block_size))
-    sets = sets.withColumn("blk", F.pmod(F.xxhash64("item"), F.lit(nb)).cast("int"))
-    # left side meets blocks >= its own, right side blocks <= its own
-    left = sets.select(F.col("item").alias("a"), F.col("s").alias("sa"),
-                       F.col("k").alias("ka"), F.col("blk").alias("bi"),
-                       F.explode(F.sequence(F.col("blk"), F.lit(nb - 1))).alias("bj"))
-    right = sets.select(F.col("item").alias("b"), F.col("s").alias("sb"),
-                        F.col("k").alias("kb"), F.col("blk").alias("bj"),
-                        F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("bi"))
-    pairs = left.join(right, ["bi", "bj"]).where(
-        (F.col("bi") < F.col("bj")) | (F.col("a") < F.col("b")))
-    co = F.size(F.array_intersect("sa", "sb"))
-    out = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-                       (co / F.greatest("ka", "kb")).alias("phi"))
-    return out.where(F.col("phi") > 0)
+    m = cut_lineage(m.select(F.col(on).alias("item"), F.col(other).alias("with")).distinct())
+    k = m.groupBy("item").agg(F.count(F.lit(1)).alias("k"))
+    blocks = m.groupBy("with").agg(F.ceil(F.count(F.lit(1)) / block_size).cast("int").alias("nb"))
+    d = m.join(broadcast_if_small(blocks), "with") \
+        .withColumn("blk", F.pmod(F.xxhash64("item"), F.col("nb")).cast("int"))
+    # the left side meets blocks >= its own, the right side blocks <= its own
+    left = d.select("with", F.col("item").alias("x"), F.col("blk").alias("bi"),
+                    F.explode(F.sequence(F.col("blk"), F.col("nb") - 1)).alias("bj"))
+    right = d.select("with", F.col("item").alias("y"), F.col("blk").alias("bj"),
+                     F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("bi"))
+    pairs = left.join(right, ["with", "bi", "bj"]).where((F.col("bi") < F.col("bj")) | (F.col("x") < F.col("y")))
+    co = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")) \
+        .agg(F.count(F.lit(1)).alias("co"))
+    ka, kb = (k.select(F.col("item").alias(c), F.col("k").alias(f"k{c}")) for c in "ab")
+    return (co.join(broadcast_if_small(ka), "a").join(broadcast_if_small(kb), "b")
+            .select("a", "b", (F.col("co") / F.greatest("ka", "kb")).alias("phi")))
 
 
 def symmetric(phi: DataFrame) -> DataFrame:
@@ -119,12 +116,15 @@ def symmetric(phi: DataFrame) -> DataFrame:
 # -- relatedness ----------------------------------------------------------------
 
 
-def relatedness(m: DataFrame, phi: DataFrame, include_self: bool = False) -> DataFrame:
+def relatedness(m: DataFrame, phi: DataFrame, include_self: bool = False,
+                cells: DataFrame | None = None) -> DataFrame:
     """Density of region c around product p:
     ``sum_p' M[c,p'] phi[p',p] / sum_p' phi[p',p]``.
 
     Output ``(region, product, density)`` for every pair with a positive
-    numerator.  phi is dimension-sized (products^2) and is broadcast only
+    numerator, or for the pairs ``(region, product)`` of ``cells``: then 0
+    where no neighbour is present, NULL where the product has no neighbour.
+    phi is dimension-sized (products^2) and is broadcast only
     behind a size check; otherwise the join is a shuffle join in which the
     hot products of M are salted.
     """
@@ -139,6 +139,11 @@ def relatedness(m: DataFrame, phi: DataFrame, include_self: bool = False) -> Dat
                                sym.select(F.col("a").alias("product"), "b", "phi"), "product")
            .groupBy("region", F.col("b").alias("product"))
            .agg(F.sum("phi").alias("_num")))
+    if cells is not None:
+        asked = cells.select("region", "product").distinct()
+        found = asked.join(num, ["region", "product"], "left").join(broadcast_if_small(den), "product", "left")
+        return found.select("region", "product", F.when(F.col("_den").isNotNull(), safe_div(
+            F.coalesce("_num", F.lit(0.0)), F.col("_den"))).alias("density"))
     return (num.join(broadcast_if_small(den), "product")
             .select("region", "product", safe_div(F.col("_num"), F.col("_den")).alias("density")))
 
@@ -151,10 +156,9 @@ def _bcast(df: DataFrame, small: bool) -> DataFrame:
 
 
 def _copartitioned(m: DataFrame):
-    """M written twice, hash-partitioned by region and by product.  A
-    checkpoint keeps its partitioning, so every round's group-by on the
-    partition key runs without a shuffle; only the small score vectors
-    move (broadcast)."""
+    """M written twice, grouped by region and by product: a round's partial
+    aggregate on that key has few rows left to shuffle.  The score vectors
+    are broadcast when they are measured to be small."""
     # no fixed count: AQE may coalesce small partitions; hash layout stays
     return (cut_lineage(m.repartition("region")),
             cut_lineage(m.repartition("product")))

@@ -4,62 +4,88 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A side is broadcast only when a count proves it below this many rows.
+# A side is broadcast only when it is measured to be below both bounds.
 DEFAULT_BROADCAST_ROWS = 2_000_000
+DEFAULT_BROADCAST_BYTES = 64 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only behind a checked size; beyond the bound the side
-    is left to the shuffle join AQE chooses.  The check itself reads at most
-    ``max_rows + 1`` rows."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def _width(field: T.StructField) -> Column:
+    """Bytes of a column's value: 8 for numbers and the like, the length of
+    text and binary, and the length of the JSON text of nested values."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0))
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    return F.lit(8)
+
+
+def is_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+             max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
+    """Is ``df`` below both bounds?  Reads at most ``max_rows + 1`` rows."""
+    width = F.lit(16)
+    for f in df.schema.fields:
+        width = width + _width(f)
+    r = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
+    return r["n"] <= max_rows and (r["b"] or 0) <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                       max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only behind a checked size; beyond the bounds the side
+    is left to the shuffle join AQE chooses."""
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
 
 def salted_join(big: DataFrame, other: DataFrame, on, how: str = "inner",
                 salt_buckets: int = 32, hot_rows: int | None = 1_000_000,
                 salt_from=None) -> DataFrame:
-    """Equi-join that spreads hot keys of ``big`` over ``salt_buckets``
-    tasks.
+    """Equi-join that spreads hot keys of ``big`` over many tasks.
 
     A partial-aggregate pass counts ``big`` per key; keys with more than
     ``hot_rows`` rows are hot (at most rows / hot_rows of them, so the hot
-    list is small and broadcast).  Rows of hot keys get a salt from a hash
-    of their own columns and the matching rows of ``other`` are replicated
-    once per salt; every other key joins as usual (salt 0, no copies).  A
-    key holding a third of ``big`` is then joined by ``salt_buckets``
-    tasks.  ``hot_rows=None`` salts every key.  ``how``: ``inner`` or
-    ``left`` (``big`` preserved).
+    list is small and broadcast).  Rows of a hot key get one of
+    ``ceil(count / hot_rows)`` salts from a hash of their own columns, so no
+    task has much more than ``hot_rows`` of them, and the matching rows of
+    ``other`` are replicated once per salt; every other key joins as usual
+    (salt 0, no copies).  Rows of ``big`` with a NULL key match nothing: in a
+    left join they go round the join and are added at the end.
+    ``hot_rows=None`` gives every key ``salt_buckets`` salts.  ``how``:
+    ``inner`` or ``left`` (``big`` preserved).
     """
     keys = [on] if isinstance(on, str) else list(on)
-    cols = salt_from or big.columns
-    salt = F.pmod(F.xxhash64(*cols), F.lit(salt_buckets)).cast("int")
-    copies = F.sequence(F.lit(0), F.lit(salt_buckets - 1))
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    keyed, rest = big.where(whole), big.where(~whole)
+    hashed = F.xxhash64(*(salt_from or big.columns))
     if hot_rows is None:
-        b = big.withColumn("_salt", salt)
-        o = other.withColumn("_salt", F.explode(copies))
+        b = keyed.withColumn("_salt", F.pmod(hashed, F.lit(salt_buckets)).cast("int"))
+        o = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
     else:
-        hot = (big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-               .where(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot")))
+        hot = (keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+               .where(F.col("_n") > hot_rows)
+               .select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")))
         hot = F.broadcast(hot)
-        b = big.join(hot, keys, "left") \
-            .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot")
+        salts = F.coalesce("_salts", F.lit(1))
+        b = keyed.join(hot, keys, "left") \
+            .withColumn("_salt", F.pmod(hashed, salts).cast("int")).drop("_salts")
         o = other.join(hot, keys, "left") \
-            .withColumn("_salt", F.explode(F.when(F.col("_hot"), copies)
-                                           .otherwise(F.array(F.lit(0))))).drop("_hot")
-    return b.join(o, keys + ["_salt"], how).drop("_salt")
+            .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    out = b.join(o, keys + ["_salt"], how).drop("_salt")
+    return out.unionByName(rest, allowMissingColumns=True) if how == "left" else out
 
 
 def broadcast_or_salted(big: DataFrame, other: DataFrame, on, how: str = "inner",
                         max_rows: int = DEFAULT_BROADCAST_ROWS, salt_buckets: int = 32,
                         hot_rows: int | None = 1_000_000) -> DataFrame:
-    """Broadcast ``other`` when a count proves it small; otherwise a
+    """Broadcast ``other`` when it is measured to be small; otherwise a
     shuffle join with hot keys salted (see ``salted_join``)."""
-    n = other.limit(max_rows + 1).count()
-    if n <= max_rows:
+    if is_small(other, max_rows):
         return big.join(F.broadcast(other), on, how)
     return salted_join(big, other, on, how, salt_buckets, hot_rows)
 

@@ -9,12 +9,14 @@ grid cells followed by an exact ray-casting test:
 * points and polygon cells meet on ``(gx, gy)``; the even-odd test runs
   only on the candidates of the point's cell.
 
-The polygon-cell table is broadcast only when a count shows it under the
-bound; beyond that the join is a shuffle join on (cell, salt): points of
-hot cells (more than ``hot_cell_rows`` points, found by a partial count)
-get a salt from a hash of their columns and those cells' polygon rows are
-replicated per salt, so a dense cell (a downtown) is spread over many
-tasks while ordinary cells join unsalted.  Pick
+The polygon-cell table (with its rings) is broadcast only when rows and
+bytes are measured to be under their bounds; beyond that the join is a
+shuffle join on (cell, salt): points of hot cells (more than
+``hot_cell_rows`` points, found by a partial count) get one of
+``ceil(points / hot_cell_rows)`` salts from a hash of their columns and
+those cells' polygon rows are replicated per salt, so a dense cell (a
+downtown) is spread over many tasks while ordinary cells join unsalted.
+Points without coordinates go round the join.  Pick
 ``cell`` so a cell holds few polygons; the point side is never collected.
 """
 
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regioscope.functions import geo as G
+from regioscope.operators.joins import is_small
 
 
 def polygon_cells(polygons: DataFrame, cell: float, rings: str = "rings") -> DataFrame:
@@ -40,7 +43,7 @@ def polygon_cells(polygons: DataFrame, cell: float, rings: str = "rings") -> Dat
 def spatial_join(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat: str = "lat",
                  rings: str = "rings", poly_id: str = "poly_id", preserve: str = "points",
                  cell: float = 0.02, max_broadcast_rows: int = 2_000_000,
-                 salt_buckets: int = 16, hot_cell_rows: int = 1_000_000) -> DataFrame:
+                 hot_cell_rows: int = 1_000_000) -> DataFrame:
     """Attach to each point the polygons that contain it (``st_join``).
 
     ``preserve='points'``: every point kept; unmatched points (or NULL
@@ -50,9 +53,11 @@ def spatial_join(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat:
     not carried into the output.
     """
     cells = polygon_cells(polygons, cell, rings)
-    n_cells = cells.limit(max_broadcast_rows + 1).count()
+    small = is_small(cells, max_broadcast_rows)
     pts = points.withColumn("_gx", G.grid_cell(lon, cell)).withColumn("_gy", G.grid_cell(lat, cell))
-    if n_cells <= max_broadcast_rows:
+    nowhere = pts.where(F.col("_gx").isNull() | F.col("_gy").isNull()).select(*points.columns)
+    pts = pts.where(F.col("_gx").isNotNull() & F.col("_gy").isNotNull())
+    if small:
         cells = F.broadcast(cells)
         cond = [pts["_gx"] == cells["_gx"], pts["_gy"] == cells["_gy"]]
     else:
@@ -60,15 +65,13 @@ def spatial_join(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat:
         # replicate those cells' polygon rows once per salt
         hot = (pts.groupBy("_gx", "_gy").agg(F.count(F.lit(1)).alias("_n"))
                .where(F.col("_n") > hot_cell_rows)
-               .select("_gx", "_gy", F.lit(True).alias("_hot")))
+               .select("_gx", "_gy", F.ceil(F.col("_n") / hot_cell_rows).cast("int").alias("_salts")))
         hot = F.broadcast(hot)
-        salt = F.pmod(F.xxhash64(*points.columns), F.lit(salt_buckets)).cast("int")
+        salts = F.coalesce("_salts", F.lit(1))
         pts = pts.join(hot, ["_gx", "_gy"], "left") \
-            .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot")
-        copies = F.sequence(F.lit(0), F.lit(salt_buckets - 1))
+            .withColumn("_salt", F.pmod(F.xxhash64(*points.columns), salts).cast("int")).drop("_salts")
         cells = cells.join(hot, ["_gx", "_gy"], "left") \
-            .withColumn("_salt", F.explode(F.when(F.col("_hot"), copies)
-                                           .otherwise(F.array(F.lit(0))))).drop("_hot")
+            .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
         cond = [pts["_gx"] == cells["_gx"], pts["_gy"] == cells["_gy"],
                 pts["_salt"] == cells["_salt"]]
     inside = G.point_in_polygon(cells[rings], pts[lon], pts[lat])
@@ -76,7 +79,9 @@ def spatial_join(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat:
     poly_cols = [c for c in polygons.columns if c != rings]
     if preserve == "points":
         out = pts.join(cells, cond, "left")
-        return out.select(*[pts[c] for c in points.columns], *[cells[c] for c in poly_cols])
+        out = out.select(*[pts[c] for c in points.columns], *[cells[c] for c in poly_cols])
+        return out.union(nowhere.select(*points.columns, *[
+            F.lit(None).cast(polygons.schema[c].dataType).alias(c) for c in poly_cols]))
     matched = pts.join(cells, cond, "inner").select(
         *[pts[c] for c in points.columns], cells[poly_id].alias("_pid"))
     if preserve == "inner":

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regioscope.functions.rsem import safe_div
+from regioscope.operators.joins import broadcast_if_small
 from regioscope.session import cut_lineage
 
 
@@ -39,7 +40,7 @@ def poly_trend(df: DataFrame, x: str, y: str, by: Sequence[str] = (),
     obs = d.where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
     st = obs.groupBy(*by).agg(F.avg("_x").alias("_mx"), F.stddev_samp("_x").alias("_sx"))
     z = safe_div(F.col("_x") - F.col("_mx"), F.col("_sx"))
-    o = obs.join(F.broadcast(st), by) if by else obs.withColumns(
+    o = obs.join(broadcast_if_small(st), by) if by else obs.withColumns(
         {"_mx": st.select("_mx").scalar(), "_sx": st.select("_sx").scalar()})
     o = o.withColumn("_z", z)
     mom = o.groupBy(*by).agg(
@@ -58,7 +59,7 @@ def poly_trend(df: DataFrame, x: str, y: str, by: Sequence[str] = (),
         safe_div(_det3(s0, s1, t0, s1, s2, t1, s2, s3, t2), det).alias("_b2"))
     coef = coef.join(st, by) if by else coef.withColumns(
         {"_mx": st.select("_mx").scalar(), "_sx": st.select("_sx").scalar()})
-    res = d.join(F.broadcast(coef), by, "left") if by else d.withColumns(
+    res = d.join(broadcast_if_small(coef), by, "left") if by else d.withColumns(
         {c: coef.select(c).scalar() for c in ("_b0", "_b1", "_b2", "_mx", "_sx")})
     zz = safe_div(F.col("_x") - F.col("_mx"), F.col("_sx"))
     fitted = F.col("_b0") + F.col("_b1") * zz + F.col("_b2") * zz * zz

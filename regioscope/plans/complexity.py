@@ -191,10 +191,12 @@ def x9_centrality(spark, sf_dir):
     """Degree and betweenness of every node of the region network, plus
     the node decoration: municipality / state split of the composite name,
     summed value and fitness (X8-X10)."""
-    net = region_network(spark, sf_dir)
-    deg = C.degree(net)
-    btw = C.betweenness(net, weighted=True)
-    return node_table(spark, sf_dir, deg.join(btw, "name", "outer"))
+    m = _m(spark, sf_dir)
+    net = C.project_network(C.proximity(m, on="region"))
+    nodes = m.select(F.col("region").alias("name")).distinct()
+    nodes = nodes.join(C.degree(net), "name", "left").join(C.betweenness(net, weighted=True), "name", "left") \
+        .fillna(0, ["degree", "betweenness"])  # a region without an edge is a node too
+    return node_table(spark, sf_dir, nodes)
 
 
 def node_table(spark, sf_dir, nodes):
@@ -285,8 +287,10 @@ _ADV_NUM = ["employees_number", "activities_complexity_index", "affinity",
 @query("x12_advantage_table", sql="WITH " + ECI_SQL + REL_TAIL + f"""
 , rel_r AS (SELECT c.region AS state_id, c.product AS national_industry_id,
                    upper(c.product) AS national_industry, c.value AS employees_number,
-                   rel.density AS affinity, c.rca AS relative_comparative_advantage
-            FROM rcat c LEFT JOIN rel ON rel.region = c.region AND rel.product = c.product),
+                   CASE WHEN den.den IS NOT NULL THEN coalesce(rel.density, 0) END AS affinity,
+                   c.rca AS relative_comparative_advantage
+            FROM rcat c LEFT JOIN rel ON rel.region = c.region AND rel.product = c.product
+                        LEFT JOIN den ON den.product = c.product),
 pci_t AS (SELECT name AS national_industry_id, upper(name) AS national_industry,
                  value AS activities_complexity_index FROM pci),
 census AS (
@@ -328,7 +332,7 @@ def advantage_table(spark, sf_dir, region=None):
     m_all = C.rca(region_product(spark, sf_dir))
     m = C.incidence(m_all)
     _, pci = C.complexity_index(m, iterations=ECI_ROUNDS)
-    rel = C.relatedness(m, C.proximity(m, on="product"))
+    rel = C.relatedness(m, C.proximity(m, on="product"), cells=m_all)
     pci_t = pci.select(F.col("name").alias("national_industry_id"),
                        F.upper("name").alias("national_industry"),
                        F.col("value").alias("activities_complexity_index"))

@@ -112,22 +112,25 @@ def write_polygons(df: DataFrame, path: str, properties: Sequence[str],
     df.select(F.to_json(feat).alias("value")).write.mode("overwrite").text(path)
 
 
+def _gathered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of one folder in few tasks, so that not every task writes a file
+    in every folder; AQE splits what is too large for one."""
+    return df.hint("rebalance", *keys) if keys else df
+
+
 def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = (),
               encoding: str = "UTF-8", header: bool = True) -> None:
     """CSV sink with header (S10); one folder per key with ``partition_by``
     and dynamic partition overwrite (S11)."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    w = df.write.mode("overwrite").option("header", header).option("encoding", encoding)
+    w = _gathered(df, partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    w = w.option("header", header).option("encoding", encoding)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    w = df.write.mode("overwrite")
+    w = _gathered(df, partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)

@@ -168,3 +168,20 @@ def test_betweenness_path_and_random(spark):
 def test_degree(spark):
     df = spark.createDataFrame([("a", "b"), ("a", "c")], "a string, b string")
     assert {r["name"]: r["degree"] for r in C.degree(df).collect()} == {"a": 2, "b": 1, "c": 1}
+
+
+def test_density_is_zero_without_present_neighbours_and_missing_without_any(spark):
+    m = spark.createDataFrame([("a", "p"), ("a", "q"), ("b", "r"), ("c", "p")], "region string, product string")
+    cells = spark.createDataFrame([(r, p) for r in "abc" for p in "pqr"], "region string, product string")
+    got = {(r["region"], r["product"]): r["density"] for r in C.relatedness(m, C.proximity(m), cells=cells).collect()}
+    assert len(got) == 9 and got["b", "p"] == 0.0 and got["c", "q"] == 1.0
+    assert all(got[r, "r"] is None for r in "abc")
+
+
+def test_proximity_in_blocks_equals_whole(spark):
+    import random
+    rng = random.Random(1)
+    rows = {(f"r{rng.randrange(4)}", f"p{rng.randrange(60)}") for _ in range(220)}
+    m = spark.createDataFrame(sorted(rows), "region string, product string")
+    whole = {tuple(r) for r in C.proximity(m).collect()}
+    assert whole == {tuple(r) for r in C.proximity(m, block_size=7).collect()} and whole

@@ -153,3 +153,19 @@ def test_distance_to_a_missing_point_is_missing(spark):
     df = spark.createDataFrame([(None, 1.0), (2.0, 1.0)], "lon double, lat double")
     got = [r[0] for r in df.select(G.haversine_m("lon", "lat", F.lit(2.0), F.lit(1.0))).collect()]
     assert got == [None, 0.0]
+
+
+def test_salted_left_join_of_mostly_missing_keys(spark):
+    rows = [(None, i) for i in range(500)] + [(1, i) for i in range(300)] + [(2, 0), (3, 0)]
+    big = spark.createDataFrame(rows, "k long, v long")
+    other = spark.createDataFrame([(1, "one"), (2, "two"), (None, "none")], "k long, t string")
+    for hot in (10, 100_000, None):
+        got = sorted(map(tuple, J.salted_join(big, other, "k", "left", hot_rows=hot).collect()), key=str)
+        want = sorted(map(tuple, big.join(other, "k", "left").collect()), key=str)
+        assert got == want
+    assert J.salted_join(big, other, "k", hot_rows=10).count() == 301
+
+
+def test_broadcast_is_bounded_by_bytes_too(spark):
+    df = spark.createDataFrame([("x" * 1000,)] * 50, "s string")
+    assert J.is_small(df) and not J.is_small(df, max_bytes=10_000) and not J.is_small(df, max_rows=49)
