@@ -211,8 +211,10 @@ def repeated_starts(keyed: DataFrame, length: int) -> DataFrame:
     """(id, fp, first, last): ranges of starts of repeated windows."""
     every = materialize(runs(keyed.select("id", "fp", "text"), length), "runs")
     again = every.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
+    # written first: a join of two plain tables is one whose hot keys Spark splits
+    again = materialize(again, "anchors")
     kept = materialize(every.join(again, "anchor"), "repeated-anchors")
-    discard(every)
+    discard(every, again)
     contents = materialize(
         kept.groupBy("anchor", "body").agg(F.count("*").alias("copies"),
                                            F.min(F.struct("id", "fp", "start", "n", "lead")).alias("rep")),
