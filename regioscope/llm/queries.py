@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from regioscope.llm import oracles
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -36,43 +38,25 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_boundaries.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
-@register("op5_odd_sketch")
+@register("op5_odd_sketch", oracles.OP5)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regioscope.llm import odd_sketch
     return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@register("op10_suffix_radix")
+@register("op10_suffix_radix", oracles.OP10)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regioscope.llm import suffix_radix
     return suffix_radix.digests(table(spark, sf_dir, "documents"))
 
 
-_BASE32 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
-
-OP7_SQL = f"""
-WITH p AS (
-  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
-f AS (SELECT html, min(page_id) AS first_id FROM p GROUP BY html),
-d AS (
-  SELECT h, string_agg(substr({_BASE32}, 1 + CAST(
-      (CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1),
-      '' ORDER BY i) AS digest
-  FROM (SELECT DISTINCT h FROM p), range(32) t(i) GROUP BY h)
-SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, digest AS payload_digest,
-  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
-FROM p JOIN f USING (html) JOIN d USING (h)
-"""
-
-
-@register("op7_warc_index", OP7_SQL)
+@register("op7_warc_index", oracles.OP7)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regioscope.llm import warc
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-@register("op4_site_style_tree")
+@register("op4_site_style_tree", oracles.OP4)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -81,7 +65,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
-@register("op9_winnowing")
+@register("op9_winnowing", oracles.OP9)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regioscope.llm import winnowing
     return winnowing.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -110,7 +94,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score(table(spark, sf_dir, "documents"))
 
 
-@register("op3_pivot_permutation")
+@register("op3_pivot_permutation", oracles.OP3)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regioscope.llm import pivot_permutation
     return pivot_permutation.near_duplicates(table(spark, sf_dir, "embeddings"))
