@@ -91,7 +91,7 @@ def benchmark_hits(docs, items, window=13):
 
 
 def line_words(line):
-    return [w for w in re.split(r"[ \t\n\x0b\f\r\x85\xa0]+", line.lower()) if w]
+    return [w for w in re.split(r"[ \t\r]+", line.lower()) if w]
 
 
 def simhash(words):

@@ -95,6 +95,23 @@ def test_encode_stage(stages):
         assert r["ids"] == lib.encode(want[r["doc_id"]] or "", add_special_tokens=False).ids
 
 
+def test_stages_on_hostile_rows_and_on_none(spark, tmp_path):
+    """Null ids and texts, repeated rows, no rows: defined results."""
+    import corpus_pipeline
+    long = " ".join(f"word{i}" for i in range(40))
+    rows = [(None, long, "en", None, 1), (None, None, None, "s", None), (1, long, "en", "s", 1), (1, long, "en", "s", 1),
+            (2, long + " more", None, "s", 2), (3, "", "en", "s", 0), (4, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    got = sorted(map(tuple, stages["near_duplicates"](spark, docs, SF).collect()), key=str)
+    assert got == sorted((r for r in rows if r[0] != 2), key=str)
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs.limit(0), SF).write.parquet(str(tmp_path / name))
+        assert spark.read.parquet(str(tmp_path / name)).count() == 0
+    assert stages["lines"](spark, docs, SF).count() == stages["decontaminate"](spark, docs, SF).count() == len(rows)
+    assert stages["encode"](spark, docs, SF).count() == len(rows)
+
+
 def test_registered_queries(spark):
     import __spark_entry__ as entry
     names = set(entry.queries())
