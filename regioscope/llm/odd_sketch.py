@@ -12,8 +12,8 @@ with equal sets form a class; one representative of each class goes on:
 3. What remains is confirmed on the full sets, read again from the texts.
 
 With 40 bands of 4 samples a pair at the threshold 0.75 is missed with a
-chance of (1 - 0.75**4)**40, 4e-7.  Bitmaps tell apart what is far below the
-threshold: ``SLACK`` is over five standard deviations of the estimate.
+chance of (1 - 0.75**4)**40, 2e-7.  ``SLACK`` is four standard deviations of
+the estimate at the threshold, so a pair there is lost with a chance of 3e-5.
 
 Null and empty texts have the empty set and link with nothing.  Rows that
 repeat an id are one document for the links; a row without an id takes the
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regioscope.llm.bytescan import U, mix, shingles, text_buffers, word_hashes
@@ -35,11 +35,12 @@ from regioscope.llm.linking import bucket_links, connected_components
 from regioscope.llm.scratch import materialize
 
 BANDS, ROWS = 40, 4
-SAMPLES = BANDS * ROWS
+#: MinHash samples: the first make the bands, all of them the odd sketch.
+SAMPLES = 1280
 #: Bits of an odd sketch.
-BITS = 1024
+BITS = 4096
 #: Candidates whose estimate lies this far below the threshold go.
-SLACK = 0.18
+SLACK = 0.055
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _MULTIPLIERS = _rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -69,7 +70,7 @@ def min_samples(sets: list[np.ndarray]) -> np.ndarray:
 def band_keys(samples: np.ndarray) -> np.ndarray:
     h = np.tile(np.arange(BANDS, dtype=U), (len(samples), 1))
     for r in range(ROWS):
-        h = mix(h * U(0x2545F4914F6CDD1D) + samples[:, r::ROWS].astype(U))
+        h = mix(h * U(0x2545F4914F6CDD1D) + samples[:, r:BANDS * ROWS:ROWS].astype(U))
     return h
 
 
@@ -116,7 +117,7 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
             for s in document_sets(raw, off, k):
                 sets.append(s)
                 held += len(s)
-                if held > 1 << 19:
+                if held > 1 << 19 or len(sets) >= 1000:
                     yield flush(batch.column(0).slice(first, len(sets)), sets)
                     first, held, sets = first + len(sets), 0, []
             if sets:
@@ -144,7 +145,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, k: int,
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
              .join(asked, "id", "left_semi"))
     a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
@@ -165,17 +166,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str
     reps = sig.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").where("n_shingles > 0")
     members = reps.select(F.explode("bands").alias("bucket"), "id").distinct()
     limit = most_differing_bits(percent / 100 - SLACK)
-    sketch = reps.select("id", "sketch").dropDuplicates(["id"])
+    sketch = reps.select("id", F.col("sketch").alias("sig")).dropDuplicates(["id"])
+
+    def near(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda s, t: F.bit_count(s.bitwiseXOR(t))),
+                           F.lit(0), lambda total, n: total + n) <= limit
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        a = sketch.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
-        b = sketch.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
-        differing = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
-                                F.lit(0), lambda s, x: s + x)
-        near = pairs.join(b, "b").join(a, "a").where(differing <= limit).select("a", "b")
-        return confirmed(materialize(near, "near"), docs, percent, k, id_col, text_col)
-
-    groups = connected_components(bucket_links(members, confirm)).withColumnRenamed("id", "rep")
+        return confirmed(pairs, docs, percent, k, id_col, text_col)
+
+    groups = connected_components(bucket_links(members, confirm, near, sketch)).withColumnRenamed("id", "rep")
     classes = classes.join(groups, "rep", "left")
     out = sig.select("id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("id")) \
