@@ -183,6 +183,8 @@ def test_common_ends_leave_the_edit_distance(spark):
     df = spark.createDataFrame(rows, "x array<string>, y array<string>").withColumns({"p": F.col("x"), "q": F.col("y")})
     got = line_dedup.without_common_ends(df, "p", "q").withColumn("d", F.levenshtein("p", "q")).collect()
     assert all(r["d"] == brute.edit_distance(" ".join(r["x"]), " ".join(r["y"])) for r in got)
+    bounds = [(r["at_most"], r["d"]) for r in got if r["at_most"] is not None]
+    assert len(bounds) > 50 and all(b >= d for b, d in bounds)
 
 
 def test_context_tree(documents, texts, empty, monkeypatch):
