@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regioscope.llm.bytescan import _LOWER, U, text_buffers, word_hashes
-from regioscope.llm.scratch import materialize
+from regioscope.llm.scratch import discard, materialize
 
 DEPTH = 4
 #: Text bytes of a block of documents, and bytes looked at at once.
@@ -197,10 +197,8 @@ def grams(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
         yield row[DEPTH:][wanted], key[wanted]
 
 
-def _count(keys: np.ndarray, weight: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def _count(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and the sums of their weights."""
-    if weight is None:
-        return np.unique(keys, return_counts=True)
     order = np.argsort(keys)
     keys, weight = keys[order], weight[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
@@ -209,14 +207,17 @@ def _count(keys: np.ndarray, weight: np.ndarray | None) -> tuple[np.ndarray, np.
 
 def _tally(parts: Iterator[tuple[np.ndarray, np.ndarray]], train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of all rows and how often each occurs in training rows."""
-    keys, counts = np.zeros(0, U), np.zeros(0, np.int64)
+    keys, counts = [np.zeros(0, U)], [np.zeros(0, np.int64)]
     for row, key in parts:
         mask = train[row]
         seen, n = np.unique(key[mask], return_counts=True)
         other = np.unique(key[~mask])
-        keys, counts = _count(np.concatenate([keys, seen, other]),
-                              np.concatenate([counts, n, np.zeros(len(other), np.int64)]))
-    return keys, counts
+        keys += [seen, other]
+        counts += [n, np.zeros(len(other), np.int64)]
+        if sum(map(len, keys)) > 1 << 22:  # a bound on what is held
+            found = _count(np.concatenate(keys), np.concatenate(counts))
+            keys, counts = [found[0]], [found[1]]
+    return _count(np.concatenate(keys), np.concatenate(counts))
 
 
 def _word_parts(raw, off):
@@ -337,6 +338,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     model = trees.applyInArrow(log_probabilities, "key long, value double")
     wanted = found.join(model, "key").select("block", "kind", "key", "value")
     facts = materialize(wanted.union(shared), "facts")
+    discard(features, counts, summed)
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         return _scores(left, right, total, distinct, ends)
