@@ -76,7 +76,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     from regioscope.llm import line_dedup
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    out = line_dedup.dedup_all_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.char_length("text").cast("long").alias("n_chars_kept"),
                       F.sha2("text", 256).alias("text_sha256"))
 

@@ -223,3 +223,51 @@ def test_probabilities_add_up():
     top = context_tree.upper(n0, n1, -rng.random((256, 256)))
     p = np.exp(tree.probabilities(*top, np.full(len(keys), 0x74)))
     assert p[:256].sum() == pytest.approx(1)
+
+
+def near_lines(rng, count):
+    """(line, near copy): one of n words replaced, letters changed, in lines
+    of one to sixty words, and text without spaces."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(2, 9)))
+    for n in range(count):
+        kind = ("word", "letters", "solid", "one")[n % 4]
+        words = [word() for _ in range(rng.randint(12, 60) if kind == "word" else rng.randint(2, 40))]
+        line = " ".join(words)
+        if kind == "solid":
+            line = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(rng.randint(10, 80)))
+        if kind == "word":
+            most = int(len(line) * 0.1)
+            short = [i for i, w in enumerate(words) if len(w) <= most]
+            i = rng.choice(short)
+            words[i] = word()[:len(words[i])]
+            yield kind, line, " ".join(words)
+            continue
+        edits = 1 if kind == "one" else max(1, int(len(line) * 0.05))
+        if int(len(line) * 0.1) < edits:
+            continue
+        chars = list(line)
+        for i in rng.sample([i for i, c in enumerate(chars) if c != " "], edits):
+            chars[i] = "q"
+        yield kind, line, "".join(chars)
+
+
+def test_all_lines_by_edit_similarity(spark):
+    import math
+    import random
+    from collections import Counter
+    pairs = list(near_lines(random.Random(8), 1200))
+    near = [math.floor(max(len(x), len(y)) * 0.1 + 1e-9) >= brute.edit_distance(x, y) for _, x, y in pairs]
+    assert sum(near) > 1000
+    rows = [(i, x) for i, (_, x, _) in enumerate(pairs)] + [(10_000 + i, y) for i, (_, _, y) in enumerate(pairs)]
+    got = by_id(line_dedup.dedup_all_lines(spark.createDataFrame(rows, "doc_id long, text string")), "text")
+    of = Counter(k for (k, _, _), n in zip(pairs, near) if n)
+    gone = Counter(k for i, ((k, _, _), n) in enumerate(zip(pairs, near)) if n and got[10_000 + i] == ("",))
+    assert all(gone[k] >= 0.95 * n for k, n in of.items()), (gone, of)
+    assert all(got[10_000 + i] == (y,) for i, ((_, _, y), n) in enumerate(zip(pairs, near)) if not n)
+
+
+def test_short_and_solid_lines_go(spark):
+    rows = [(i, f"les.\nHome\n東京都千代田区一丁目二番三号四五六七\n\nown {i * 7919}") for i in range(100)]
+    got = by_id(line_dedup.dedup_all_lines(spark.createDataFrame(rows, "doc_id long, text string")), "text")
+    assert got[0] == (rows[0][1],) and all(got[i][0].split("\n")[0] == "" for i in range(1, 100))
