@@ -14,6 +14,10 @@ important content below it, so only a branch without any important part is
 low.  Menus, adverts and notices that a site repeats come out low, and the
 branch is cut from every page of the host.
 
+Copies of a page say nothing new: pages of a host count once for each
+distinct main content (the texts outside clutter), and the nodes inside
+``article`` or ``main`` once for each distinct text there.
+
 A host with few pages says little, so its figures are shrunk towards those
 of the same path over all hosts, and those towards a value for the role of
 the element.  Entropy cannot tell reader comments or forms from an article,
@@ -74,6 +78,7 @@ _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^
 _WORD = re.compile(r"[a-z]+")
 HOST_PATTERN = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 _HOST = re.compile(HOST_PATTERN)
+_INSIDE = re.compile(INSIDE)
 
 
 def host_of(url: str | None) -> str:
@@ -185,26 +190,37 @@ def style_rows(page: str) -> tuple[dict[str, int], set[tuple[str, int]]]:
     return {n: _hash("|".join(c)) for n, c in children.items()}, texts
 
 
+def content_keys(texts: set[tuple[str, int]]) -> tuple[int, int]:
+    """What tells a page from its copies: a hash of its texts outside clutter
+    (of all, where these are none), and one of those inside the article."""
+    clear = sorted(x for x in texts if not any(map(is_clutter, x[0].split("/")))) or sorted(texts)
+    return _hash(repr(clear)), _hash(repr([x for x in clear if _INSIDE.search(x[0])]))
+
+
 def _observations(pages: DataFrame) -> DataFrame:
-    """(host, node, kind, feature): a row per page and node with its
-    presentation (kind 0) and per page, node and text (kind 1)."""
+    """(host, node, kind, feature, page): a row per page and node with its
+    presentation (kind 0) and per page, node and text (kind 1); copies of a
+    page have the same ``page``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["host", "node", "kind", "feature"]
+        names = ["host", "node", "kind", "feature", "page"]
         for batch in batches:
             rows: list[tuple] = []
             for i, (url, page) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), 1):
                 host = host_of(url)
                 seen, texts = style_rows(page or "")
-                rows += [(host, n, 0, f) for n, f in seen.items()]
-                rows += [(host, n, 1, f) for n, f in texts]
+                keys = content_keys(texts)
+                of = {n: keys[_INSIDE.search(n) is not None] for n in seen}
+                rows += [(host, n, 0, f, of[n]) for n, f in seen.items()]
+                rows += [(host, n, 1, f, of[n]) for n, f in texts]
                 if len(rows) > 20_000 or i == batch.num_rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows],
                                                      schema=pa.schema([("host", pa.string()), ("node", pa.string()),
-                                                                       ("kind", pa.int32()), ("feature", pa.int64())]))
+                                                                       ("kind", pa.int32()), ("feature", pa.int64()),
+                                                                       ("page", pa.int64())]))
                     rows = []
 
     return (pages.select(F.col("url").cast("string"), F.col("html").cast("string"))
-            .mapInArrow(run, "host string, node string, kind int, feature long"))
+            .mapInArrow(run, "host string, node string, kind int, feature long, page long"))
 
 
 def _importance(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -238,7 +254,7 @@ def _role(last: Column) -> Column:
 def low_branches(pages: DataFrame) -> DataFrame:
     """(host, node) of the branches to cut."""
     counts = materialize(_observations(pages).groupBy("host", "node", "kind", "feature")
-                         .agg(F.count("*").alias("n")), "style-counts")
+                         .agg(F.count_distinct("page").alias("n")), "style-counts")
     site = _importance(counts, ["host"])
     wide = _importance(counts.groupBy("node", "kind", "feature")
                        .agg(F.sum("n").alias("n")), [])

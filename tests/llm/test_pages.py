@@ -130,3 +130,14 @@ def test_roles_agree(spark):
     sigs = ["nav", "div", "div.ad", "div.main.column", "article.comment", "p.share", "header", "main", "body.nav"]
     df = spark.createDataFrame([(s,) for s in sigs], "s string").select("s", site_style_tree._role(F.col("s")).alias("r"))
     assert {r["s"]: r["r"] for r in df.collect()} == {s: site_style_tree.is_clutter(s) for s in sigs}
+
+
+def test_copies_of_a_page_count_once(spark):
+    body = "<body><div class='menu'>m</div><div class='x'><h1>Title {0}</h1><p>A text {0} without an article element</p></div></body>"
+    rows = [(i, f"http://same.org/{i}", body.format(0), "", "", "") for i in range(50)]
+    rows += [(100 + i, f"http://two.org/{i}", body.format(i % 2), "", "", "") for i in range(200)]
+    rows += [(400 + i, f"http://menus.org/{i}", body.format(0).replace(">m<", f">m {i}<"), "", "", "") for i in range(50)]
+    got = {r["page_id"]: r["text"] for r in site_style_tree.extract(spark.createDataFrame(rows, PAGE)).collect()}
+    for i, _, page, *_ in rows:
+        n = 1 if "Title 1" in page else 0
+        assert got[i] == f"Title {n}\n\nA text {n} without an article element"
