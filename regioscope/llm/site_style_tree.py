@@ -21,9 +21,12 @@ distinct main content (the texts outside clutter), and the nodes inside
 A host with few pages says little, so its figures are shrunk towards those
 of the same path over all hosts, and those towards a value for the role of
 the element.  Entropy cannot tell reader comments or forms from an article,
-as both differ on every page; the role (tag, class and id words) therefore
-scales the importance.  Inside ``article`` or ``main`` only branches with
-the role of clutter can be cut: an article printed twice stays an article.
+as both differ on every page; outside ``article`` and ``main`` the role (tag,
+class and id words) therefore scales the importance so that clutter always
+goes.  Inside them the role is only the value that figures are shrunk to:
+what differs from article to article outweighs it, and what most distinct
+articles of a host repeat is cut under any name.  An article printed twice
+counts once, so it stays.
 
 Null and empty pages give an empty text; a page without a url belongs to
 the host ''.  Rows are handled one by one, so repeated rows give equal
@@ -234,7 +237,7 @@ def _importance(counts: DataFrame, by: list[str]) -> DataFrame:
              .agg(F.sum(F.log("n")).alias("logs"), F.count("*").alias("kinds")))
     leaf = (own.join(texts, [*by, "node"]).select(
         *by, "node",
-        F.when(F.col("node").rlike(INSIDE), 1.0).when(F.col("m") > 1, 1 - F.col("logs") / F.col("kinds") / F.log("m"))
+        F.when(F.col("m") > 1, 1 - F.col("logs") / F.col("kinds") / F.log("m"))
         .otherwise(1.0).alias("content")))
     parts = F.split("node", "/")
     branch = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)),
@@ -265,7 +268,7 @@ def low_branches(pages: DataFrame) -> DataFrame:
     score = (F.col("m") * F.col("importance") + SHRINK * general) / (F.col("m") + SHRINK)
     inside = F.col("node").rlike(INSIDE)
     return (site.join(wide, "node")
-            .withColumn("score", F.when(clutter, score * 0.25).when(inside, F.lit(1.0)).otherwise(score))
+            .withColumn("score", F.when(clutter & ~inside, score * 0.25).otherwise(score))
             .where(F.col("score") < LEAST).select("host", "node"))
 
 

@@ -141,3 +141,11 @@ def test_copies_of_a_page_count_once(spark):
     for i, _, page, *_ in rows:
         n = 1 if "Title 1" in page else 0
         assert got[i] == f"Title {n}\n\nA text {n} without an article element"
+
+
+def test_entropy_decides_inside_main(spark):
+    rows = [(i, f"http://in.org/{i}", f"<body><main><header><h1>Title {i}</h1></header><div class='x'><p>Read our terms first</p></div>"
+             f"<section class='related work'><p>Prose {i} of its own</p></section><div class='share'>Share it</div>"
+             f"<p>Story {i}</p></main></body>", "", "", "") for i in range(80)]
+    got = {r["page_id"]: r["text"] for r in site_style_tree.extract(spark.createDataFrame(rows, PAGE)).collect()}
+    assert all(got[i] == f"Title {i}\n\nProse {i} of its own\n\nStory {i}" for i in range(80))
