@@ -98,3 +98,21 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regioscope.llm import pivot_permutation
     return pivot_permutation.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@register("op11_centroids", oracles.OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regioscope.llm import centroids
+    return centroids.digests(table(spark, sf_dir, "embeddings"))
+
+
+@register("op12_range_maximum", oracles.OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regioscope.llm import range_maximum
+    return range_maximum.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op13_line_rules", oracles.OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regioscope.llm import line_rules
+    return line_rules.judge(table(spark, sf_dir, "documents")).drop("clean_text")
