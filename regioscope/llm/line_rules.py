@@ -31,14 +31,15 @@ from pyspark.sql import functions as F
 
 SPACES = r"[\x20\x09-\x0D]+"
 HAS_WORD = r"[^\x20\x09-\x0D]"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]"
 #: A sentence mark, closing quotes or brackets, white space, the end.
 SENTENCE_END = "[.!?:;…。！？][\"'“”’»)\\]]*[\\x20\\x09-\\x0D]*\\z"
-SEPARATORS = "|›»·•→>"
+SEPARATORS = "[|›»·•→>]"
 NOTICES = (r"(?i)all rights reserved|copyright|©|privacy policy|terms of (use|service)|cookie|javascript"
            r"|lorem ipsum|sign (in|up)|log ?in|subscribe|newsletter|click here|skip to|read more")
 #: A notice makes lines of up to this many words fail; longer ones are prose.
 NOTICE_WORDS = 20
+AT_MOST_NOTICE_WORDS = rf"\A(?:{SPACES})?+(?:{HAS_WORD}++(?:{SPACES}|\z)){{0,{NOTICE_WORDS}}}+\z"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -51,12 +52,8 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACES), "")
 
 
-def _count(text: Column, chars: str) -> Column:
-    return F.char_length(text) - F.char_length(F.translate(text, chars, ""))
-
-
 def _word_chars(text: Column) -> Column:
-    return F.char_length(F.translate(text, " \t\n\x0b\x0c\r", ""))
+    return F.char_length(F.regexp_replace(text, SPACES, ""))
 
 
 def repeated_run_words(w: Column) -> Column:
@@ -91,12 +88,12 @@ def repeated_run_words(w: Column) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """Does a line with words break one of the rules?"""
-    chars, seps = _word_chars(line), _count(line, SEPARATORS)
-    n = F.size(words(line))
-    ends = line.rlike(SENTENCE_END) & (10 * _count(line, SYMBOLS) <= chars)
-    navigation = (seps >= 2) & (5 * seps >= n)
-    notice = line.rlike(NOTICES) & (n <= NOTICE_WORDS)
+    """Does a line with words break one of the rules?  Costly parts stand
+    last: they are looked at only where the others leave it open."""
+    symbols, seps = F.regexp_count(line, F.lit(SYMBOLS)), F.regexp_count(line, F.lit(SEPARATORS))
+    ends = line.rlike(SENTENCE_END) & ((symbols == 0) | (10 * symbols <= _word_chars(line)))
+    navigation = (seps >= 2) & (5 * seps >= F.size(words(line)))
+    notice = line.rlike(AT_MOST_NOTICE_WORDS) & line.rlike(NOTICES)
     return ~ends | navigation | notice
 
 
@@ -126,7 +123,7 @@ def judge(docs: DataFrame, min_words: int = 50, most_repeated: int = 50, most_lo
     of_words = _let(words(F.col("text")), lambda w: F.struct(
         F.size(w).alias("n_words"), repeated_run_words(w).alias("n_repeat_words")))
     rows = rows.select(
-        "id", _word_chars(F.col("text")).alias("word_chars"), _count(F.col("text"), SYMBOLS).alias("n_symbols"),
+        "id", _word_chars(F.col("text")).alias("word_chars"), F.regexp_count("text", F.lit(SYMBOLS)).alias("n_symbols"),
         of_words.alias("w"), _let(F.transform(F.split("text", "\n"), facts), of_lines).alias("l"))
     long = {c: F.col(c).cast("long") for c in ("w.n_words", "word_chars", "n_symbols", "l.n_dup_lines",
                                                "w.n_repeat_words", "l.n_lines", "l.n_failed_lines", "l.lost_chars")}
