@@ -105,9 +105,11 @@ def p2_index(df: DataFrame, id_col: str, cols: Sequence[str],
     return dist.select(id_col, index.alias(out)), wdf
 
 
-def value_positions(df: DataFrame, by: str, order: str, partitions: int | None = None) -> DataFrame:
-    """``(by, order, n, before)``: every distinct value of each group, how
-    often it occurs, and how many rows of the group are smaller.
+def value_positions(df: DataFrame, by: str, order: str, partitions: int | None = None,
+                    extra: Sequence[Column] = ()) -> DataFrame:
+    """``(by, order, n, before, extra...)``: every distinct value of each
+    group, how often it occurs, how many rows of the group are smaller, and
+    ``extra`` aggregates of the value's rows.
 
     Equal values are counted before anything is sorted, so a value that a
     third of all rows share is one row.  The distinct values are
@@ -116,7 +118,8 @@ def value_positions(df: DataFrame, by: str, order: str, partitions: int | None =
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = df.groupBy(by, order).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(by, order).agg(F.count(F.lit(1)).alias("n"), *extra)
+    more = counts.columns[3:]
     d = cut_lineage(counts.repartitionByRange(n, by, order).withColumn("_pid", F.spark_partition_id()))
     slices = d.groupBy("_pid", by).agg(F.sum("n").alias("_cnt"))
     w = Window.partitionBy(by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -124,7 +127,7 @@ def value_positions(df: DataFrame, by: str, order: str, partitions: int | None =
     own = Window.partitionBy("_pid", by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return (d.withColumn("_own", F.coalesce(F.sum("n").over(own), F.lit(0)))
             .join(slices.select("_pid", by, "_off"), ["_pid", by])
-            .select(by, order, "n", (F.col("_off") + F.col("_own")).alias("before")))
+            .select(by, order, "n", (F.col("_off") + F.col("_own")).alias("before"), *more))
 
 
 def discrimination(df: DataFrame, cols: Sequence[str], tol: float = 1e-9) -> DataFrame:

@@ -1,20 +1,25 @@
 """Product B, model side: balance, split, fit, tune, score, evaluate.
 
-Fitted models are not SQL-expressible, so these plans have no oracle SQL
-(the driver records a rows-only check); ``tests/test_ml.py`` checks the
-invariants, and ``m15_metrics_rule`` checks the metric formulas against
-SQL on a rule-based classifier.
+Fitted models are not SQL-expressible.  What SQL can check is whether a fit
+is the optimum of its objective on the right rows (``*_optimal_fits``), the
+metric formulas (``m15_metrics_rule``) and the exact AUROC (``m10_auroc``);
+``tests/test_ml.py`` and ``tests/test_elastic.py`` check the rest.
 """
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from regioscope.functions import text as X
+from regioscope.operators import elastic as EL
 from regioscope.operators import ml as ML
+from regioscope.operators import ranking as RK
 from regioscope.operators import sampling as S
 from regioscope.plans.bindings import load, r6, registry
-from regioscope.plans.establishments import model_input
+from regioscope.plans.establishments import REGISTRY_SQL, model_input
 from regioscope.plans.registry import R6, query
 
 SEED = 123
@@ -122,16 +127,124 @@ def m17_odds(spark, sf_dir):
     return ML.odds_table(coefs).select("features", r6("odds").alias("odds"))
 
 
+# -- model selection: all fits of a grid from shared passes -------------------
+
+GRID = np.linspace(0.0, 1.0, 100)
+FOLDS = 10
+CONDITION = 2e-5   # a fit is optimal below this violation of its gradient condition
+
+
+def folds(train):
+    """``train`` as the design of a 10-fold search: features fitted on all
+    its rows, the fold from a hash of the id."""
+    h = F.substring(S.hash_key(["id"], "fold"), 1, 8)
+    rows = Pipeline(stages=ML.feature_stages()).fit(train).transform(train)
+    fold = (F.conv(h, 16, 10).cast("long") % FOLDS).cast("int")
+    return EL.design(rows.select("id", "y", "features", fold.alias("fold")), "fold")
+
+
+def _best(points):
+    """The first grid point with the highest value."""
+    return max((p for p in points if p[2] is not None), key=lambda p: p[2])
+
+
+def metrics_table(spark, points, metric: str):
+    best = _best(points)
+    rows = [(a, m, v, (a, m) == best[:2]) for a, m, v in points]
+    return spark.createDataFrame(rows, f"reg_param double, elastic_net_param double, {metric} double, is_best boolean") \
+        .withColumn(metric, r6(metric))
+
+
 @query("m8_cv_metrics")
 def m8_cv_metrics(spark, sf_dir):
     """Grid + k-fold CV by AUROC (lasso mixing), in the reference's shape:
     100 regularisation values, 10 folds.  Also reports the best
     regularisation value (M10, M11)."""
     _, train, _ = train_test(spark, sf_dir)
-    cvm, metrics = ML.tune(train)
-    best = ML.best_reg_param(cvm)
-    return metrics.withColumn("is_best", F.col("reg_param") == F.lit(best)) \
-        .withColumn("areaUnderROC", r6("areaUnderROC"))
+    _, asked, _, values = EL.cross_validate(folds(train), GRID, [1.0])
+    return metrics_table(spark, EL.mean_over_folds(asked, values), "areaUnderROC").drop("elastic_net_param")
+
+
+@query("m9_f1_metrics")
+def m9_f1_metrics(spark, sf_dir):
+    """The draft's grid by F1: 100 regularisation x 100 mixing values, 10
+    folds, uncut (100,000 fits)."""
+    _, train, _ = train_test(spark, sf_dir)
+    _, asked, _, values = EL.cross_validate(folds(train), GRID, GRID, "f1")
+    return metrics_table(spark, EL.mean_over_folds(asked, values), "f1")
+
+
+def _fold_table(spark, d, asked, every, violation):
+    total = sum(m[0, 0] for m in d.moments.values())
+    rows = [(int(p), a, m, int(total - d.moments[p][0, 0]), int(d.moments[p][0, 0]), bool(v <= CONDITION))
+            for (p, a, m), v in zip(asked, violation[every])]
+    out = spark.createDataFrame(rows, "fold int, reg_param double, elastic_net_param double, n_train long, "
+                                      "n_held_out long, optimal boolean")
+    return out.withColumn("reg_param", r6("reg_param")).withColumn("elastic_net_param", r6("elastic_net_param"))
+
+
+def _train_sql(extra: str = "", by: str = "") -> str:
+    """Labelled, balanced training rows: what ``train_test`` keeps."""
+    part, match = (f"{by}, ", f"b.{by} = q.{by}") if by else ("", "true")
+    group = f"GROUP BY {by}" if by else ""
+    return f"""
+{REGISTRY_SQL.strip()},
+lab AS (SELECT id, cve_ent{extra}, CASE WHEN coalesce(per_ocu IN ({", ".join(f"'{c}'" for c in X.SMALL_SIZE_CLASSES)}), false)
+               THEN 0 ELSE 1 END AS y FROM registry),
+q AS (SELECT {part} min(n) AS quota FROM (SELECT {part} y, count(*) AS n FROM lab GROUP BY ALL) {group}
+      HAVING count(*) > 1),
+b AS (SELECT *, row_number() OVER (PARTITION BY {part} y ORDER BY md5(id || '|{SEED}')) AS rn FROM lab),
+train AS (SELECT b.id, b.cve_ent{extra}, y FROM b JOIN q ON {match}
+          WHERE rn <= quota AND substr(md5(b.id || '|{SEED}'), 1, 8) < 'c0000000')"""
+
+
+def _fits_sql(mixes: str) -> str:
+    return f"""
+WITH {_train_sql().strip()},
+f AS (SELECT CAST(CAST('0x' || substr(md5(id || '|fold'), 1, 8) AS BIGINT) % {FOLDS} AS INTEGER) AS fold, count(*) AS n
+      FROM train GROUP BY 1)
+SELECT fold, {R6('i / 99')} AS reg_param, {R6(mixes)} AS elastic_net_param,
+       CAST((SELECT count(*) FROM train) - n AS BIGINT) AS n_train, CAST(n AS BIGINT) AS n_held_out, true AS optimal
+FROM f, range(100) a(i), {'range(100)' if 'j' in mixes else 'range(1)'} b(j)
+"""
+
+
+@query("m8_optimal_fits", sql=_fits_sql("1"))
+def m8_optimal_fits(spark, sf_dir):
+    """Every fit of the AUROC grid with its rows, and whether its gradient
+    condition holds (measured anew from the final coefficients)."""
+    _, train, _ = train_test(spark, sf_dir)
+    d = folds(train)
+    points = EL.grid_points(d.parts, GRID, [1.0])
+    violation = EL.gradient_condition(EL.fit_many(d, points, own=False))
+    return _fold_table(spark, d, points, np.arange(len(points)), violation)
+
+
+@query("m9_optimal_fits", sql=_fits_sql("j / 99"))
+def m9_optimal_fits(spark, sf_dir):
+    """Every fit of the 100 x 100 x 10 grid, as ``m8_optimal_fits``."""
+    _, train, _ = train_test(spark, sf_dir)
+    d = folds(train)
+    fits, asked, every, _ = EL.cross_validate(d, GRID, GRID, "f1")
+    return _fold_table(spark, d, asked, every, EL.gradient_condition(fits))
+
+
+@query("m10_auroc", sql=f"""
+WITH s AS (SELECT l_linestatus || l_linenumber AS "group", l_quantity - 100 * abs(l_discount) AS score,
+                  CAST(l_returnflag = 'A' AS INTEGER) AS y FROM lineitem),
+r AS (SELECT "group", y, rank() OVER (PARTITION BY "group" ORDER BY score) AS lo,
+             count(*) OVER (PARTITION BY "group", score) AS ties FROM s),
+g AS (SELECT "group", count(*) AS n, sum(y) AS p, sum(y * (lo + (ties - 1) / 2)) AS rank_sum FROM r GROUP BY "group")
+SELECT "group", n, CAST(p AS BIGINT) AS positives,
+       {R6('(rank_sum - p * (p + 1) / 2) / nullif(p * (n - p), 0)')} AS auroc FROM g
+""")
+def m10_auroc(spark, sf_dir):
+    """Exact AUROC with ties of a stored score, per group."""
+    li = load(spark, sf_dir, "lineitem").select(
+        F.concat("l_linestatus", F.col("l_linenumber").cast("string")).alias("group"),
+        (F.col("l_quantity") - 100 * F.abs("l_discount")).alias("score"),
+        (F.col("l_returnflag") == "A").cast("double").alias("y"))
+    return RK.auroc(li, "group").withColumn("auroc", r6("auroc"))
 
 
 @query("m18_kmeans")
@@ -155,44 +268,41 @@ def m19_cluster_feature(spark, sf_dir):
         .withColumn("coefficients", r6("coefficients"))
 
 
-def models_by_group(data, group: str, feature_set: str, workers: int = 8):
-    """One model per group, all rows scored in one pass.
-
-    Feature stages are fitted once on all rows.  Classes are balanced and
-    split per group in one job; each group's regression is fitted on its
-    training rows, a few at a time.  The coefficients (one dense vector per
-    group that has a model) are joined back, and every row's probability is
-    the logistic function of its group's dot product.  Rows whose group is
-    missing, has one class only, or none in its training part, get NULL
-    scores and a reason.
-    """
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
+def group_training_rows(data, group: str, feature_set: str):
+    """(all rows with features, balanced training rows): feature stages
+    fitted once on all rows, classes balanced and split per group in one
+    job."""
     categorical, numeric = ML.FEATURE_SETS[feature_set]
     stages = ML.feature_stages(categorical=categorical, numeric=numeric)
     rows = Pipeline(stages=stages).fit(data).transform(data).select("id", group, "y", "features")
     bal = S.downsample(rows.where(F.col(group).isNotNull()), "y", ["id"], seed=SEED, by=[group])
-    train, _ = S.hash_split(bal, [0.75, 0.25], ["id"], seed=SEED)
-    train = train.persist()
-    ready = train.groupBy(group).agg(F.count_distinct("y").alias("k")).where("k = 2")
-    groups = [r[0] for r in ready.select(group).orderBy(group).collect()]
+    return rows, S.hash_split(bal, [0.75, 0.25], ["id"], seed=SEED)[0]
 
-    def fit_one(g):
-        # each fit is itself distributed; a few run at once as separate jobs
-        m = LogisticRegression(labelCol="y").fit(train.where(F.col(group) == F.lit(g)))
-        return g, float(m.intercept), [float(x) for x in m.coefficients]
 
-    with ThreadPoolExecutor(max_workers=max(1, min(workers, len(groups)))) as pool:
-        fits = list(pool.map(fit_one, groups))
-    train.unpersist()
-    spark = data.sparkSession
-    kind = data.schema[group].dataType.simpleString()
-    coefs = spark.createDataFrame(fits, f"{group} {kind}, _b double, _w array<double>")
-    small = sum(8 * len(w) for _, _, w in fits) <= 16 << 20
-    scored = rows.join(F.broadcast(coefs) if small else coefs, group, "left")
+def fit_groups(train, group: str):
+    """One regression per group with both classes, all of them advanced by
+    the same Newton passes."""
+    d = EL.design(train, group)
+    ready = [p for p in d.parts if 0 < d.positives[p] < d.moments[p][0, 0]]
+    return EL.fit_many(d, [(p, 0.0, 0.0) for p in ready], own=True)
+
+
+def models_by_group(data, group: str, feature_set: str):
+    """One model per group, all rows scored in one pass.
+
+    No group has a job of its own: ``fit_groups`` advances all regressions
+    together.  The coefficients (one dense vector per group that has a model)
+    are joined back, and every row's probability is the logistic function of
+    its group's dot product.  Rows whose group is missing, has one class only,
+    or none in its training part, get NULL scores and a reason.
+    """
+    rows, train = group_training_rows(data, group, feature_set)
+    fits = fit_groups(train, group)
+    intercepts, coefs = fits.raw()
+    models = [(p, float(b), w.tolist()) for p, b, w in zip(fits.part, intercepts, coefs.T)]
+    coefs = data.sparkSession.createDataFrame(models, "_g string, _b double, _w array<double>")
+    small = sum(8 * len(w) for _, _, w in models) <= 16 << 20
+    scored = rows.join(F.broadcast(coefs) if small else coefs, F.col(group).cast("string") == F.col("_g"), "left")
     products = F.zip_with(vector_to_array("features"), "_w", lambda x, w: x * w)
     margin = F.col("_b") + F.aggregate(products, F.lit(0.0), lambda a, x: a + x)
     p = F.when(F.col("_w").isNotNull(), 1 / (1 + F.exp(-margin)))
@@ -216,6 +326,21 @@ def m20_model_per_period(spark, sf_dir):
     return models_by_group(data, "period", "period")
 
 
+@query("m20_optimal_fits", sql=f"""
+WITH {_train_sql(by='cve_ent').strip()}
+SELECT cve_ent, count(*) AS n_train, CAST(sum(y) AS BIGINT) AS positives, true AS optimal
+FROM train GROUP BY cve_ent HAVING min(y) < max(y)
+""")
+def m20_optimal_fits(spark, sf_dir):
+    """Every state's model with its training rows, and whether its gradient
+    condition holds."""
+    _, train = group_training_rows(labelled(spark, sf_dir), "cve_ent", "state")
+    fits = fit_groups(train, "cve_ent")
+    rows = [(p, int(fits.design.moments[p][0, 0]), int(fits.design.positives[p]), bool(v <= CONDITION))
+            for p, v in zip(fits.part, EL.gradient_condition(fits))]
+    return spark.createDataFrame(rows, "cve_ent string, n_train long, positives long, optimal boolean")
+
+
 @query("m11_tuned_refit")
 def m11_tuned_refit(spark, sf_dir):
     """Tune (lasso grid, AUROC), take the best regularisation, refit it
@@ -225,8 +350,8 @@ def m11_tuned_refit(spark, sf_dir):
     from pyspark.ml import PipelineModel
     from regioscope.sources import io as IO
     data, train, test = train_test(spark, sf_dir)
-    cvm, _ = ML.tune(train)
-    best = ML.best_reg_param(cvm)
+    _, asked, _, values = EL.cross_validate(folds(train), GRID, [1.0])
+    best = _best(EL.mean_over_folds(asked, values))[0]
     model = ML.fit_logistic(train, data, reg_param=best, elastic_net=0.0)
     path = IO.scratch_path(spark, "model")
     IO.save_model(model, path)
