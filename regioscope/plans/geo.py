@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from regioscope.functions import geo as G
 from regioscope.operators import aggregates as A
+from regioscope.operators import dissolve as DS
 from regioscope.operators import joins as J
 from regioscope.operators import spatial as SP
 from regioscope.operators import trend as T
@@ -166,6 +167,37 @@ def a13_dissolve(spark, sf_dir):
                     F.col("n").cast("long"))
 
 
+@query("a13_dissolve_rings", sql="WITH RECURSIVE " + POLYS_SQL + f"""
+, c AS (SELECT n_regionkey, list_transform(ring, lambda p: [CAST(round(p.x * 1e9) AS BIGINT), CAST(round(p.y * 1e9) AS BIGINT)]) AS r
+        FROM polys),
+d AS (SELECT n_regionkey, r[i] AS a, r[i + 1] AS b FROM c, range(1, 5) t(i)),
+u AS (SELECT n_regionkey, least(a, b) AS lo, greatest(a, b) AS hi, sum(CASE WHEN a < b THEN 1 ELSE -1 END) AS net
+      FROM d GROUP BY ALL HAVING net <> 0),
+e AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY n_regionkey, a, b) AS id
+  FROM (SELECT n_regionkey, CASE WHEN net > 0 THEN lo ELSE hi END AS a, CASE WHEN net > 0 THEN hi ELSE lo END AS b FROM u)),
+t AS (SELECT x.id, y.id AS nxt,
+             CAST(x.b[1] - x.a[1] AS DOUBLE) AS ux, CAST(x.b[2] - x.a[2] AS DOUBLE) AS uy,
+             CAST(y.b[1] - y.a[1] AS DOUBLE) AS vx, CAST(y.b[2] - y.a[2] AS DOUBLE) AS vy
+      FROM e x JOIN e y ON x.n_regionkey = y.n_regionkey AND x.b = y.a),
+n AS MATERIALIZED (SELECT id, arg_max(nxt, atan2(ux * vy - uy * vx, ux * vx + uy * vy)) AS nxt FROM t GROUP BY id),
+walk(id, cur) AS (SELECT id, id FROM e UNION SELECT w.id, n.nxt FROM walk w JOIN n ON n.id = w.cur),
+ring AS (SELECT id, min(cur) AS head FROM walk GROUP BY id),
+g AS (SELECT e.n_regionkey, head, count(*) AS n_vertices,
+             sum(CAST(a[1] AS HUGEINT) * b[2] - CAST(b[1] AS HUGEINT) * a[2]) AS twice
+      FROM e JOIN ring USING (id) GROUP BY ALL)
+SELECT g.n_regionkey, {R6('e.a[1] / 1e9')} AS start_x, {R6('e.a[2] / 1e9')} AS start_y,
+       CAST(n_vertices AS BIGINT) AS n_vertices, {R6('abs(twice) / 2e18')} AS area, twice < 0 AS is_hole
+FROM g JOIN e ON e.id = g.head
+""")
+def a13_dissolve_rings(spark, sf_dir):
+    """Neighbourhoods dissolved per region: the outlines of the union, holes
+    included."""
+    d = DS.dissolve_rings(polygons(spark, sf_dir), ["n_regionkey"])
+    return d.select("n_regionkey", r6(d.ring[0]["x"]).alias("start_x"), r6(d.ring[0]["y"]).alias("start_y"),
+                    "n_vertices", r6("area").alias("area"), "is_hole")
+
+
 # -- catchment series (G6, A14, W1, A5), trend (D1), snapshots (D2) ---------------
 
 def polygon_period_eqi(spark, sf_dir):
