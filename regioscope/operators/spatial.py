@@ -1,23 +1,22 @@
 """Spatial joins on DataFrames (points in polygons, polygons near a point).
 
 Spark has no spatial index or predicates, so the join is an equi-join on
-grid cells followed by an exact ray-casting test:
+grid cells followed by an exact crossing test:
 
-* every polygon is exploded into the cells its bounding box covers
-  (``explode(sequence(...))``), one row per (polygon, cell);
+* polygons become rows of an edge index (``edge_index``): per cell the edges
+  that touch it and whether its corner is inside;
 * every point computes its own cell;
-* points and polygon cells meet on ``(gx, gy)``; the even-odd test runs
-  only on the candidates of the point's cell.
+* points and index rows meet on ``(gx, gy)``; the even-odd test runs only on
+  the edges of the point's cell.
 
-The polygon-cell table (with its rings) is broadcast only when rows and
-bytes are measured to be under their bounds; beyond that the join is a
-shuffle join on (cell, salt): points of hot cells (more than
-``hot_cell_rows`` points, found by a partial count) get one of
-``ceil(points / hot_cell_rows)`` salts from a hash of their columns and
-those cells' polygon rows are replicated per salt, so a dense cell (a
+The index is broadcast only when rows and bytes are measured to be under
+their bounds; beyond that the join is a shuffle join on (cell, salt): points
+of hot cells (more than ``hot_cell_rows`` points, found by a partial count)
+get one of ``ceil(points / hot_cell_rows)`` salts from a hash of their columns
+and those cells' index rows are replicated per salt, so a dense cell (a
 downtown) is spread over many tasks while ordinary cells join unsalted.
-Points without coordinates go round the join.  Pick
-``cell`` so a cell holds few polygons; the point side is never collected.
+Points without coordinates go round the join.  Pick ``cell`` so a cell holds
+few polygons; the point side is never collected.
 """
 
 from __future__ import annotations
@@ -26,18 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regioscope.functions import geo as G
+from regioscope.operators.edge_index import column_of, edge_index, line_of, point_in_cell
 from regioscope.operators.joins import is_small
+from regioscope.session import cut_lineage
 
 
 def polygon_cells(polygons: DataFrame, cell: float, rings: str = "rings") -> DataFrame:
-    """One row per (polygon, grid cell overlapped by its bounding box)."""
-    bb = G.bbox(rings)
-    p = polygons.withColumn("_bb", bb)
-    return (p.withColumn("_gx", F.explode(F.sequence(G.grid_cell(F.col("_bb.minx"), cell),
-                                                     G.grid_cell(F.col("_bb.maxx"), cell))))
-            .withColumn("_gy", F.explode(F.sequence(G.grid_cell(F.col("_bb.miny"), cell),
-                                                    G.grid_cell(F.col("_bb.maxy"), cell))))
-            .drop("_bb"))
+    """The edge index with the polygons' other columns."""
+    rows = cut_lineage(polygons.withColumn("_row", F.monotonically_increasing_id()))
+    attributes = rows.drop(rings).withColumnRenamed("_row", "_of")
+    index = edge_index(rows, cell, rings, "_row")
+    return index.join(attributes, F.col("_row") == F.col("_of")).drop("_row", "_of")
 
 
 def spatial_join(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat: str = "lat",
@@ -52,9 +50,9 @@ def spatial_join(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat:
     columns.  ``'inner'``: matched pairs only.  The ``rings`` column is
     not carried into the output.
     """
-    cells = polygon_cells(polygons, cell, rings)
+    cells = cut_lineage(polygon_cells(polygons, cell, rings))
     small = is_small(cells, max_broadcast_rows)
-    pts = points.withColumn("_gx", G.grid_cell(lon, cell)).withColumn("_gy", G.grid_cell(lat, cell))
+    pts = points.withColumn("_gx", column_of(F.col(lon), cell)).withColumn("_gy", line_of(F.col(lat), cell))
     nowhere = pts.where(F.col("_gx").isNull() | F.col("_gy").isNull()).select(*points.columns)
     pts = pts.where(F.col("_gx").isNotNull() & F.col("_gy").isNotNull())
     if small:
@@ -74,7 +72,7 @@ def spatial_join(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat:
             .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
         cond = [pts["_gx"] == cells["_gx"], pts["_gy"] == cells["_gy"],
                 pts["_salt"] == cells["_salt"]]
-    inside = G.point_in_polygon(cells[rings], pts[lon], pts[lat])
+    inside = point_in_cell(cells["_edges"], cells["_corner"], cells["_gx"], cells["_gy"], cell, pts[lon], pts[lat])
     cond = cond + [inside]
     poly_cols = [c for c in polygons.columns if c != rings]
     if preserve == "points":
