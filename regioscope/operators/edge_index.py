@@ -13,7 +13,7 @@ the line's upper border cut it into runs that are inside or outside by turns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Where the grid begins, in cells: off the round numbers that data favour, so
@@ -21,65 +21,56 @@ from pyspark.sql import functions as F
 SHIFT_X, SHIFT_Y = 2 ** 0.5 - 1, 3 ** 0.5 - 1
 
 
-def column_of(x: Column, cell: float) -> Column:
-    return F.floor(x / cell - SHIFT_X).cast("long")
+def column_of(x: str, cell: float) -> str:
+    """The column of cells of an x, as SQL."""
+    return f"CAST(floor(({x}) / {cell!r}D - {SHIFT_X!r}D) AS BIGINT)"
 
 
-def line_of(y: Column, cell: float) -> Column:
-    return F.floor(y / cell - SHIFT_Y).cast("long")
+def line_of(y: str, cell: float) -> str:
+    return f"CAST(floor(({y}) / {cell!r}D - {SHIFT_Y!r}D) AS BIGINT)"
 
 
 def ring_edges(polygons: DataFrame, rings: str, key: str) -> DataFrame:
     """(key, xa, ya, xb, yb) of every edge of every ring."""
-    r = polygons.select(key, F.explode(rings).alias("_r")).where(F.size("_r") > 1)
-    pairs = F.zip_with(F.slice("_r", F.lit(1), F.size("_r") - 1), F.slice("_r", F.lit(2), F.size("_r") - 1),
-                       lambda a, b: F.struct(a["x"].alias("xa"), a["y"].alias("ya"), b["x"].alias("xb"), b["y"].alias("yb")))
-    return r.select(key, F.explode(pairs).alias("e")).select(key, "e.*")
-
-
-def _x_at(y: Column) -> Column:
-    """Where the edge's line meets a height."""
-    return F.col("xa") + (F.col("xb") - F.col("xa")) * F.try_divide(y - F.col("ya"), F.col("yb") - F.col("ya"))
+    return (polygons.selectExpr(f"`{key}`", f"explode(`{rings}`) AS _r").where("size(_r) > 1")
+            .selectExpr(f"`{key}`", "inline(zip_with(slice(_r, 1, size(_r) - 1), slice(_r, 2, size(_r) - 1), (a, b) -> "
+                        "struct(a.x AS xa, a.y AS ya, b.x AS xb, b.y AS yb)))"))
 
 
 def edge_index(polygons: DataFrame, cell: float, rings: str, key: str) -> DataFrame:
     """(key, _gx, _gy, _corner, _edges): the cells of every polygon."""
-    pad = cell * 1e-6
-    low, high = F.least("ya", "yb"), F.greatest("ya", "yb")
-    e = ring_edges(polygons, rings, key).withColumn(
-        "_gy", F.explode(F.sequence(line_of(low - pad, cell), line_of(high + pad, cell))))
-    # the part of the edge within its line of cells
-    bottom, top = (F.col("_gy") + SHIFT_Y) * cell, (F.col("_gy") + (1 + SHIFT_Y)) * cell
-    # a padded line may lie just beyond the edge: its part there is the end
-    y0, y1 = F.least(F.greatest(low, bottom), high), F.greatest(F.least(high, top), low)
-    level = F.col("ya") == F.col("yb")
-    x0, x1 = F.when(level, F.col("xa")).otherwise(_x_at(y0)), F.when(level, F.col("xb")).otherwise(_x_at(y1))
-    edge = F.struct("xa", "ya", "xb", "yb")
-    touched = e.withColumn("_gx", F.explode(F.sequence(column_of(F.least(x0, x1) - pad, cell),
-                                                       column_of(F.greatest(x0, x1) + pad, cell))))
-    touched = touched.select(key, "_gx", "_gy", edge.alias("_edge"), F.lit(False).alias("_corner"))
-    cuts = (e.where((F.col("ya") > top) != (F.col("yb") > top))
-            .select(key, "_gy", column_of(_x_at(top), cell).alias("_gx"))
-            .groupBy(key, "_gy", "_gx").agg(F.count("*").alias("_n")))
-    w = Window.partitionBy(key, "_gy").orderBy("_gx")  # the cells of one polygon in one line
-    runs = cuts.select(key, "_gy", "_gx", F.lead("_gx").over(w).alias("_to"), F.sum("_n").over(w).alias("_before"))
+    pad = f"{cell * 1e-6!r}D"
+    at = "xa + (xb - xa) * try_divide({0} - ya, yb - ya)"  # where the edge's line meets a height
+    e = ring_edges(polygons, rings, key).selectExpr(
+        "*", f"explode(sequence({line_of(f'least(ya, yb) - {pad}', cell)}, {line_of(f'greatest(ya, yb) + {pad}', cell)})) AS _gy")
+    e = e.selectExpr("*", f"(_gy + {SHIFT_Y!r}D) * {cell!r}D AS _low", f"(_gy + {1 + SHIFT_Y!r}D) * {cell!r}D AS _top")
+    # the part of the edge within its line of cells; a padded line may lie just
+    # beyond the edge, whose part there is its end
+    part = e.selectExpr("*", "least(greatest(least(ya, yb), _low), greatest(ya, yb)) AS _y0",
+                        "greatest(least(greatest(ya, yb), _top), least(ya, yb)) AS _y1")
+    part = part.selectExpr("*", f"if(ya = yb, xa, {at.format('_y0')}) AS _x0", f"if(ya = yb, xb, {at.format('_y1')}) AS _x1")
+    touched = part.selectExpr(
+        f"`{key}`", f"explode(sequence({column_of(f'least(_x0, _x1) - {pad}', cell)}, "
+        f"{column_of(f'greatest(_x0, _x1) + {pad}', cell)})) AS _gx", "_gy", "struct(xa, ya, xb, yb) AS _edge", "false AS _corner")
+    cuts = (e.where("(ya > _top) != (yb > _top)").selectExpr(f"`{key}`", "_gy", f"{column_of(at.format('_top'), cell)} AS _gx")
+            .groupBy(key, "_gy", "_gx").agg(F.expr("count(*) AS _n")))
+    over = f"OVER (PARTITION BY `{key}`, _gy ORDER BY _gx)"  # the cells of one polygon in one line
+    runs = cuts.selectExpr(f"`{key}`", "_gy", "_gx", f"lead(_gx) {over} AS _to", f"sum(_n) {over} AS _before")
     # the number of cuts of a line is even: so many to the right as to the left, modulo 2
-    inside = (runs.where((F.col("_before") % 2 == 1) & F.col("_to").isNotNull())
-              .select(key, F.explode(F.sequence(F.col("_gx"), F.col("_to") - 1)).alias("_gx"), "_gy",
-                      F.lit(None).cast(touched.schema["_edge"].dataType).alias("_edge"), F.lit(True).alias("_corner")))
+    inside = (runs.where("_before % 2 = 1 AND _to IS NOT NULL")
+              .selectExpr(f"`{key}`", "explode(sequence(_gx, _to - 1)) AS _gx", "_gy",
+                          "CAST(NULL AS struct<xa: double, ya: double, xb: double, yb: double>) AS _edge", "true AS _corner"))
     return (touched.union(inside).groupBy(key, "_gx", "_gy")
-            .agg(F.max("_corner").alias("_corner"), F.collect_list("_edge").alias("_edges")))
-
-
-def point_in_cell(edges: Column, corner: Column, gx: Column, gy: Column, cell: float, px: Column, py: Column) -> Column:
-    """Is a point of the cell inside the polygon?"""
-    right, top = (gx + (1 + SHIFT_X)) * cell, (gy + (1 + SHIFT_Y)) * cell
-
-    def meets(e: Column) -> Column:
-        at_x = e["xa"] + (e["xb"] - e["xa"]) * F.try_divide(py - e["ya"], e["yb"] - e["ya"])
-        level = ((e["ya"] > py) != (e["yb"] > py)) & (px < at_x) & (at_x <= right)
-        at_y = e["ya"] + (e["yb"] - e["ya"]) * F.try_divide(right - e["xa"], e["xb"] - e["xa"])
-        wall = ((e["xa"] > right) != (e["xb"] > right)) & (py < at_y) & (at_y <= top)
-        return F.coalesce(level, F.lit(False)) != F.coalesce(wall, F.lit(False))
-
-    return F.aggregate(edges, corner, lambda inside, e: inside != meets(e))
+            .agg(F.expr("max(_corner) AS _corner"), F.expr("collect_list(_edge) AS _edges")))
+
+
+def point_in_cell(lon: str, lat: str, cell: float) -> Column:
+    """Is a point of the cell inside the polygon?  Over the columns of the
+    index and of points, both with the cell's ``_gx`` and ``_gy``."""
+    right, top = f"(_gx + {1 + SHIFT_X!r}D) * {cell!r}D", f"(_gy + {1 + SHIFT_Y!r}D) * {cell!r}D"
+    px, py = f"`{lon}`", f"`{lat}`"
+    at_x = f"e.xa + (e.xb - e.xa) * try_divide({py} - e.ya, e.yb - e.ya)"
+    at_y = f"e.ya + (e.yb - e.ya) * try_divide({right} - e.xa, e.xb - e.xa)"
+    level = f"(e.ya > {py}) != (e.yb > {py}) AND {px} < {at_x} AND {at_x} <= {right}"
+    wall = f"(e.xa > {right}) != (e.xb > {right}) AND {py} < {at_y} AND {at_y} <= {top}"
+    return F.expr(f"aggregate(_edges, _corner, (inside, e) -> inside != (coalesce({level}, false) != coalesce({wall}, false)))")

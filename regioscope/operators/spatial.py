@@ -30,12 +30,9 @@ from regioscope.operators.joins import is_small
 from regioscope.session import cut_lineage
 
 
-def polygon_cells(polygons: DataFrame, cell: float, rings: str = "rings") -> DataFrame:
-    """The edge index with the polygons' other columns."""
-    rows = cut_lineage(polygons.withColumn("_row", F.monotonically_increasing_id()))
-    attributes = rows.drop(rings).withColumnRenamed("_row", "_of")
-    index = edge_index(rows, cell, rings, "_row")
-    return index.join(attributes, F.col("_row") == F.col("_of")).drop("_row", "_of")
+def polygon_cells(polygons: DataFrame, cell: float, rings: str = "rings", poly_id: str = "poly_id") -> DataFrame:
+    """The edge index, written once: it is measured before it is joined."""
+    return cut_lineage(edge_index(polygons, cell, rings, poly_id))
 
 
 def spatial_join(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat: str = "lat",
@@ -48,19 +45,16 @@ def spatial_join(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat:
     coordinates) get NULL polygon columns.  ``preserve='polygons'``: every
     polygon kept; a polygon without points gets one row of NULL point
     columns.  ``'inner'``: matched pairs only.  The ``rings`` column is
-    not carried into the output.
+    not carried into the output.  ``poly_id`` names one polygon each.
     """
-    cells = cut_lineage(polygon_cells(polygons, cell, rings))
+    cells = polygon_cells(polygons, cell, rings, poly_id).withColumnRenamed(poly_id, "_pid")
     small = is_small(cells, max_broadcast_rows)
-    pts = points.withColumn("_gx", column_of(F.col(lon), cell)).withColumn("_gy", line_of(F.col(lat), cell))
+    pts = points.selectExpr("*", f"{column_of(f'`{lon}`', cell)} AS _gx", f"{line_of(f'`{lat}`', cell)} AS _gy")
     nowhere = pts.where(F.col("_gx").isNull() | F.col("_gy").isNull()).select(*points.columns)
     pts = pts.where(F.col("_gx").isNotNull() & F.col("_gy").isNotNull())
-    if small:
-        cells = F.broadcast(cells)
-        cond = [pts["_gx"] == cells["_gx"], pts["_gy"] == cells["_gy"]]
-    else:
+    if not small:
         # a dense cell would be one task: salt the points of hot cells and
-        # replicate those cells' polygon rows once per salt
+        # replicate those cells' index rows once per salt
         hot = (pts.groupBy("_gx", "_gy").agg(F.count(F.lit(1)).alias("_n"))
                .where(F.col("_n") > hot_cell_rows)
                .select("_gx", "_gy", F.ceil(F.col("_n") / hot_cell_rows).cast("int").alias("_salts")))
@@ -70,25 +64,20 @@ def spatial_join(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat:
             .withColumn("_salt", F.pmod(F.xxhash64(*points.columns), salts).cast("int")).drop("_salts")
         cells = cells.join(hot, ["_gx", "_gy"], "left") \
             .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
-        cond = [pts["_gx"] == cells["_gx"], pts["_gy"] == cells["_gy"],
-                pts["_salt"] == cells["_salt"]]
-    inside = point_in_cell(cells["_edges"], cells["_corner"], cells["_gx"], cells["_gy"], cell, pts[lon], pts[lat])
-    cond = cond + [inside]
-    poly_cols = [c for c in polygons.columns if c != rings]
-    if preserve == "points":
-        out = pts.join(cells, cond, "left")
-        out = out.select(*[pts[c] for c in points.columns], *[cells[c] for c in poly_cols])
-        return out.union(nowhere.select(*points.columns, *[
-            F.lit(None).cast(polygons.schema[c].dataType).alias(c) for c in poly_cols]))
-    matched = pts.join(cells, cond, "inner").select(
-        *[pts[c] for c in points.columns], cells[poly_id].alias("_pid"))
-    if preserve == "inner":
-        return matched.join(polygons.drop(rings), matched["_pid"] == polygons[poly_id]) \
-            .drop("_pid")
-    # polygon side preserved
+    cells = cells.withColumnsRenamed({"_gx": "_cx", "_gy": "_cy", "_salt": "_cs"})
+    cond = F.expr("_gx = _cx AND _gy = _cy" + ("" if small else " AND _salt = _cs")) & point_in_cell(lon, lat, cell)
+    if small:
+        cells = F.broadcast(cells)
     polys = polygons.drop(rings)
-    out = polys.join(matched, polys[poly_id] == matched["_pid"], "left")
-    return out.drop("_pid")
+    matched = pts.join(cells, cond, "left" if preserve == "points" else "inner").select(
+        *[pts[c] for c in points.columns], cells["_pid"])
+    if preserve == "polygons":
+        return polys.join(matched, polys[poly_id].eqNullSafe(matched["_pid"]), "left").drop("_pid")
+    if preserve == "inner":
+        return matched.join(polys, matched["_pid"].eqNullSafe(polys[poly_id])).drop("_pid")
+    out = matched.join(polys, matched["_pid"] == polys[poly_id], "left").drop("_pid")
+    return out.union(nowhere.select(*points.columns, *[
+        F.lit(None).cast(polygons.schema[c].dataType).alias(c) for c in polys.columns]))
 
 
 def polygons_within(polygons: DataFrame, lon0: float, lat0: float, radius_m: float,
