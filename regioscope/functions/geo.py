@@ -83,6 +83,28 @@ def local_xy(lon, lat, lon0: float, lat0: float):
             (_c(lat) - lat0) * k)
 
 
+# The WGS 84 ellipsoid and the UTM scale and false easting.
+WGS84_A, WGS84_F, UTM_SCALE, UTM_EAST = 6378137.0, 1 / 298.257223563, 0.9996, 500000.0
+
+
+def utm_xy(lon, lat, zone: int) -> tuple[Column, Column]:
+    """Easting and northing in metres of the UTM zone (``st_transform``), the
+    northing counted from the equator.  The transverse Mercator series in the
+    third flattening to the third order: below a millimetre within a zone."""
+    n = WGS84_F / (2 - WGS84_F)
+    radius = WGS84_A / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64)
+    terms = (n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16, 13 * n ** 2 / 48 - 3 * n ** 3 / 5, 61 * n ** 3 / 240)
+    e = 2 * math.sqrt(n) / (1 + n)
+    phi, lam = _c(lat) * (math.pi / 180), (_c(lon) - (6 * zone - 183)) * (math.pi / 180)
+    t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))  # tangent of the conformal latitude
+    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    east, north = eta, xi
+    for j, a in enumerate(terms, 1):
+        east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+    return UTM_EAST + UTM_SCALE * radius * east, UTM_SCALE * radius * north
+
+
 def min_ring_distance_m(rings, lon0: float, lat0: float) -> Column:
     """Smallest distance (m) from (lon0, lat0) to any polygon edge."""
     k = EARTH_RADIUS_M * math.pi / 180.0

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regioscope.functions.rsem import safe_div
@@ -69,3 +69,21 @@ def zscore(df: DataFrame, cols: Sequence[str], suffix: str = "",
         s = moments.select(F.col(c)["s"]).scalar()
         out = out.withColumn(c + suffix, safe_div(F.col(c) - m, s))
     return out
+
+
+def global_rank(df: DataFrame, order: Sequence[Column], out: str = "rank") -> DataFrame:
+    """``df`` with ``out``: the row's place (from 1) in the total order of
+    ``order``, which should end in a key that tells rows apart.
+
+    No single-task window: rows are range-partitioned, numbered within their
+    slice, and shifted by the rows of the slices before (one small table of a
+    row per slice).
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = cut_lineage(df.repartitionByRange(n, *order).withColumn("_slice", F.spark_partition_id()))
+    w = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
+    before = (d.groupBy("_slice").agg(F.count(F.lit(1)).alias("_rows"))
+              .select(F.col("_slice").alias("_of"), F.coalesce(F.sum("_rows").over(w), F.lit(0)).alias("_before")))
+    own = F.row_number().over(Window.partitionBy("_slice").orderBy(*order))
+    return (d.withColumn("_own", own).join(F.broadcast(before), F.col("_slice") == F.col("_of"))
+            .withColumn(out, F.col("_before") + F.col("_own")).drop("_slice", "_of", "_own", "_before"))

@@ -11,6 +11,7 @@ MODULES = [
     "regioscope.plans.model",
     "regioscope.plans.geo",
     "regioscope.plans.io_plans",
+    "regioscope.plans.inputs",
 ]
 
 

@@ -169,3 +169,13 @@ def test_salted_left_join_of_mostly_missing_keys(spark):
 def test_broadcast_is_bounded_by_bytes_too(spark):
     df = spark.createDataFrame([("x" * 1000,)] * 50, "s string")
     assert J.is_small(df) and not J.is_small(df, max_bytes=10_000) and not J.is_small(df, max_rows=49)
+
+
+def test_global_rank_is_the_sorted_place(spark):
+    from regioscope.operators import windows as W
+    rows = [(i, float(i * 7 % 13)) for i in range(200)] + [(200, None)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(5)
+    got = {r["k"]: r["rank"] for r in W.global_rank(df, [F.desc_nulls_last("v"), F.asc("k")]).collect()}
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert got == {r[0]: i + 1 for i, r in enumerate(want)}
+    assert W.global_rank(df.limit(0), [F.asc("k")]).collect() == []
