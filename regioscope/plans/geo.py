@@ -237,16 +237,22 @@ wx AS (SELECT period, 100 * sum(n * eqi) / sum(n) AS x FROM ser GROUP BY 1)
 """
 
 
-def catchment_series(spark, sf_dir):
+def catchment_series(spark, sf_dir, weight: str = "rows"):
     """Neighbourhoods meeting the disc, joined (null-safe, on all shared
-    keys) to their monthly series; per (month, region): mean eqi and the
-    number of joined neighbourhood rows."""
+    keys) to their monthly series; per (month, region): mean eqi and ``n``,
+    the number of joined neighbourhood rows or of their businesses."""
     disc = SP.polygons_within(polygons(spark, sf_dir), CAMPUS_LON, CAMPUS_LAT, RADIUS_M) \
         .drop("rings")
     ppe = polygon_period_eqi(spark, sf_dir)
     j = J.join_keys(disc, ppe, ["poly_id", "n_name", "n_regionkey"], "inner", null_safe=True)
     j = j.where(F.col("period").isNotNull())
-    return A.group_stats(j, ["period", "n_regionkey"], "eqi", mean="eqi", sd=None)
+    rows = A.group_stats(j, ["period", "n_regionkey"], "eqi", mean="eqi", sd=None)
+    if weight == "rows":
+        return rows
+    if weight != "businesses":
+        raise ValueError("weight is 'rows' or 'businesses'")
+    held = j.groupBy("period", "n_regionkey").agg(F.sum("n_business").alias("n"))
+    return J.join_keys(rows.drop("n"), held, ["period", "n_regionkey"], "inner", null_safe=True)
 
 
 @query("g6_catchment_index", sql="WITH " + PERIOD_POLY_SQL + f"""
@@ -263,8 +269,10 @@ def g6_catchment_index(spark, sf_dir):
                     F.col("n").cast("long").alias("n"), r6("index").alias("index"))
 
 
-def weighted_series(spark, sf_dir):
-    s = catchment_series(spark, sf_dir)
+def weighted_series(spark, sf_dir, weight: str = "rows"):
+    """Monthly catchment index, weighted by joined neighbourhood rows (as the
+    reference does) or by their businesses."""
+    s = catchment_series(spark, sf_dir, weight)
     return s.groupBy("period").agg((100 * A.weighted_mean("eqi", "n")).alias("x"))
 
 
@@ -295,6 +303,17 @@ SELECT period, {R6('x')} AS x, {R6('b0 + b1 * z + b2 * z * z')} AS trend FROM zz
 """
 
 
+@query("a14_weighted_by_businesses", sql="WITH " + PERIOD_POLY_SQL + f""",
+nb AS (SELECT g.poly_id, pc.period, count(*) AS nb FROM pts p JOIN pc ON p.c_custkey = pc.o_custkey
+            JOIN polys g ON {pip_sql('g.ring', 'p.lon', 'p.lat')} GROUP BY 1, 2),
+held AS (SELECT nb.period, n_regionkey, sum(nb) AS n FROM nb JOIN disc USING (poly_id) GROUP BY 1, 2)
+SELECT period, {R6('100 * sum(held.n * eqi) / sum(held.n)')} AS x FROM ser JOIN held USING (period, n_regionkey) GROUP BY 1
+""")
+def a14_weighted_by_businesses(spark, sf_dir):
+    """The monthly catchment index weighted by businesses."""
+    return weighted_series(spark, sf_dir, "businesses").withColumn("x", r6("x"))
+
+
 @query("d1_quadratic_trend", sql="WITH " + PERIOD_POLY_SQL + _trend_sql())
 def d1_quadratic_trend(spark, sf_dir):
     """Quadratic trend of the monthly catchment index."""
