@@ -13,7 +13,6 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import (Imputer, OneHotEncoder, StandardScaler, StringIndexer,
                                 VectorAssembler)
@@ -221,16 +220,58 @@ def odds_table(coefs: DataFrame) -> DataFrame:
     return c.withColumn("odds", F.exp("coefficients")).orderBy("odds")
 
 
-def kmeans_clusters(df: DataFrame, cols: Sequence[str] = ("latitud", "longitud"),
-                    k: int = 10, seed: int = 123, out: str = "cluster") -> DataFrame:
-    """K-means on coordinates; the cluster id is returned as a string, ready
-    to be indexed and one-hot encoded like any other category.  Rows with a
-    missing coordinate are kept, with a NULL cluster, and not fitted on."""
-    va = VectorAssembler(inputCols=list(cols), outputCol="_xy", handleInvalid="keep")
-    km = KMeans(k=k, seed=seed, featuresCol="_xy", predictionCol="_cl")
-    model = Pipeline(stages=[va, km]).fit(df.dropna(subset=list(cols)))
-    known = F.lit(True)
-    for c in cols:
-        known &= F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
-    return (model.transform(df).withColumn(out, F.when(known, F.col("_cl").cast("string")))
-            .drop("_xy", "_cl"))
+def kmeans_centers(df: DataFrame, cols: Sequence[str], k: int, rounds: int, digits: int) -> list[tuple[int, ...]]:
+    """Centres of ``k`` clusters, in units of the last digit.
+
+    Farthest-first start: the smallest point, then again and again the point
+    farthest from all centres so far (ties: the smallest).  Every round is one
+    aggregate of exact integer sums, so the result does not depend on the
+    order of rows; it ends early once no centre moves."""
+    unit = 10 ** digits
+    at = [f"try_cast(round(`{c}` * {unit}) AS BIGINT)" for c in cols]  # NaN is missing
+    pts = df.selectExpr(*(f"{e} AS x{i}" for i, e in enumerate(at))).where(
+        " AND ".join(f"x{i} IS NOT NULL" for i in range(len(cols))))
+    xs = [f"x{i}" for i in range(len(cols))]
+    first = pts.selectExpr(f"min(struct({', '.join(xs)})) AS p").first()["p"]
+    centers = [tuple(first)] if first is not None else []
+    while centers and len(centers) < k:
+        away = f"least({', '.join([_square(xs, c) for c in centers] * (2 if len(centers) == 1 else 1))})"
+        d, *p = pts.selectExpr(f"max(struct({away} AS d, {', '.join(f'-{x} AS m{x}' for x in xs)})) AS p").first()["p"]
+        if not d:
+            break  # fewer points than clusters
+        centers.append(tuple(-v for v in p))
+    for _ in range(rounds if centers else 0):
+        sums = pts.selectExpr(f"{_nearest(xs, centers)} AS cl", *xs).groupBy("cl").agg(
+            F.expr("count(*) AS n"), *(F.expr(f"sum({x}) AS {x}") for x in xs)).collect()
+        moved = list(centers)
+        for r in sums:  # at most k rows; rounded half up
+            moved[r["cl"]] = tuple((2 * r[x] + r["n"]) // (2 * r["n"]) for x in xs)
+        if moved == centers:
+            break
+        centers = moved
+    return centers
+
+
+def _square(xs: Sequence[str], center: Sequence[int]) -> str:
+    return "(" + " + ".join(f"({x} - {c}L) * ({x} - {c}L)" for x, c in zip(xs, center)) + ")"
+
+
+def _nearest(xs: Sequence[str], centers: Sequence[Sequence[int]]) -> str:
+    """Number of the nearest centre; ties go to the smaller one."""
+    return f"array_min(array({', '.join(f'struct({_square(xs, c)} AS d, {i} AS cl)' for i, c in enumerate(centers))})).cl"
+
+
+def kmeans_clusters(df: DataFrame, cols: Sequence[str] = ("latitud", "longitud"), k: int = 10,
+                    rounds: int = 20, digits: int = 6, out: str = "cluster") -> DataFrame:
+    """K-means on coordinates (rounded to ``digits`` places); the cluster id
+    is returned as a string, ready to be indexed and one-hot encoded like any
+    other category.  Rows with a missing coordinate are kept, with a NULL
+    cluster, and not fitted on."""
+    unit = 10 ** digits
+    centers = kmeans_centers(df, cols, k, rounds, digits)
+    if not centers:
+        return df.withColumn(out, F.lit(None).cast("string"))
+    xs = [f"_x{i}" for i in range(len(cols))]
+    placed = df.withColumns({x: F.expr(f"try_cast(round(`{c}` * {unit}) AS BIGINT)") for x, c in zip(xs, cols)})
+    known = " AND ".join(f"{x} IS NOT NULL" for x in xs)
+    return placed.withColumn(out, F.expr(f"CASE WHEN {known} THEN CAST({_nearest(xs, centers)} AS STRING) END")).drop(*xs)

@@ -247,11 +247,33 @@ def m10_auroc(spark, sf_dir):
     return RK.auroc(li, "group").withColumn("auroc", r6("auroc"))
 
 
-@query("m18_kmeans")
+def _kmeans_sql(k: int, rounds: int) -> str:
+    square = "(x - cx) * (x - cx) + (y - cy) * (y - cy)"
+    parts = [f"""
+WITH {REGISTRY_SQL.strip()},
+p AS MATERIALIZED (SELECT id, CAST(round(latitud * 1000000) AS BIGINT) AS x, CAST(round(longitud * 1000000) AS BIGINT) AS y
+                   FROM registry),
+s1 AS MATERIALIZED (SELECT 0 AS cl, x AS cx, y AS cy FROM p ORDER BY x, y LIMIT 1)"""]
+    for i in range(1, k):
+        parts.append(f"""
+s{i + 1} AS MATERIALIZED (SELECT * FROM s{i} UNION ALL SELECT * FROM (
+  SELECT {i}, x, y FROM (SELECT x, y, min({square}) AS d FROM p, s{i} GROUP BY x, y) ORDER BY d DESC, x, y LIMIT 1))""")
+    for r in range(rounds + 1):
+        before = f"s{k}" if r == 0 else f"c{r}"
+        parts.append(f"""
+a{r} AS MATERIALIZED (SELECT id, any_value(x) AS x, any_value(y) AS y, arg_min(cl, ({square}, cl)) AS cl FROM p, {before} GROUP BY id)""")
+        if r < rounds:
+            parts.append(f"""
+c{r + 1} AS MATERIALIZED (
+  SELECT b.cl, CAST(coalesce(floor((2 * sx + n) / (2 * n)), cx) AS BIGINT) AS cx, CAST(coalesce(floor((2 * sy + n) / (2 * n)), cy) AS BIGINT) AS cy
+  FROM {before} b LEFT JOIN (SELECT cl, sum(x) AS sx, sum(y) AS sy, count(*) AS n FROM a{r} GROUP BY cl) USING (cl))""")
+    return ",".join(parts) + f"\nSELECT id, CAST(cl AS VARCHAR) AS cluster FROM a{rounds}"
+
+
+@query("m18_kmeans", sql=_kmeans_sql(10, 20))
 def m18_kmeans(spark, sf_dir):
     """K-means (k = 10) on business coordinates; cluster ids as strings."""
-    data = labelled(spark, sf_dir)
-    return ML.kmeans_clusters(data, k=10, seed=SEED).select("id", "cluster")
+    return ML.kmeans_clusters(labelled(spark, sf_dir), k=10).select("id", "cluster")
 
 
 @query("m19_cluster_feature")
@@ -259,7 +281,7 @@ def m19_cluster_feature(spark, sf_dir):
     """The k-means cluster used as one more categorical feature (a level of
     its own without coordinates); the coefficient table of the refitted
     model."""
-    data = ML.kmeans_clusters(labelled(spark, sf_dir), k=10, seed=SEED).fillna({"cluster": "none"})
+    data = ML.kmeans_clusters(labelled(spark, sf_dir), k=10).fillna({"cluster": "none"})
     cats = ML.CATEGORICAL + ["cluster"]
     bal = S.downsample(data, "y", ["id"], seed=SEED)
     train, _ = S.hash_split(bal, [0.8, 0.2], ["id"], seed=SEED)

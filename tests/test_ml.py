@@ -98,3 +98,15 @@ def test_two_dimensional_grid(spark):
     _, train, _ = M.train_test(spark, "/root/testdata/sf0.001")
     _, metrics = ML.tune(train, reg_params=[0.0, 0.1], elastic_net=[0.0, 0.5, 1.0], folds=2, metric="f1")
     assert metrics.count() == 6
+
+
+def test_kmeans_by_hand(spark):
+    """Two far groups and one point between: start, rounds and ties."""
+    pts = [(0.0, 0.0), (0.0, 1.0), (1.0, 0.0), (10.0, 10.0), (10.0, 11.0), (4.0, 4.0), (float("nan"), 0.0)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "id int, latitud double, longitud double")
+    got = {r["id"]: r["cluster"] for r in ML.kmeans_clusters(df, k=2).collect()}
+    assert got == {0: "0", 1: "0", 2: "0", 3: "1", 4: "1", 5: "0", 6: None}
+    assert ML.kmeans_centers(df, ["latitud", "longitud"], 2, 20, 6) == [(1250000, 1250000), (10000000, 10500000)]
+    same = spark.createDataFrame([(1, 2.0, 2.0)] * 3, "id int, latitud double, longitud double")
+    assert {r["cluster"] for r in ML.kmeans_clusters(same, k=5).collect()} == {"0"}
+    assert ML.kmeans_clusters(df.limit(0), k=3).collect() == []
