@@ -280,25 +280,20 @@ def spanning_tree(edges: DataFrame, max_rounds: int = 64, hint_broadcast: bool =
     Each round every component picks its heaviest outgoing edge (ties by a
     fixed total order, so no cycles form), the picked edges join the
     forest, and components merge by pointer jumping until no pointer
-    moves (at most ceil(log2 c) + 1 jumps for c components).  All steps are group-bys
-    and joins on the node / component tables; the number of rounds is
-    logarithmic in the number of nodes.
+    moves (at most ceil(log2 c) + 1 jumps for c components).  Edges carry the
+    components of their ends, and those that a round leaves inside one
+    component are dropped, so every round reads and writes fewer: an edge
+    that lost is never looked at again.  The number of rounds is logarithmic
+    in the number of nodes.
     """
     e = edges.select("a", "b", F.col("phi").cast("double").alias("w")).where(F.col("a") != F.col("b"))
-    e = cut_lineage(e)
-    nodes = e.select(F.col("a").alias("node")).union(e.select(F.col("b").alias("node"))).distinct()
-    comp = cut_lineage(nodes.withColumn("comp", F.col("node")))
-    small = hint_broadcast and comp.count() <= max_broadcast_rows
-    tree = None
+    e = cut_lineage(e.select("*", F.col("a").alias("ca"), F.col("b").alias("cb")))
+    small, tree = None, None
     for rounds in range(max_rounds + 1):
         if rounds == max_rounds:
             raise RuntimeError(f"spanning tree not finished after {max_rounds} rounds")
-        cb = _bcast(comp, small)
-        ce = (e.join(cb.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a")
-              .join(cb.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
-              .where(F.col("ca") != F.col("cb")))
-        cand = ce.select(F.col("ca").alias("c"), F.col("cb").alias("o"), "a", "b", "w") \
-            .unionByName(ce.select(F.col("cb").alias("c"), F.col("ca").alias("o"), "a", "b", "w"))
+        cand = e.select(F.col("ca").alias("c"), F.col("cb").alias("o"), "a", "b", "w") \
+            .unionByName(e.select(F.col("cb").alias("c"), F.col("ca").alias("o"), "a", "b", "w"))
         best = cand.groupBy("c").agg(F.max_by(F.struct("o", "a", "b", "w"),
                                               _edge_order(F.col("w"), F.col("a"), F.col("b")))
                                      .alias("e"))
@@ -306,6 +301,8 @@ def spanning_tree(edges: DataFrame, max_rounds: int = 64, hint_broadcast: bool =
         n_comp = best.count()
         if n_comp == 0:
             break
+        if small is None:  # the first round has the most components
+            small = hint_broadcast and n_comp <= max_broadcast_rows
         picked = best.select("a", "b", "w").distinct()
         tree = picked if tree is None else tree.unionByName(picked)
         tree = cut_lineage(tree.distinct())
@@ -325,31 +322,63 @@ def spanning_tree(edges: DataFrame, max_rounds: int = 64, hint_broadcast: bool =
             par = nxt
             if moved == 0:
                 break
-        comp = cut_lineage(
-            comp.join(_bcast(par.select(F.col("c").alias("comp"), F.col("p").alias("root")), small),
-                      "comp", "left")
-            .select("node", F.coalesce("root", "comp").alias("comp")))
+        # every component with an edge left is in the table of pointers
+        e = cut_lineage(
+            e.join(_bcast(par.select(F.col("c").alias("ca"), F.col("p").alias("ra")), small), "ca")
+            .join(_bcast(par.select(F.col("c").alias("cb"), F.col("p").alias("rb")), small), "cb")
+            .where("ra != rb").select("a", "b", "w", F.col("ra").alias("ca"), F.col("rb").alias("cb")))
     if tree is None:
         return edges.select("a", "b", F.col("phi").cast("double").alias("weight")).limit(0)
     return tree.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
                        F.col("w").alias("weight"))
 
 
-def project_network(phi: DataFrame, avg_links: float = 4.0) -> DataFrame:
-    """Spanning tree plus the strongest remaining edges until the mean
-    degree reaches ``avg_links`` (ties at the cut kept).  Output
-    ``(a, b, weight, in_tree)``."""
-    tree = spanning_tree(phi)
+def _step_threshold(rest: DataFrame, room: float, tolerance: float) -> float:
+    """The first multiple of ``tolerance`` that at most ``room`` of the edges
+    ``rest`` exceed: one aggregate of at most max weight / tolerance bins."""
+    w, i = F.col("weight"), F.floor(F.col("weight") / tolerance)
+    above = F.when(w > (i + 1) * tolerance, i + 1).when(w > i * tolerance, i).otherwise(i - 1)  # the last step it exceeds
+    bins = rest.groupBy(above.alias("i")).agg(F.count(F.lit(1)).alias("n")).where("i >= 0")
+    left, at = 0, 0
+    for r in bins.orderBy(F.desc("i")).toLocalIterator():
+        left += r["n"]
+        if left > room:
+            at = r["i"] + 1
+            break
+    return at * tolerance
+
+
+def project_network(phi: DataFrame, avg_links: float = 4.0, tolerance: float | None = None,
+                    nodes: DataFrame | None = None) -> DataFrame:
+    """Spanning tree plus the strongest remaining edges.  Output
+    ``(a, b, weight, in_tree)``.
+
+    Without ``tolerance`` edges are added until the mean degree reaches
+    ``avg_links`` (ties at the cut kept).  With it, a threshold rises from 0 in
+    steps of ``tolerance`` until the edges above it, and the tree, give a mean
+    degree of at most ``avg_links`` (the first step that does).  ``nodes``
+    (name) lists isolated nodes too, as rows without ``b`` and weight.
+    """
+    tree = cut_lineage(spanning_tree(phi))
     n_nodes = tree.select("a").union(tree.select("b")).distinct().count()
     n_tree = tree.count()
     want = max(0, math.ceil(avg_links * n_nodes / 2.0) - n_tree)
-    rest = phi.select("a", "b", F.col("phi").cast("double").alias("weight")) \
+    rest = phi.select("a", "b", F.col("phi").cast("double").alias("weight")).where("a != b") \
         .join(tree.select("a", "b"), ["a", "b"], "left_anti")
     net = tree.withColumn("in_tree", F.lit(True))
-    if want > 0:
+    if tolerance is not None:
+        rest = cut_lineage(rest)
+        least = _step_threshold(rest, avg_links * n_nodes / 2.0 - n_tree, tolerance)
+        net = net.unionByName(rest.where(F.col("weight") > least).withColumn("in_tree", F.lit(False)))
+    elif want > 0:
         kth = rest.orderBy(F.col("weight").desc()).limit(want).agg(F.min("weight")).scalar()
         extra = rest.where(F.col("weight") >= kth).withColumn("in_tree", F.lit(False))
         net = net.unionByName(extra)
+    if nodes is not None:
+        ends = tree.select(F.col("a").alias("name")).union(tree.select("b")).distinct()
+        alone = nodes.select("name").distinct().join(ends, "name", "left_anti")
+        net = net.unionByName(alone.select(F.col("name").alias("a"), F.lit(None).cast("string").alias("b"),
+                                           F.lit(None).cast("double").alias("weight"), F.lit(False).alias("in_tree")))
     return cut_lineage(net)
 
 

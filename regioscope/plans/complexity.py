@@ -177,9 +177,11 @@ def region_network(spark, sf_dir, avg_links: float = 4.0):
     return C.project_network(C.proximity(m, on="region"), avg_links=avg_links)
 
 
-# an edge belongs to the maximum spanning tree if its ends are not connected
-# by edges above it in the order (weight, a, b)
-NETWORK_SQL = "WITH RECURSIVE " + M_SQL + _prox_sql("region") + f""",
+def _tree_sql(side: str) -> str:
+    """CTEs ``tree``, ``rest`` and ``n``: an edge belongs to the maximum
+    spanning tree if its ends are not connected by edges above it in the order
+    (weight, a, b)."""
+    return "WITH RECURSIVE " + M_SQL + _prox_sql(side) + """,
 e AS MATERIALIZED (SELECT a, b, w, row_number() OVER (ORDER BY w, a, b) AS r FROM (
   SELECT a, b, co / greatest(ka.k, kb.k) AS w
   FROM px JOIN k ka ON ka.item = a JOIN k kb ON kb.item = b)),
@@ -192,7 +194,10 @@ tree AS MATERIALIZED (SELECT * FROM e WHERE NOT EXISTS (
   SELECT 1 FROM reach q WHERE q.r = e.r AND q.node = e.b)),
 rest AS (SELECT * FROM e WHERE r NOT IN (SELECT r FROM tree)),
 n AS (SELECT (SELECT count(DISTINCT x) FROM (SELECT a AS x FROM tree UNION ALL SELECT b FROM tree)) AS nodes,
-             (SELECT count(*) FROM tree) AS edges),
+             (SELECT count(*) FROM tree) AS edges)"""
+
+
+NETWORK_SQL = _tree_sql("region") + f""",
 kth AS (SELECT min(w) AS w FROM (SELECT w, row_number() OVER (ORDER BY w DESC) AS i FROM rest)
         WHERE i <= (SELECT ceil(4.0 * nodes / 2) - edges FROM n))
 SELECT a, b, {R6('w')} AS weight, true AS in_tree FROM tree
@@ -209,6 +214,29 @@ def x7_network(spark, sf_dir):
     return net.select("a", "b", r6("weight").alias("weight"), "in_tree")
 
 
+TOLERANCE = 0.01
+
+
+@query("x7_network_products", sql=_tree_sql("product") + f""",
+step AS (SELECT min(i) * CAST({TOLERANCE} AS DOUBLE) AS w FROM range(200) t(i)
+         WHERE (SELECT count(*) FROM rest WHERE rest.w > i * CAST({TOLERANCE} AS DOUBLE)) <= (SELECT 4.0 * nodes / 2 - edges FROM n))
+SELECT a, b, {R6('w')} AS weight, true AS in_tree FROM tree
+UNION ALL
+SELECT a, b, {R6('w')} AS weight, false AS in_tree FROM rest WHERE w > (SELECT w FROM step)
+UNION ALL
+SELECT DISTINCT product, NULL, CAST(NULL AS DOUBLE), false FROM rp
+WHERE product NOT IN (SELECT a FROM tree UNION ALL SELECT b FROM tree)
+""")
+def x7_network_products(spark, sf_dir):
+    """Product network: the tree and the edges above the first threshold, in
+    steps of the tolerance, that leaves a mean degree of at most 4; products
+    without an edge are listed."""
+    phi = C.proximity(_m(spark, sf_dir), on="product")
+    products = region_product(spark, sf_dir).select(F.col("product").alias("name"))
+    net = C.project_network(phi, avg_links=4.0, tolerance=TOLERANCE, nodes=products)
+    return net.select("a", "b", r6("weight").alias("weight"), "in_tree")
+
+
 @query("x9_centrality")
 def x9_centrality(spark, sf_dir):
     """Degree and betweenness of every node of the region network, plus

@@ -185,3 +185,18 @@ def test_proximity_in_blocks_equals_whole(spark):
     m = spark.createDataFrame(sorted(rows), "region string, product string")
     whole = {tuple(r) for r in C.proximity(m).collect()}
     assert whole == {tuple(r) for r in C.proximity(m, block_size=7).collect()} and whole
+
+
+def test_projection_by_threshold_steps(spark):
+    """The first step that leaves room, ties of the tree, isolated nodes."""
+    w = {("a", "b"): 0.9, ("b", "c"): 0.8, ("a", "c"): 0.75, ("c", "d"): 0.4, ("b", "d"): 0.30, ("a", "d"): 0.25}
+    phi = spark.createDataFrame([(a, b, v) for (a, b), v in w.items()], "a string, b string, phi double")
+    nodes = spark.createDataFrame([(x,) for x in "abcdez"], "name string")
+
+    def edges(**kw):
+        return {(r["a"], r["b"]): r["in_tree"] for r in C.project_network(phi, nodes=nodes, **kw).collect()}
+    tree = {("a", "b"): True, ("b", "c"): True, ("c", "d"): True, ("e", None): False, ("z", None): False}
+    assert edges(avg_links=1.0, tolerance=0.1) == tree
+    assert edges(avg_links=2.0, tolerance=0.1) == tree | {("a", "c"): False}   # 0.30 is not above 0.3
+    assert edges(avg_links=2.5, tolerance=0.25) == tree | {("a", "c"): False, ("b", "d"): False}
+    assert edges(avg_links=9.0, tolerance=0.1) == tree | {k: False for k in w if k not in tree}

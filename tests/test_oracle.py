@@ -25,7 +25,8 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+# the uncut grid of 99,010 fits takes minutes: tools/check_oracle.py covers it
+@pytest.mark.parametrize("name", sorted(set(ORACLES) - {"m9_optimal_fits"}))
 def test_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
