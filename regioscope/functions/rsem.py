@@ -60,12 +60,6 @@ def present(c) -> Column:
     return _c(c).isNotNull().cast("double")
 
 
-def try_number(c) -> Column:
-    """``as.numeric``: unparsable text becomes NULL, not an error."""
-    return F.expr("try_cast({} AS DOUBLE)".format(c)) if isinstance(c, str) \
-        else _c(c).try_cast("double")
-
-
 # -- whole-frame helpers (schema work only; no data moves) ------------------
 
 def snake_name(name: str) -> str:

@@ -86,14 +86,3 @@ def size_target(per_ocu) -> Column:
     """``employees_30_or_more`` label; a missing size class is positive."""
     return F.when(r_in(per_ocu, SMALL_SIZE_CLASSES), F.lit(SIZE_LABELS[0])) \
         .otherwise(F.lit(SIZE_LABELS[1]))
-
-
-def size_target_index(per_ocu) -> Column:
-    """Explicit 0/1 label for the size target (no frequency-based index)."""
-    return F.when(r_in(per_ocu, SMALL_SIZE_CLASSES), F.lit(0.0)) \
-        .otherwise(F.lit(1.0))
-
-
-def presence_flags(mapping: dict[str, str]) -> dict[str, Column]:
-    """``{new: !is.na(old)}`` as 0/1 doubles."""
-    return {new: present(old) for new, old in mapping.items()}

@@ -55,17 +55,6 @@ def weighted_mean(value, weight) -> Column:
     return safe_div(F.sum(w * v), F.sum(w))
 
 
-def rollup_weighted(df: DataFrame, by: Sequence[str], q: str = "quality_index",
-                    n: str = "n", total: str = "total",
-                    out: str = "cohort_potential") -> DataFrame:
-    """Roll neighbourhood rows up to a coarser key: weighted quality (0 when
-    nothing is weighted), total count and cohort potential."""
-    return (df.groupBy(*by)
-            .agg(weighted_mean(q, n).alias(q), F.sum(n).alias(total))
-            .withColumn(q, fill_na(q, 0.0))
-            .withColumn(out, F.col(q) * F.col(total)))
-
-
 def period_rollup(df: DataFrame, by: Sequence[str], value: str = "eqi",
                   n: str = "n", mean: str = "eqi", sd: str = "std",
                   total: str = "n") -> DataFrame:
@@ -86,14 +75,6 @@ def frequency(df: DataFrame, column: str, n: str = "n") -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias(n))
 
 
-def minority_size(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    """Smallest class size per group: ``(by..., minority)``."""
-    counts = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
-    if by:
-        return counts.groupBy(*by).agg(F.min("_n").alias("minority"))
-    return counts.agg(F.min("_n").alias("minority"))
-
-
 def correlation_long(df: DataFrame, cols: Sequence[str], n: str | None = None) -> DataFrame:
     """Pairwise Pearson correlation of ``cols`` as ``(var1, var2, corr)``,
     with the number of rows as column ``n`` if named.

@@ -22,12 +22,6 @@ def _det3(a, b, c, d, e, f, g, h, i) -> Column:
     return a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
 
 
-def as_number(c) -> Column:
-    """Dates become day numbers; numbers pass through as doubles."""
-    col = F.col(c) if isinstance(c, str) else c
-    return col.cast("double")
-
-
 def poly_trend(df: DataFrame, x: str, y: str, by: Sequence[str] = (),
                out: str = "trend", x_is_date: bool = False) -> DataFrame:
     """Quadratic least-squares trend of ``y`` on ``x`` per group; adds

@@ -13,8 +13,8 @@ with them:
 * polygons           = 5 x 5 sheared grid of quads keyed by ``n_nationkey``
 * coordinates        = a rule on ``c_custkey``
 
-Every binding below is an expression over the tables; the oracle SQL in
-``plans.oracles`` spells the same rules for DuckDB.
+Every binding below is an expression over the tables; the oracle SQL of the
+plans spells the same rules for DuckDB.
 """
 
 from __future__ import annotations

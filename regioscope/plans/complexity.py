@@ -23,7 +23,7 @@ ECI_ROUNDS = 20
 
 M_SQL = RP_SQL + """,
 cells AS (SELECT country AS region, product, sum(value) AS value
-          FROM rp WHERE value IS NOT NULL GROUP BY 1, 2 HAVING sum(value) > 0),
+          FROM rp WHERE value IS NOT NULL GROUP BY 1, 2),
 rt AS (SELECT region, sum(value) AS rt FROM cells GROUP BY 1),
 pt AS (SELECT product, sum(value) AS pt FROM cells GROUP BY 1),
 rcat AS MATERIALIZED (
@@ -38,6 +38,22 @@ def _m(spark, sf_dir):
     return C.incidence(C.rca(region_product(spark, sf_dir)))
 
 
+@query("x2_rca_signed", sql=f"""
+WITH cells AS (SELECT c_nationkey AS region, c_mktsegment AS product, sum(c_acctbal - 4500) AS value FROM customer GROUP BY 1, 2),
+rt AS (SELECT region, sum(value) AS rt FROM cells GROUP BY 1),
+pt AS (SELECT product, sum(value) AS pt FROM cells GROUP BY 1)
+SELECT region, product, {R6('value')} AS value,
+       {R6('(value / nullif(rt, 0)) / nullif(pt / nullif((SELECT sum(value) FROM cells), 0), 0)', 3)} AS rca
+FROM cells JOIN rt USING (region) JOIN pt USING (product)
+""")
+def x2_rca_signed(spark, sf_dir):
+    """RCA of values of both signs: negative cells stay in the totals."""
+    c = load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("country"), F.col("c_mktsegment").alias("product"),
+                                               (F.col("c_acctbal") - 4500).alias("value"))
+    r = C.rca(c)
+    return r.select("region", "product", r6("value").alias("value"), r6("rca", 3).alias("rca"))
+
+
 @query("x2_rca", sql="WITH " + M_SQL + f"""
 SELECT region, product, {R6('value')} AS value, {R6('rca')} AS rca,
        CAST(rca >= 1 AS INTEGER) AS m FROM rcat

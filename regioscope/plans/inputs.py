@@ -199,3 +199,31 @@ def g2_metric_points(spark, sf_dir):
     x0, y0 = G.utm_xy(F.lit(CAMPUS_LON), F.lit(CAMPUS_LAT), UTM_ZONE)
     return p.select("id", F.col("point").isNotNull().alias("placed"), r6(x, 3).alias("x"), r6(y, 3).alias("y"),
                     r6(F.sqrt((x - x0) * (x - x0) + (y - y0) * (y - y0)), 3).alias("metres"))
+
+
+_LEVELS = {"sector_id": 2, "subsector_id": 3, "industry_group_id": 4}
+
+
+@query("j3_five_keys_left", sql="WITH " + REGISTRY_SQL + f""",
+r AS (SELECT cve_ent AS state_id, {', '.join(f'substr(codigo_act, 1, {n}) AS {c}' for c, n in _LEVELS.items())},
+             codigo_act AS national_industry_id, per_ocu, tipo_vial, length(raz_social) AS chars FROM registry
+      WHERE length(codigo_act) = 6),
+u AS (SELECT state_id, sector_id, subsector_id, industry_group_id, national_industry_id, count(*) AS units FROM r GROUP BY ALL),
+c AS (SELECT state_id, sector_id, subsector_id, industry_group_id, national_industry_id,
+             sum(chars) AS production, count(tipo_vial) AS hours FROM r WHERE per_ocu IS NULL GROUP BY ALL)
+SELECT u.*, CAST(production AS BIGINT) AS production, hours, {R6('1000.0 * production / nullif(hours, 0)')} AS productivity
+FROM u LEFT JOIN c USING (state_id, sector_id, subsector_id, industry_group_id, national_industry_id)
+""")
+def j3_five_keys_left(spark, sf_dir):
+    """J3 with Q1, Q2, P11, P12: six-digit activities with their hierarchy,
+    left-joined on state and four code levels to the census rows without a
+    stratum; an activity the census lacks keeps missing values."""
+    r = registry(spark, sf_dir).where(F.length("codigo_act") == 6)
+    levels = {c: F.substring("codigo_act", 1, n) for c, n in _LEVELS.items()}
+    r = r.withColumnsRenamed({"cve_ent": "state_id"}).withColumns(levels).withColumn("national_industry_id", F.col("codigo_act"))
+    keys = ["state_id", *_LEVELS, "national_industry_id"]
+    units = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("units"))
+    census = r.where(F.col("per_ocu").isNull()).groupBy(*keys).agg(
+        F.sum(F.length("raz_social")).alias("production"), F.count("tipo_vial").alias("hours"))
+    out = J.join_keys(units, census, keys, "left")
+    return out.withColumn("productivity", r6(R.safe_div(1000.0 * F.col("production"), F.col("hours"))))

@@ -68,12 +68,6 @@ def read_json_cube(spark: SparkSession, path, row_schema: T.StructType | str,
     return doc.select(F.explode("data").alias("r")).select("r.*")
 
 
-def parse_json_column(df: DataFrame, column: str, row_schema: str, out: str | None = None) -> DataFrame:
-    """A JSON string column parsed with a declared schema (S7 on a column)."""
-    parsed = F.from_json(column, row_schema)
-    return df.withColumn(out or column, parsed)
-
-
 _FEATURE_SCHEMA = T.StructType([
     T.StructField("type", T.StringType()),
     T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
