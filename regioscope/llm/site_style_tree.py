@@ -76,7 +76,7 @@ CLUTTER_WORDS = frozenset(
 CONTENT_TAGS = frozenset(("article", "main"))
 INSIDE = r"(^|/)(article|main)(\.|/|$)"
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 HOST_PATTERN = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -120,8 +120,9 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
         text.clear()
         return found
 
+    last = page.rfind(">")  # no tag ends behind it: looking for one there would take quadratic time
     while at < size:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at) if at <= last or page.find("<!--", at) >= 0 else None
         if m is None:
             text.append(page[at:])
             break
@@ -248,10 +249,25 @@ def _importance(counts: DataFrame, by: list[str]) -> DataFrame:
         *by, "node", "m", F.greatest("style", F.coalesce("content", F.lit(0.0))).alias("importance"))
 
 
-def _role(last: Column) -> Column:
+def _role(last: Column, holds_main: Column | None = None) -> Column:
+    """Is a node clutter by its tag, or by its class and id words?  The words
+    do not count for a wrapper that holds the main content."""
     tag, words = F.split_part(last, F.lit("."), F.lit(1)), F.split(last, r"\.")
     marked = F.arrays_overlap(F.slice(words, 2, 1000), F.array(*map(F.lit, sorted(CLUTTER_WORDS))))
-    return tag.isin(*CLUTTER_TAGS) | (~tag.isin("html", "body", *CONTENT_TAGS) & F.coalesce(marked, F.lit(False)))
+    named = ~tag.isin("html", "body", *CONTENT_TAGS) & F.coalesce(marked, F.lit(False))
+    return tag.isin(*CLUTTER_TAGS) | (named if holds_main is None else named & ~holds_main)
+
+
+def main_holders(nodes: DataFrame) -> DataFrame:
+    """(host, node): the wrappers that every article and main element of a
+    host lies in."""
+    last = F.split_part(F.element_at(F.split("node", "/"), -1), F.lit("."), F.lit(1))
+    main = nodes.where(last.isin(*CONTENT_TAGS)).select("host", F.split("node", "/").alias("p"))
+    above = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.array_join(F.slice("p", 1, i), "/"))
+    held = (main.where(F.size("p") > 1).select("host", F.explode(above).alias("node"))
+            .groupBy("host", "node").agg(F.count("*").alias("held")))
+    return (held.join(main.groupBy("host").agg(F.count("*").alias("all")), "host")
+            .where(F.col("held") == F.col("all")).select("host", "node", F.lit(True).alias("holds_main")))
 
 
 def low_branches(pages: DataFrame) -> DataFrame:
@@ -262,7 +278,8 @@ def low_branches(pages: DataFrame) -> DataFrame:
     wide = _importance(counts.groupBy("node", "kind", "feature")
                        .agg(F.sum("n").alias("n")), [])
     wide = wide.select("node", F.col("m").alias("mw"), F.col("importance").alias("iw"))
-    clutter = _role(F.element_at(F.split("node", "/"), -1))
+    site = site.join(main_holders(site.select("host", "node")), ["host", "node"], "left")
+    clutter = _role(F.element_at(F.split("node", "/"), -1), F.coalesce("holds_main", F.lit(False)))
     prior = F.when(clutter, 0.0).otherwise(1.0)
     general = (F.col("mw") * F.col("iw") + SHRINK * prior) / (F.col("mw") + SHRINK)
     score = (F.col("m") * F.col("importance") + SHRINK * general) / (F.col("m") + SHRINK)

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import zlib
 
 import pytest
@@ -149,3 +150,31 @@ def test_entropy_decides_inside_main(spark):
              f"<p>Story {i}</p></main></body>", "", "", "") for i in range(80)]
     got = {r["page_id"]: r["text"] for r in site_style_tree.extract(spark.createDataFrame(rows, PAGE)).collect()}
     assert all(got[i] == f"Title {i}\n\nProse {i} of its own\n\nStory {i}" for i in range(80))
+
+
+@pytest.mark.parametrize("wrap", ["<div class='content-with-sidebar'>{}</div>", "<div id='header-fixed-layout'><main>{}</main></div>"])
+def test_wrappers_with_clutter_names_keep_the_article(spark, wrap):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+
+    def prose():
+        return " ".join(rng.choice(words) for _ in range(30))
+    rows, want = [], {}
+    for i in range(40):
+        text = [prose(), prose()]
+        body = wrap.format("<article>" + "".join(f"<p>{t}</p>" for t in text) + "</article>")
+        rows.append((i, f"https://h.example/{i}", "<html><body><div class='menu'><p>Home</p></div>" + body
+                     + f"<div class='related'><p>{prose()}</p></div></body></html>"))
+        want[i] = "\n\n".join(text)
+    got = {r["page_id"]: r["text"] for r in site_style_tree.extract(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+    for part in ("<a ", '<a "x ', "<a 'x ", "<a x=\"'", "<!-", "</a "):
+        page = "<p>text</p>" + part * (300_000 // len(part))
+        start = time.perf_counter()
+        list(site_style_tree.blocks(page))
+        assert time.perf_counter() - start < 2, part
