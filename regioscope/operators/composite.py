@@ -68,7 +68,9 @@ def p2_index(df: DataFrame, id_col: str, cols: Sequence[str],
     point or a cycle) or ``max_iter`` rounds pass.
 
     Returns ``(index_df, weights_df)``: ``(id, index)`` and one row per
-    (iteration, indicator) with position, weight and correlation.
+    (iteration, indicator) with position, weight, correlation and ``ended``,
+    which says how the iteration came to its end: ``fixed point``, ``cycle``
+    or ``limit`` (``max_iter`` rounds without either).
     """
     cols = list(cols)
     ref = df.agg(*[reference(F.col(c)).alias(c) for c in cols]).first()
@@ -81,7 +83,7 @@ def p2_index(df: DataFrame, id_col: str, cols: Sequence[str],
     weights = np.ones(len(cols))
     rows, seen = [], set()
     order = list(range(len(cols)))
-    a = None
+    a, ended = None, "limit"
     for it in range(max_iter + 1):
         # the index is linear in the columns: its correlations follow from
         # their covariances, without another pass over the data
@@ -94,13 +96,14 @@ def p2_index(df: DataFrame, id_col: str, cols: Sequence[str],
         new_order = sorted(range(len(cols)), key=lambda j: (-abs(r_idx[j]), j))
         key = tuple(new_order)
         if it > 0 and (new_order == order or key in seen):
+            ended = "fixed point" if new_order == order else "cycle"
             break
         seen.add(key)
         order = new_order
         weights = _r2_weights(corr, order)
     spark = df.sparkSession
     wdf = spark.createDataFrame(rows, "iteration int, indicator string, position int, "
-                                      "weight double, corr double")
+                                      "weight double, corr double").withColumn("ended", F.lit(ended))
     index = sum((F.col(c) * float(a[j]) for j, c in enumerate(cols) if some[j]), F.lit(0.0))
     return dist.select(id_col, index.alias(out)), wdf
 

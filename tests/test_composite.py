@@ -97,3 +97,13 @@ def test_cum_root_f(spark):
     assert all(a[1] <= b[1] for a, b in zip(pairs, pairs[1:]))
     lab = spark.createDataFrame([(5,), (1,)], "s int").select(P.stratum_labels("s")).collect()
     assert [r[0] for r in lab] == ["Very High", "Very Low"]
+
+
+def test_p2_says_how_it_ended(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 4)) @ rng.normal(size=(4, 4))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, a double, b double, c double, d double")
+    _, w = P.p2_index(df, "id", list("abcd"))
+    assert {r["ended"] for r in w.collect()} <= {"fixed point", "cycle"}
+    _, w = P.p2_index(df, "id", list("abcd"), max_iter=0)
+    assert {r["ended"] for r in w.collect()} == {"limit"}
