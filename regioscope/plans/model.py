@@ -127,6 +127,25 @@ def m17_odds(spark, sf_dir):
     return ML.odds_table(coefs).select("features", r6("odds").alias("odds"))
 
 
+@query("m5_formula_design", sql="WITH " + REGISTRY_SQL + f"""
+SELECT count(*) AS n_rows, {len(ML.NUMERIC)} + count(DISTINCT coalesce(tipo_vial, 'Sin vialidad')) - 1
+       + count(DISTINCT coalesce(tipo_asent, 'Sin asentamiento')) - 1 + count(DISTINCT municipio) - 1
+       + count(DISTINCT "tipoUniEco") - 1 + count(DISTINCT codigo_act) - 1 AS n_features,
+       CAST(sum(CASE WHEN coalesce(per_ocu IN ({", ".join(f"'{c}'" for c in X.SMALL_SIZE_CLASSES)}), false) THEN 0 ELSE 1 END)
+            AS BIGINT) AS positives
+FROM registry
+""")
+def m5_formula_design(spark, sf_dir):
+    """M1-M3, M5: the design that the R formula ``y ~ numericas + one_hot``
+    makes: rows, width (a category of k levels gives k - 1 columns), positive
+    labels."""
+    data = labelled(spark, sf_dir)
+    stages = Pipeline(stages=ML.logistic_pipeline(formula=True).getStages()[:-1])
+    out = stages.fit(data).transform(data)
+    return out.agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.size(vector_to_array("features"))).cast("long").alias("n_features"),
+                   F.sum("_label").cast("long").alias("positives"))
+
+
 # -- model selection: all fits of a grid from shared passes -------------------
 
 GRID = np.linspace(0.0, 1.0, 100)
