@@ -18,6 +18,7 @@ pairs of blocks.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 
 from regioscope.functions.rsem import safe_div
 from regioscope.operators.joins import broadcast_if_small, broadcast_or_salted
-from regioscope.session import cut_lineage
+from regioscope.session import cut_lineage, scratch_tables
 
 # -- RCA ------------------------------------------------------------------------
 
@@ -388,75 +389,101 @@ def degree(net: DataFrame) -> DataFrame:
     return ends.groupBy("name").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def _changed(new: DataFrame, old: DataFrame, keys, cols, eps=1e-12) -> int:
-    """Rows whose values moved by more than eps (or appeared)."""
-    j = new.alias("n").join(old.alias("o"), keys, "left")
-    cond = F.lit(False)
-    for c in cols:
-        nv, ov = F.col(f"n.{c}"), F.col(f"o.{c}")
-        cond = cond | ov.isNull() | (F.abs(nv - ov) > eps * F.greatest(F.lit(1.0), F.abs(ov)))
-    return j.where(cond).limit(1).count()
+def _relax(write, d: DataFrame, e: DataFrame, max_rounds: int, eps: float, compact: int = 12) -> DataFrame:
+    """Distances ``(s, v, dist)`` from the starts ``d``.  A round looks only
+    at pairs that the last one shortened (the frontier) and writes only those
+    it shortens; the pieces are merged after ``compact`` rounds."""
+    pieces, frontier = [d], d
+    for rounds in range(max_rounds + 1):
+        if rounds == max_rounds:
+            raise RuntimeError(f"shortest paths not settled after {max_rounds} rounds")
+        cand = (frontier.join(e, frontier.v == e.u)
+                .groupBy("s", F.col("x").alias("v")).agg(F.min(F.col("dist") + F.col("len")).alias("dist")))
+        known = functools.reduce(DataFrame.unionByName, pieces) \
+            .groupBy("s", "v").agg(F.min("dist").alias("known"))
+        frontier = write(
+            cand.join(known, ["s", "v"], "left")
+            .where(F.col("known").isNull() | (F.col("dist") < F.col("known") - eps * F.greatest(F.lit(1.0), "known")))
+            .select("s", "v", "dist"))
+        if frontier.isEmpty():
+            break
+        pieces.append(frontier)
+        if len(pieces) > compact:
+            pieces = [write(functools.reduce(DataFrame.unionByName, pieces)
+                            .groupBy("s", "v").agg(F.min("dist").alias("dist")))]
+    return write(functools.reduce(DataFrame.unionByName, pieces)
+                 .groupBy("s", "v").agg(F.min("dist").alias("dist")))
+
+
+def _along(write, dag: DataFrame, start: DataFrame, frm: str, to: str, weight, max_rounds: int, compact: int = 12) -> DataFrame:
+    """``(s, v, value)``: the sum over all walks of the acyclic ``dag`` from
+    ``start`` of the products of their edges' weights.  Round h writes the
+    walks of h edges only; it ends when none is left."""
+    pieces, walk = [start], start
+    for rounds in range(max_rounds + 1):
+        if rounds == max_rounds:
+            raise RuntimeError(f"walks not ended after {max_rounds} rounds")
+        walk = write(dag.join(walk.withColumnRenamed("v", frm), ["s", frm])
+                     .groupBy("s", F.col(to).alias("v")).agg(F.sum(F.col("value") * weight).alias("value")))
+        if walk.isEmpty():
+            break
+        pieces.append(walk)
+        if len(pieces) > compact:
+            pieces = [write(functools.reduce(DataFrame.unionByName, pieces)
+                            .groupBy("s", "v").agg(F.sum("value").alias("value")))]
+    return write(functools.reduce(DataFrame.unionByName, pieces)
+                 .groupBy("s", "v").agg(F.sum("value").alias("value")))
 
 
 def betweenness(net: DataFrame, weighted: bool = True, weight: str = "weight",
-                max_rounds: int = 10_000, eps: float = 1e-9) -> DataFrame:
+                max_rounds: int = 10_000, eps: float = 1e-9, max_pairs: int = 200_000_000) -> DataFrame:
     """Betweenness centrality (Brandes) of an undirected network, as joins.
 
-    1. All-source shortest paths: the table ``(s, v, dist, sigma)`` is
-       relaxed over the edges until it stops changing (``sigma`` counts
-       shortest paths, summed over every predecessor on a shortest path).
-    2. Dependencies: ``delta(s,u) = sum_w sigma(s,u)/sigma(s,w) (1+delta(s,w))``
-       over shortest-path successors w, iterated to its fixed point.
-    3. ``betweenness(v) = sum_{s != v} delta(s, v) / 2``.
-
-    Every step is a join or group-by keyed on (source, node); no task
-    holds the whole graph.  Edge weights are lengths when ``weighted``.
+    1. Distances ``(s, v, dist)``: a frontier of shortened pairs is relaxed
+       over the edges until it is empty.
+    2. ``sigma(s, v)``, the number of shortest paths: walks along the edges
+       that lie on shortest paths, one edge longer each round.
+    3. Dependencies: ``delta(s, u) = sum_x sigma(s,u)/sigma(s,x) (1 + delta(s,x))``
+       over successors x, the same walks backwards.
+    4. ``betweenness(v) = sum_{s != v} delta(s, v) / 2``.
+
+    Rounds write only what they change.  Sources are taken in batches so that
+    a batch has at most about ``max_pairs`` (source, node) rows; only the sums
+    per node outlive it.  Every step is a join or group-by keyed on (source,
+    node); no task holds the whole graph.  Edge weights are lengths (above 0) when
+    ``weighted``; edges without a weight, loops and rows without an end are
+    left out, and of parallel edges the shortest counts.
     """
     length = F.col(weight).cast("double") if weighted else F.lit(1.0)
-    e1 = net.select(F.col("a").alias("u"), F.col("b").alias("x"), length.alias("len"))
-    e = cut_lineage(e1.unionByName(e1.select(F.col("x").alias("u"), F.col("u").alias("x"), "len")))
+    e1 = net.select(F.col("a").alias("u"), F.col("b").alias("x"), length.alias("len")).where("u != x and len is not null")
+    e = cut_lineage(e1.unionByName(e1.select(F.col("x").alias("u"), F.col("u").alias("x"), "len"))
+                    .groupBy("u", "x").agg(F.min("len").alias("len")))
+    if not e.where("not len > 0").isEmpty():
+        raise ValueError("edge weights must be above 0")
     nodes = e.select(F.col("u").alias("v")).distinct()
-    start = nodes.select(F.col("v").alias("s"), "v", F.lit(0.0).alias("dist"),
-                         F.lit(1.0).alias("sigma"))
-    d = cut_lineage(start)
-    for rounds in range(max_rounds + 1):
-        if rounds == max_rounds:
-            raise RuntimeError(f"shortest paths not settled after {max_rounds} rounds")
-        cand = (d.join(e, d.v == e.u)
-                .select("s", F.col("x").alias("v"), (F.col("dist") + F.col("len")).alias("dist"),
-                        "sigma")
-                .unionByName(start))
-        best = cand.groupBy("s", "v").agg(F.min("dist").alias("_dmin"))
-        nxt = (cand.join(best, ["s", "v"])
-               .where(F.col("dist") <= F.col("_dmin") + eps * F.greatest(F.lit(1.0), F.col("_dmin")))
-               .groupBy("s", "v").agg(F.min("dist").alias("dist"), F.sum("sigma").alias("sigma")))
-        nxt = cut_lineage(nxt)
-        moved = _changed(nxt, d, ["s", "v"], ["dist", "sigma"])
-        d = nxt
-        if moved == 0:
-            break
-    # shortest-path DAG: u -> x whenever dist(s,u) + len == dist(s,x)
-    du = d.select("s", F.col("v").alias("u"), F.col("dist").alias("du"), F.col("sigma").alias("su"))
-    dx = d.select("s", F.col("v").alias("x"), F.col("dist").alias("dx"), F.col("sigma").alias("sx"))
-    dag = (du.join(e, "u").join(dx, ["s", "x"])
-           .where(F.abs(F.col("du") + F.col("len") - F.col("dx"))
-                  <= eps * F.greatest(F.lit(1.0), F.col("dx")))
-           .select("s", "u", "x", (F.col("su") / F.col("sx")).alias("ratio")))
-    dag = cut_lineage(dag)
-    delta = cut_lineage(d.select("s", "v", F.lit(0.0).alias("delta")))
-    for rounds in range(max_rounds + 1):
-        if rounds == max_rounds:
-            raise RuntimeError(f"dependencies not settled after {max_rounds} rounds")
-        nxt = (dag.join(delta.select("s", F.col("v").alias("x"), "delta"), ["s", "x"])
-               .groupBy("s", F.col("u").alias("v"))
-               .agg(F.sum(F.col("ratio") * (1.0 + F.col("delta"))).alias("delta")))
-        nxt = cut_lineage(d.select("s", "v").join(nxt, ["s", "v"], "left")
-                          .select("s", "v", F.coalesce("delta", F.lit(0.0)).alias("delta")))
-        moved = _changed(nxt, delta, ["s", "v"], ["delta"])
-        delta = nxt
-        if moved == 0:
-            break
-    out = (delta.where(F.col("s") != F.col("v")).groupBy(F.col("v").alias("name"))
-           .agg((F.sum("delta") / 2.0).alias("betweenness")))
+    n = nodes.count()
+    batches = max(1, math.ceil(n * n / max_pairs))
+    sums = []
+    for b in range(batches):
+        with scratch_tables(net.sparkSession) as write:
+            mine = nodes.where(F.pmod(F.xxhash64("v"), F.lit(batches)) == b)
+            start = write(mine.select(F.col("v").alias("s"), "v", F.lit(0.0).alias("dist")))
+            d = _relax(write, start, e, max_rounds, eps)
+            # shortest-path edges: u -> x whenever dist(s,u) + len == dist(s,x)
+            du = d.select("s", F.col("v").alias("u"), F.col("dist").alias("du"))
+            dx = d.select("s", F.col("v").alias("x"), F.col("dist").alias("dx"))
+            dag = write(du.join(e, "u").join(dx, ["s", "x"])
+                        .where(F.abs(F.col("du") + F.col("len") - F.col("dx")) <= eps * F.greatest(F.lit(1.0), F.col("dx")))
+                        .select("s", "u", "x"))
+            sigma = _along(write, dag, start.select("s", "v", F.lit(1.0).alias("value")), "u", "x", F.lit(1.0), max_rounds)
+            su, sx = (sigma.select("s", F.col("v").alias(c), F.col("value").alias("s" + c)) for c in "ux")
+            ratio = write(dag.join(su, ["s", "u"]).join(sx, ["s", "x"])
+                          .select("s", "u", "x", (F.col("su") / F.col("sx")).alias("ratio")))
+            # every node starts a walk of value 1; its own start is not a dependency
+            ones = write(d.select("s", "v", F.lit(1.0).alias("value")))
+            delta = _along(write, ratio, ones, "x", "u", F.col("ratio"), max_rounds)
+            sums.append(cut_lineage(delta.where("s != v").groupBy("v").agg(F.sum(F.col("value") - 1.0).alias("part"))))
+    out = functools.reduce(DataFrame.unionByName, sums).groupBy(F.col("v").alias("name")) \
+        .agg((F.sum("part") / 2.0).alias("betweenness"))
     return nodes.select(F.col("v").alias("name")).join(out, "name", "left") \
         .select("name", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))

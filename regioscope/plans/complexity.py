@@ -213,9 +213,11 @@ n AS (SELECT (SELECT count(DISTINCT x) FROM (SELECT a AS x FROM tree UNION ALL S
              (SELECT count(*) FROM tree) AS edges)"""
 
 
-NETWORK_SQL = _tree_sql("region") + f""",
+KTH_SQL = """
 kth AS (SELECT min(w) AS w FROM (SELECT w, row_number() OVER (ORDER BY w DESC) AS i FROM rest)
-        WHERE i <= (SELECT ceil(4.0 * nodes / 2) - edges FROM n))
+        WHERE i <= (SELECT ceil(4.0 * nodes / 2) - edges FROM n))"""
+
+NETWORK_SQL = _tree_sql("region") + "," + KTH_SQL + f"""
 SELECT a, b, {R6('w')} AS weight, true AS in_tree FROM tree
 UNION ALL
 SELECT a, b, {R6('w')} AS weight, false AS in_tree FROM rest WHERE w >= (SELECT w FROM kth)
@@ -253,7 +255,41 @@ def x7_network_products(spark, sf_dir):
     return net.select("a", "b", r6("weight").alias("weight"), "in_tree")
 
 
-@query("x9_centrality")
+def _betweenness_sql(edges: str) -> str:
+    """CTEs up to ``btw`` (name, betweenness): distances by min-plus squaring,
+    shortest paths counted one by one along the edges they may take."""
+    squares = "".join(f""",
+d{i} AS MATERIALIZED (SELECT x.s, y.v, min(x.dist + y.dist) AS dist FROM d{i - 1} x JOIN d{i - 1} y ON x.v = y.s GROUP BY 1, 2)"""
+                      for i in range(1, 6))  # paths of up to 32 edges: there are 25 regions
+    same = "abs({} - {}) <= 1e-9 * greatest(1.0, {})"
+    return f"""
+ed AS MATERIALIZED (SELECT a AS u, b AS x, w FROM ({edges}) UNION ALL SELECT b, a, w FROM ({edges})),
+d0 AS (SELECT u AS s, x AS v, w AS dist FROM ed UNION ALL SELECT DISTINCT u, u, 0.0 FROM ed){squares},
+dag AS MATERIALIZED (SELECT p.s, ed.u, ed.x FROM d5 p JOIN ed ON p.v = ed.u JOIN d5 q ON q.s = p.s AND q.v = ed.x
+                     WHERE {same.format('p.dist + w', 'q.dist', 'q.dist')}),
+path(s, v) AS (SELECT DISTINCT u, u FROM ed UNION ALL SELECT path.s, dag.x FROM path JOIN dag ON path.s = dag.s AND path.v = dag.u),
+sg AS MATERIALIZED (SELECT s, v, count(*) AS n FROM path GROUP BY 1, 2),
+btw AS MATERIALIZED (
+  SELECT sv.v AS name, sum(a.n * b.n / st.n) / 2 AS betweenness
+  FROM d5 st_d JOIN sg st ON st.s = st_d.s AND st.v = st_d.v
+  JOIN d5 sv ON sv.s = st_d.s JOIN d5 vt ON vt.s = sv.v AND vt.v = st_d.v
+  JOIN sg a ON a.s = sv.s AND a.v = sv.v JOIN sg b ON b.s = vt.s AND b.v = vt.v
+  WHERE sv.v NOT IN (st_d.s, st_d.v) AND st_d.s <> st_d.v AND {same.format('sv.dist + vt.dist', 'st_d.dist', 'st_d.dist')}
+  GROUP BY 1)"""
+
+
+@query("x9_centrality", sql=_tree_sql("region") + "," + KTH_SQL + f""",
+net AS MATERIALIZED (SELECT a, b, w FROM tree UNION ALL SELECT a, b, w FROM rest WHERE w >= (SELECT w FROM kth)),
+{_betweenness_sql("SELECT a, b, w FROM net")},
+deg AS (SELECT u AS name, count(*) AS degree FROM ed GROUP BY 1),
+gva AS (SELECT country AS name, sum(value) AS gva FROM rp GROUP BY 1),
+fit AS (WITH {FITNESS_SQL} SELECT name, value FROM f{FITNESS_ROUNDS})
+SELECT k.name, regexp_replace(nullif(regexp_extract(k.name, ', .+'), ''), ', ', '') AS state,
+       regexp_replace(k.name, ', .+', '') AS municipality, coalesce(degree, 0) AS degree,
+       {R6('coalesce(betweenness, 0)')} AS betweenness, {R6('gva')} AS gross_value_added, {R6('fit.value')} AS complexity_index
+FROM (SELECT DISTINCT region AS name FROM m) k LEFT JOIN deg USING (name) LEFT JOIN btw USING (name)
+LEFT JOIN gva USING (name) LEFT JOIN fit USING (name)
+""")
 def x9_centrality(spark, sf_dir):
     """Degree and betweenness of every node of the region network, plus
     the node decoration: municipality / state split of the composite name,
@@ -263,7 +299,8 @@ def x9_centrality(spark, sf_dir):
     nodes = m.select(F.col("region").alias("name")).distinct()
     nodes = nodes.join(C.degree(net), "name", "left").join(C.betweenness(net, weighted=True), "name", "left") \
         .fillna(0, ["degree", "betweenness"])  # a region without an edge is a node too
-    return node_table(spark, sf_dir, nodes)
+    t = node_table(spark, sf_dir, nodes)
+    return t.withColumns({c: r6(c) for c in ("betweenness", "gross_value_added", "complexity_index")})
 
 
 def node_table(spark, sf_dir, nodes):

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import os
 import re
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,5 +72,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """``write(df)`` puts ``df`` as Parquet below the shared checkpoint folder
+    and reads it back; the tables are deleted at the end of the block.
+
+    A checkpoint keeps the size that the plan before it was estimated at, and
+    a join multiplies the sizes of its sides: over many rounds the estimate
+    outgrows the data, then the planner.  A written table has its true size.
+    """
+    root = f"{checkpoint_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+    numbers = itertools.count()
+
+    def write(df: DataFrame) -> DataFrame:
+        path = f"{root}/{next(numbers)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield write
+    finally:
+        target = spark._jvm.org.apache.hadoop.fs.Path(root)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")

@@ -6,6 +6,8 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+import pytest
+
 from regioscope.operators import complexity as C
 
 
@@ -163,6 +165,22 @@ def test_betweenness_path_and_random(spark):
     got = {r["name"]: r["betweenness"] for r in C.betweenness(df, weighted=True).collect()}
     assert got.keys() == set(used)
     assert all(abs(got[k] - want[k]) < 1e-9 for k in used)
+    parts = {r["name"]: r["betweenness"] for r in C.betweenness(df, max_pairs=30).collect()}
+    assert parts.keys() == got.keys() and all(abs(parts[k] - want[k]) < 1e-9 for k in used)
+
+
+def test_betweenness_long_path_and_odd_edges(spark):
+    """More rounds than pieces that are kept apart; parallel edges, loops,
+    edges without a weight; no edges at all."""
+    n = 15
+    path = [(f"p{i:02d}", f"p{i + 1:02d}", 1.0 + i % 3) for i in range(n - 1)]
+    odd = [("p00", "p01", 9.0), ("p05", "p05", 1.0), ("p00", "p14", None)]
+    df = spark.createDataFrame(path + odd, "a string, b string, weight double")
+    got = {r["name"]: r["betweenness"] for r in C.betweenness(df).collect()}
+    assert got == {f"p{i:02d}": float(i * (n - 1 - i)) for i in range(n)}
+    assert C.betweenness(df.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        C.betweenness(spark.createDataFrame([("a", "b", 0.0)], df.schema))
 
 
 def test_degree(spark):
