@@ -38,23 +38,40 @@ def test_links_and_components(spark, block, monkeypatch):
     assert got[last + 6][1] == got[last + 7][1] == last + 6 and got[last + 8][1] == got[last + 9][1] == last + 8
 
 
-def test_recall_of_the_index(spark):
-    """Pairs just above the threshold, the hardest ones."""
-    rng = np.random.default_rng(2)
-    rows = []
-    for _ in range(1500):
-        v = rng.normal(size=64)
-        v /= np.linalg.norm(v)
-        w = rng.normal(size=64)
-        w -= (w @ v) * v
-        c = rng.uniform(0.951, 0.97)
-        rows += [v, c * v + np.sqrt(1 - c * c) * w / np.linalg.norm(w)]
-    rows = [(i, v.tolist()) for i, v in enumerate(rows)]
+def close_pairs(rng, n, dim, low, high):
+    """Random unit vectors and partners at a cosine from ``low`` to ``high``."""
+    v, w = rng.normal(size=(2, n, dim))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    w -= (w * v).sum(axis=1, keepdims=True) * v
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    c = rng.uniform(low, high, size=(n, 1))
+    return v, c * v + np.sqrt(1 - c * c) * w
+
+
+@pytest.mark.parametrize("pivots", [6, 42])
+def test_recall_of_the_index(spark, pivots, monkeypatch):
+    """Pairs just above the threshold, the hardest ones; with 87 pivots as
+    this table has, and with 600 as a table of a million vectors has."""
+    monkeypatch.setattr(pivot_permutation, "PIVOTS", pivots)
+    v, w = close_pairs(np.random.default_rng(2), 1500, 64, 0.951, 0.97)
+    rows = [(i, x.tolist()) for i, x in enumerate(np.stack([v, w], axis=1).reshape(-1, 64))]
     df = spark.createDataFrame([(*r, 1, "r", "n", "k") for r in rows], SCHEMA)
     found = pivot_permutation.near_duplicates(df).agg({"n_links": "sum"}).first()[0]
     assert found >= 0.9 * len(rows)
 
 
+@pytest.mark.parametrize("dim", [64, 384])
+@pytest.mark.parametrize("n", [32, 128, 300, 600, 1300, 4096])
+def test_recall_of_prefixes_at_every_number_of_pivots(dim, n):
+    rng = np.random.default_rng(n + dim)
+    pivots = rng.normal(size=(n, dim))
+    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+    v, w = close_pairs(rng, 1000, dim, 0.951, 0.96)
+    a, b = pivot_permutation.prefixes(v, pivots), pivot_permutation.prefixes(w, pivots)
+    shared = (a[:, :, None] == b[:, None, :]).sum(axis=(1, 2))
+    assert (shared >= pivot_permutation.SHARED).mean() >= 0.95
+
+
 def test_no_vectors_and_repeated_rows(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert pivot_permutation.near_duplicates(none).collect() == []
