@@ -14,7 +14,9 @@ never inside a UTF-8 character, and before an apostrophe only after an ASCII
 letter or digit (a contraction may begin there).
 
 Null and empty texts give no ids and decode to an empty text.  The text of a
-special token stands for that token, as the library reads it.
+special token stands for that token, as the library reads it.  Every row is
+encoded on its own and gives one row: repeated and null ids stay as they are,
+other columns are left out whatever their names, and no rows give none.
 """
 
 from __future__ import annotations
