@@ -55,13 +55,14 @@ def _boundary(rows: DataFrame, by: list[str], start: int, need: str) -> DataFram
 
 
 def sample_first_k(df: DataFrame, size, key_cols: Sequence[str], seed=0,
-                   by: Sequence[str] = (), max_groups: int = 1_000_000) -> DataFrame:
+                   by: Sequence[str] = (), max_groups: int = 1_000_000, copies: bool = False) -> DataFrame:
     """The ``size`` rows of each ``by`` group that come first in hash order.
 
     ``size`` is an int (same for every group) or a DataFrame
     ``(by..., quota)``; groups without a quota are dropped.  Exact: never
-    fewer or more rows than asked (unless the group is smaller); a key that
-    repeats at the boundary is an error.
+    fewer or more rows than asked (unless the group is smaller).  Where only
+    some of the rows of one key fit in, that is an error, or with ``copies``
+    those come first whose other columns have the smaller hash.
 
     Every helper table (totals, boundary buckets, thresholds) has one row
     per group, so a single count of the groups decides whether they are
@@ -100,28 +101,45 @@ def sample_first_k(df: DataFrame, size, key_cols: Sequence[str], seed=0,
     b2 = cut_lineage(b2)
     c3 = _ns_join(c2.drop("_q", "_b1"), bc(b2), by) \
         .where(F.substring(_HASH, 5, 4) == F.col("_b5"))
-    # what remains is ~ rows / 2^32 per group: rank it directly.  A key that
-    # repeats there would make the sample larger than asked
-    c3 = cut_lineage(c3)
-    if c3.groupBy(*by, _HASH).agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").limit(1).count():
+    # what remains is ~ rows / 2^32 keys per group, each with its copies
+    c3 = c3.groupBy(*by, _HASH).agg(F.count(F.lit(1)).alias("_c"), F.first("_q").alias("_q"))
+    wr = Window.partitionBy(*by).orderBy(_HASH).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    over = F.col("_cum") - F.col("_q")
+    thr = (c3.withColumn("_cum", F.sum("_c").over(wr))
+           .where((over >= 0) & (over < F.col("_c")))
+           .select(*by, F.col(_HASH).alias("_t"), F.col("_c").alias("_k"), (F.col("_c") - over).alias("_m")))
+    thr = cut_lineage(thr)
+    cut = thr.where("_m < _k")
+    some = cut.limit(1).count() > 0
+    if some and not copies:
         raise ValueError(f"{list(key_cols)} does not identify the rows of a group: "
                          "give key columns that do")
-    wr = Window.partitionBy(*by).orderBy(_HASH)
-    thr = (c3.withColumn("_r", F.row_number().over(wr))
-           .where(F.col("_r") == F.col("_q"))
-           .select(*by, F.col(_HASH).alias("_t")))
     keep = _ns_join(totals.select(*by, "_n", "_q"), thr, by, "left")
     keep = cut_lineage(keep)
     out = _ns_join(d, bc(keep), by) \
-        .where((F.col("_n") <= F.col("_q")) | (F.col(_HASH) <= F.col("_t")))
-    return out.drop(_HASH, "_q", "_n", "_t")
+        .where((F.col("_n") <= F.col("_q")) | (F.col(_HASH) < F.col("_t"))
+               | ((F.col(_HASH) == F.col("_t")) & (F.col("_m") == F.col("_k"))))
+    out = out.drop(_HASH, "_q", "_n", "_t", "_k", "_m")
+    return out.unionByName(_first_copies(d, bc(cut), by, df.columns)) if some else out
+
+
+def _first_copies(rows: DataFrame, cut: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Of the rows of each group's boundary key ``_t`` the first ``_m`` in the
+    order of a hash of all columns; equal rows are counted, not ranked."""
+    at = _ns_join(rows, cut, by).where(F.col(_HASH) == F.col("_t"))
+    at = at.groupBy(*columns).agg(F.count(F.lit(1)).alias("_c"), F.first("_m").alias("_m"))
+    w = Window.partitionBy(*by).orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = at.withColumn("_x", F.xxhash64(*columns)).withColumn("_before", F.sum("_c").over(w) - F.col("_c"))
+    take = F.least(F.col("_c"), F.col("_m") - F.col("_before"))
+    at = at.where("_before < _m").withColumn("_x", F.explode(F.sequence(F.lit(1).cast("long"), take)))
+    return at.select(*columns)
 
 
 def downsample(df: DataFrame, label: str, key_cols: Sequence[str], seed=0,
                by: Sequence[str] = ()) -> DataFrame:
     """Class balancing: every class of a group cut to the group's minority
     size (the minority itself is kept whole).  Groups with a single class
-    cannot be balanced and are dropped."""
+    cannot be balanced and are dropped.  Keys may repeat."""
     by = list(by)
     counts = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("_n"))
     minority = counts.groupBy(*by).agg(F.min("_n").alias("quota"),
@@ -129,7 +147,7 @@ def downsample(df: DataFrame, label: str, key_cols: Sequence[str], seed=0,
         .where(F.col("_k") > 1).drop("_k")
     quota = _ns_join(counts.select(*by, label), minority, by) \
         .select(*by, label, "quota")
-    return sample_first_k(df, quota, key_cols, seed, by=by + [label])
+    return sample_first_k(df, quota, key_cols, seed, by=by + [label], copies=True)
 
 
 def _hex_bound(frac: float) -> str:

@@ -148,7 +148,7 @@ def o4_sample_n(spark, sf_dir):
     """Exact-size repeatable sample (17,174 rows of the negative class)."""
     li = load(spark, sf_dir, "lineitem").where(F.col("l_returnflag") != "A") \
         .select("l_orderkey", "l_linenumber")
-    return S.sample_first_k(li, 17174, ["l_orderkey", "l_linenumber"], seed=123)
+    return S.sample_first_k(li, 17174, ["l_orderkey", "l_linenumber"], seed=123, copies=True)
 
 
 @query("o5_hash_split", sql=f"""

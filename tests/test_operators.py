@@ -179,3 +179,26 @@ def test_global_rank_is_the_sorted_place(spark):
     want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
     assert got == {r[0]: i + 1 for i, r in enumerate(want)}
     assert W.global_rank(df.limit(0), [F.asc("k")]).collect() == []
+
+
+def test_downsample_with_repeated_keys_is_exact(spark):
+    """Every key three times, two of them equal: the boundary key is cut,
+    whichever number of rows is asked, and always in the same place."""
+    import hashlib
+    from regioscope.operators import sampling as S
+    rows = [(k, c, 0.0) for k in range(40) for c in ("x", "x", "z")]
+    for few in (3, 4, 5):
+        df = spark.createDataFrame(rows + [(100 + i, "m", 1.0) for i in range(few)], "id long, c string, y double")
+        got = S.downsample(df, "y", ["id"], seed=1)
+        assert {r["y"]: r["count"] for r in got.groupBy("y").count().collect()} == {0.0: few, 1.0: few}
+        again = S.downsample(df.repartition(7), "y", ["id"], seed=1)
+        assert sorted(got.collect()) == sorted(again.collect())
+        keys = sorted(range(40), key=lambda i: hashlib.md5(f"{i}|1".encode()).hexdigest())
+        assert sorted(r["id"] for r in got.where("y = 0").collect()) == sorted((keys[0],) * 3 + (keys[1],) * (few - 3))
+
+
+def test_sample_takes_a_repeated_boundary_key_that_fits(spark):
+    from regioscope.operators import sampling as S
+    df = spark.range(10).select((F.col("id") % 5).alias("k"))
+    got = [r["k"] for r in S.sample_first_k(df, 4, ["k"]).collect()]
+    assert len(got) == 4 and len(set(got)) == 2
