@@ -48,8 +48,11 @@ from regioscope.session import cut_lineage
 CHUNK_BYTES = 64 << 20
 #: Rows and columns whose margins are in memory at once.
 TILE = 1024
-#: Fits updated by one task at a time.
-BUCKET = 64
+#: Fits updated by one task at a time, and with Hessians of their own.
+BUCKET, NEWTON_BUCKET = 64, 16
+#: Bytes of products of features that one step of a Hessian sum takes, and the
+#: number of fits from which on these products pay off.
+PRODUCT_BYTES, FEW_FITS = 32 << 20, 40
 
 
 @dataclass
@@ -232,9 +235,40 @@ def _newton(w, g, h, l1, l2, dead):
     return out
 
 
+def _logistic(m: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-m)), in the place of ``m``."""
+    np.negative(m, out=m)
+    with np.errstate(over="ignore"):  # exp of a very low margin: a probability of 0
+        np.exp(m, out=m)
+    m += 1
+    return np.reciprocal(m, out=m)
+
+
+def _add_hessians(second: np.ndarray, fits: np.ndarray, z: np.ndarray, weight: np.ndarray) -> None:
+    """Add z' diag(weight of a fit) z of all ``fits`` (columns of ``weight``)
+    to ``second``, whose rows are lower triangles.  One matrix of the products
+    of all pairs of features serves many fits; a few have theirs made alone."""
+    k = z.shape[1]
+    if len(fits) < FEW_FITS:
+        low = np.tril_indices(k)
+        for f, x in zip(fits, weight.T):
+            second[f] += (z.T @ (z * x[:, None]))[low]
+        return
+    size = k * (k + 1) // 2
+    rows = max(1, PRODUCT_BYTES // (8 * size))
+    for b in range(0, len(z), rows):
+        x = np.ascontiguousarray(z[b:b + rows].T)
+        pairs = np.empty((size, x.shape[1]))
+        for i in range(k):
+            at = i * (i + 1) // 2
+            np.multiply(x[i], x[:i + 1], out=pairs[at:at + i + 1])
+        second[fits] += weight[b:b + rows].T @ pairs.T
+
+
 def _pass(fits: Fits, at: np.ndarray, w: np.ndarray, hessians: bool) -> DataFrame:
-    """(fit, row, v): row -1 is (gradient sum, loss sum) of fit ``at[fit]``
-    at ``w``; rows 0.. are its Hessian sum."""
+    """(fit, row, v): row -1 is the gradient sum of fit ``at[fit]`` at ``w``,
+    and behind it the loss sum, which only steps with Hessians look at; rows
+    0.. are its Hessian sum."""
     code = {p: i for i, p in enumerate(fits.design.parts)}
     owner = np.array([code[fits.part[i]] for i in at], np.int32)
     sent = fits.design.blocks.sparkSession.sparkContext.broadcast((w, owner, code))
@@ -244,7 +278,7 @@ def _pass(fits: Fits, at: np.ndarray, w: np.ndarray, hessians: bool) -> DataFram
         w, owner, code = sent.value
         k, n = w.shape
         sums, touched = np.zeros((k + 1, n)), np.zeros(n, bool)
-        second = np.zeros((n, k, k)) if hessians else None
+        second = np.zeros((n, k * (k + 1) // 2)) if hessians else None
         for p, y, z in _read(batches):
             cols = np.flatnonzero((owner == code[p]) == own)
             for a in range(0, len(cols), TILE):
@@ -252,25 +286,29 @@ def _pass(fits: Fits, at: np.ndarray, w: np.ndarray, hessians: bool) -> DataFram
                 for b in range(0, len(y), TILE):
                     zz, yy = z[b:b + TILE], y[b:b + TILE, None]
                     m = zz @ w[:, c]
-                    prob = 0.5 * (1 + np.tanh(0.5 * m))
-                    sums[:-1, c] += zz.T @ (prob - yy)
-                    sums[-1, c] += (np.logaddexp(0, m) - yy * m).sum(0)
                     if hessians:
-                        for i, j in enumerate(c):
-                            second[j] += zz.T @ (zz * (prob[:, i] * (1 - prob[:, i]))[:, None])
+                        sums[-1, c] += (np.logaddexp(0, m) - yy * m).sum(0)
+                    prob = _logistic(m)
+                    if hessians:
+                        _add_hessians(second, c, zz, prob * (1 - prob))
+                    prob -= yy
+                    sums[:-1, c] += zz.T @ prob
             touched[cols] = True
         cols = np.flatnonzero(touched)
         yield from _vectors(cols, np.full(len(cols), -1), sums[:, cols].T)
         if hessians:
-            for j in cols:  # the same width: the loss column is empty here
-                yield from _vectors(np.full(k, j), np.arange(k), np.hstack([second[j], np.zeros((k, 1))]))
+            low, one = np.tril_indices(k), np.zeros((k, k + 1))  # as wide as the gradient: the loss column is empty here
+            for j in cols:
+                one[low] = second[j]
+                one[low[::-1]] = second[j]
+                yield from _vectors(np.full(k, j), np.arange(k), one)
 
     return _sums(fits.design.blocks, partial)
 
 
 def _step(fits: Fits, at: np.ndarray, hessians: bool, tol: float):
     """One pass and update of the fits ``at``: (violation, objective, next
-    coefficients), in their order."""
+    coefficients), in their order; the objective only with ``hessians``."""
     k = len(fits.w)
     w = fits.w[:, at]
     parts = sorted({fits.part[i] for i in at})
@@ -310,7 +348,7 @@ def _step(fits: Fits, at: np.ndarray, hessians: bool, tol: float):
                          "w": pa.array(list(new.T), pa.list_(pa.float64()))})
 
     out = (_pass(fits, at, w, hessians)
-           .withColumn("bucket", F.floor(F.col("fit") / BUCKET)).groupBy("bucket")
+           .withColumn("bucket", F.floor(F.col("fit") / (NEWTON_BUCKET if hessians else BUCKET))).groupBy("bucket")
            .applyInArrow(lambda t: update(t.drop_columns(["bucket"])), "fit int, bad double, value double, w array<double>"))
     t = out.toArrow()
     order = np.argsort(t["fit"].to_numpy())

@@ -90,3 +90,28 @@ def test_auroc_is_exact(spark):
         want = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
         assert abs(got[g]["auroc"] - want) < 1e-12 and got[g]["n"] == 300 and got[g]["positives"] == len(pos)
     assert got["one"]["auroc"] is None
+
+
+@pytest.mark.parametrize("n", [3, EL.FEW_FITS + 2])
+def test_sums_of_a_pass(rows, n):
+    d = EL.design(rows, "part")
+    fits = EL._start(d, [("0", a, 1.0) for a in np.linspace(0, 1, n)], own=False)
+    w = fits.w + np.random.default_rng(1).normal(size=fits.w.shape)
+    w[0, 0] = 2000.0  # margins beyond the range of exp
+    at = np.arange(n)
+    blocks = [(np.frombuffer(r["y"]), np.frombuffer(r["z"]).reshape(r["n"], -1))
+              for r in d.blocks.where("part != '0'").collect()]
+    y, z = (np.concatenate(x) for x in zip(*blocks))
+    margin = z @ w
+    prob = 0.5 * (1 + np.tanh(margin / 2))
+    loss = (np.logaddexp(0, margin) - y[:, None] * margin).sum(0)
+    for hessians in (True, False):
+        got = {(r["fit"], r["row"]): np.array(r["v"]) for r in EL._pass(fits, at, w, hessians).collect()}
+        assert len(got) == n * (1 + hessians * len(w))
+        for i in range(n):
+            assert np.allclose(got[i, -1][:-1], z.T @ (prob[:, i] - y))
+            # a bounded step looks at no loss, so none is summed
+            assert np.isclose(got[i, -1][-1], loss[i] if hessians else 0)
+            if hessians:
+                h = z.T @ (z * (prob[:, i] * (1 - prob[:, i]))[:, None])
+                assert np.allclose([got[i, j][:-1] for j in range(len(w))], h)
