@@ -271,3 +271,48 @@ def test_short_and_solid_lines_go(spark):
     rows = [(i, f"les.\nHome\n東京都千代田区一丁目二番三号四五六七\n\nown {i * 7919}") for i in range(100)]
     got = by_id(line_dedup.dedup_all_lines(spark.createDataFrame(rows, "doc_id long, text string")), "text")
     assert got[0] == (rows[0][1],) and all(got[i][0].split("\n")[0] == "" for i in range(1, 100))
+
+
+def test_short_lines_lose_no_pair(spark):
+    """As many edits as are allowed, all over the line, spaces too."""
+    import math
+    import random
+    rng = random.Random(11)
+    pairs = []
+    while len(pairs) < 200:
+        size = rng.randint(10, line_dedup.SHORT)
+        x = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(size)).split())
+        y = list(x)
+        for _ in range(int(len(x) * 0.1)):
+            at = rng.randrange(len(y))
+            y[at:at + rng.randint(0, 1)] = rng.choice(["", "q", " ", "z"])
+        pairs.append((x, " ".join("".join(y).split())))
+    near = [x != y and math.floor(max(len(x), len(y)) * 0.1 + 1e-9) >= brute.edit_distance(x, y) for x, y in pairs]
+    assert sum(near) > 100
+    rows = [(i, x) for i, (x, _) in enumerate(pairs)] + [(10_000 + i, y) for i, (_, y) in enumerate(pairs)]
+    got = by_id(line_dedup.dedup_all_lines(spark.createDataFrame(rows, "doc_id long, text string")), "text")
+    assert all(got[10_000 + i] == ("",) for i, n in enumerate(near) if n)
+
+
+def test_frequent_runs_lose_no_pair(spark, monkeypatch):
+    """Lines that quote one passage, some of them near copies that differ
+    outside of it, with nearly every run frequent."""
+    import random
+    monkeypatch.setattr(line_dedup, "HOT", 1)
+    monkeypatch.setattr(line_dedup, "LED", 4)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    passage, lines = " ".join(word() for _ in range(12)), []
+    for _ in range(14):
+        tail = [word() for _ in range(8)]
+        lines.append(passage + " " + " ".join(tail))
+        for at in rng.sample(range(8), 2):
+            lines.append(passage + " " + " ".join([*tail[:at], "q" * len(tail[at]), *tail[at + 1:]]))
+    links = [(i, j) for i, x in enumerate(lines) for j in range(i)
+             if brute.edit_distance(x, y := lines[j]) <= max(len(x), len(y)) // 10]
+    assert len(links) >= 28 and min(map(len, lines)) > line_dedup.SHORT
+    of = brute.components(range(len(lines)), links)
+    rows = list(enumerate(lines))
+    got = by_id(line_dedup.dedup_all_lines(spark.createDataFrame(rows, "doc_id long, text string")), "text")
+    first = {c: min(i for i in of if of[i] == c) for c in of.values()}
+    assert {i for i, (t,) in got.items() if t} == set(first.values())
