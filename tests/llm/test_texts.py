@@ -316,3 +316,47 @@ def test_frequent_runs_lose_no_pair(spark, monkeypatch):
     got = by_id(line_dedup.dedup_all_lines(spark.createDataFrame(rows, "doc_id long, text string")), "text")
     first = {c: min(i for i in of if of[i] == c) for c in of.values()}
     assert {i for i, (t,) in got.items() if t} == set(first.values())
+
+
+def test_pieces_tell_no_near_texts_apart(spark):
+    """Texts within the allowed edits pass; unlike ones of one length go."""
+    import random
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop😀é") for _ in range(rng.randint(2, 8)))
+    rows = []
+    for _ in range(150):
+        x = " ".join(word() for _ in range(rng.randint(3, 40)))
+        y = list(x)
+        for _ in range(len(x) // 10):
+            at = rng.randrange(len(y))
+            y[at:at + rng.randint(0, 1)] = rng.choice(["", "q", " ", "zz"[:1]])
+        rows.append((x, "".join(y), True))
+        rows.append((x, " ".join(word() for _ in range(50))[:len(x)], False))
+    most = F.floor(F.greatest(F.char_length("x"), F.char_length("y")) * 0.1 + 1e-9).cast("int")
+    df = spark.createDataFrame(rows, "x string, y string, near boolean")
+    got = df.withColumn("found", line_dedup._pieces_found(F.col("x"), F.col("y"), most)).collect()
+    assert all(r["found"] for r in got if r["near"])
+    assert not any(r["found"] for r in got if not r["near"])
+
+
+def test_pairs_are_met_in_every_range_of_lengths(spark, monkeypatch):
+    """Near lines of all lengths, also on both sides of a range's end, with
+    frequent runs of words in all: the links that brute force finds."""
+    import random
+    monkeypatch.setattr(line_dedup, "HOT", 2)
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8)))
+    lines = []
+    for n in range(40):
+        words = ["alpha", "beta", "gamma", *(word() for _ in range(4 + 2 * n))]
+        lines.append(" ".join(words))
+        lines.append(" ".join([*words, "q" * (len(lines[-1]) // 12)]))  # longer by less than a tenth
+    links = [(i, j) for i, x in enumerate(lines) for j in range(i)
+             if brute.edit_distance(x, y := lines[j]) <= max(len(x), len(y)) // 10]
+    assert len(links) >= 38
+    of = brute.components(range(len(lines)), links)
+    assert len(line_dedup._bands(line_dedup.feature_sets(spark.createDataFrame(
+        [(i, x, len(x)) for i, x in enumerate(lines)], "key long, line string, len int"), 0.9))) == line_dedup.BANDS
+    got = by_id(line_dedup.dedup_all_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")), "text")
+    first = {c: min(i for i in of if of[i] == c) for c in of.values()}
+    assert {i for i, (t,) in got.items() if t} == set(first.values())
