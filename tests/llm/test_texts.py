@@ -318,6 +318,52 @@ def test_frequent_runs_lose_no_pair(spark, monkeypatch):
     assert {i for i, (t,) in got.items() if t} == set(first.values())
 
 
+def test_lines_that_share_only_frequent_runs(spark, monkeypatch):
+    """Near copies that share a quoted passage alone: its runs count as much
+    as rare ones, however many lines have them."""
+    import random
+    monkeypatch.setattr(line_dedup, "HOT", 1)
+    monkeypatch.setattr(line_dedup, "LED", 10**6)
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 7)))
+    passage, lines = " ".join(word() for _ in range(12)), []
+    for _ in range(25):
+        tail = [word() for _ in range(8)]
+        lines.append(" ".join([passage, *tail]))
+        lines.append(" ".join([passage, *("q" + w[1:] if i % 2 == 0 else w for i, w in enumerate(tail))]))
+    links = [(i, j) for i, x in enumerate(lines) for j in range(i)
+             if brute.edit_distance(x, y := lines[j]) <= max(len(x), len(y)) // 10]
+    assert len(links) >= 25 and min(map(len, lines)) > line_dedup.SHORT
+    of = brute.components(range(len(lines)), links)
+    got = by_id(line_dedup.dedup_all_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")), "text")
+    first = {c: min(i for i in of if of[i] == c) for c in of.values()}
+    assert {i for i, (t,) in got.items() if t} == set(first.values())
+
+
+def test_a_tenth_of_the_letters_spread_over_long_lines(spark, monkeypatch):
+    """As many edits as are allowed, all over the line, spaces too, and every
+    run taken as frequent."""
+    import random
+    monkeypatch.setattr(line_dedup, "HOT", 0)
+    rng = random.Random(16)
+    letters, pairs = "abcdefghijklmnopqrstuvwxyz", []
+    for n in range(600):
+        x = ""
+        while len(x) <= (100, 150, 250)[n % 3]:
+            x += "".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) + " "
+        x = x.strip() + "x"
+        y = list(x)
+        for at in sorted(rng.sample(range(len(y)), len(x) // 10), reverse=True):
+            y[at:at + rng.randint(0, 1)] = rng.choice(["", " ", *letters])
+        pairs.append((n % 3, x, " ".join("".join(y).split())))
+    near = [max(len(x), len(y)) // 10 >= brute.edit_distance(x, y) > 0 for _, x, y in pairs]
+    rows = [(i, x) for i, (_, x, _) in enumerate(pairs)] + [(10_000 + i, y) for i, (_, _, y) in enumerate(pairs)]
+    got = by_id(line_dedup.dedup_all_lines(spark.createDataFrame(rows, "doc_id long, text string")), "text")
+    for size in range(3):
+        gone = [got[10_000 + i] == ("",) for i, (k, _, _) in enumerate(pairs) if k == size and near[i]]
+        assert len(gone) > 100 and sum(gone) >= 0.9 * len(gone), (size, sum(gone), len(gone))
+
+
 def test_pieces_tell_no_near_texts_apart(spark):
     """Texts within the allowed edits pass; unlike ones of one length go."""
     import random
